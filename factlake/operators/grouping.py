@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 MAX_ROWS = 100_000
 
 
-def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def group_ordinal(
     df: DataFrame,
     keys: list[str],
@@ -54,28 +50,47 @@ def group_ordinal(
 
 
 def id_slice(col: str, width: int = MAX_ROWS) -> tuple[str, Column, bool]:
-    """Slice on a unique integer column: at most ``width`` rows each."""
+    """Slice on an integer column; ``width`` is the range of values it spans."""
     return ("slice_no", F.floor(F.col(col) / width), True)
 
 
 def split_parts(
-    df: DataFrame, keys: list[str], order_id: str, max_rows: int = MAX_ROWS, name: str = "part"
+    df: DataFrame, keys: list[str], slices: list[tuple[str, Column, bool]],
+    max_rows: int = MAX_ROWS, name: str = "part", counted: DataFrame | None = None,
 ) -> DataFrame:
     """Number the ordered parts of each group; 0 for a group of at most ``max_rows`` rows.
 
-    ``order_id`` is a unique integer, so a part of a larger group, being a range
-    of it, holds at most ``max_rows`` rows. Only the keys of larger groups are
-    looked up, of which there are at most ``rows / max_rows``.
+    A larger group is cut at slice borders (see ``group_ordinal``) into parts of
+    about ``max_rows`` rows. ``counted`` may name a cheaper frame to count, as
+    long as it holds every row of ``df``. Slices are counted for the larger
+    groups only, of which there are at most ``rows / max_rows``.
     """
+    base = df if counted is None else counted
+    names = [c for c, _, _ in slices]
+    sliced = base.select(*keys, *[e.alias(c) for c, e, _ in slices])
     large = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.min(order_id).alias("first_id"))
-        .filter(F.col("n") > max_rows)
-        .select(*[F.col(k).alias(f"g_{k}") for k in keys], "first_id")
+        sliced.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > max_rows)
+        .select(*[F.col(k).alias(f"g_{k}") for k in keys])
+    )
+    in_large = reduce(lambda a, b: a & b, [sliced[k].eqNullSafe(large[f"g_{k}"]) for k in keys])
+    before = Window.partitionBy(*keys).orderBy(
+        *[F.col(c).asc() if up else F.col(c).desc() for c, _, up in slices]
+    ).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = (
+        sliced.join(large, in_large, "left_semi")
+        .groupBy(*keys, *names).agg(F.count("*").alias("n"))
+        .select(
+            *[F.col(c).alias(f"p_{c}") for c in keys + names],
+            F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / max_rows).alias("cut"),
+        )
+    )
+    rows = df.withColumns({c: e for c, e, _ in slices})
+    on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(cuts[f"p_{c}"]) for c in keys + names])
+    return (
+        rows.join(cuts, on, "left")
+        .withColumn(name, F.coalesce(F.col("cut"), F.lit(0)).cast("bigint"))
+        .drop("cut", *names, *[f"p_{c}" for c in keys + names])
     )
-    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(large[f"g_{k}"]) for k in keys])
-    part = F.coalesce(F.floor((F.col(order_id) - F.col("first_id")) / max_rows), F.lit(0)).cast("bigint")
-    return df.join(large, on, "left").withColumn(name, part).drop("first_id", *[f"g_{k}" for k in keys])
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .grouping import MAX_ROWS, joined_lines, split_parts
+from .grouping import MAX_ROWS, id_slice, joined_lines, split_parts
 
 
 def noise_reasons(messages: DataFrame) -> DataFrame:
@@ -23,12 +23,15 @@ def clean(messages: DataFrame) -> DataFrame:
     return messages.withColumn("content", X.clean_text(F.col("content")))
 
 
-def is_reply() -> F.Column:
+def is_reply() -> Column:
     """A message in a thread other than the one that opened it."""
     return (F.coalesce(F.col("thread_ts"), F.lit("")) != "") & ~F.col("thread_ts").eqNullSafe(F.col("ts"))
 
 
-def bundle_threads(messages: DataFrame, order_id: str = "msg_id", max_rows: int = MAX_ROWS) -> DataFrame:
+def bundle_threads(
+    messages: DataFrame, order_id: str = "msg_id", max_rows: int = MAX_ROWS,
+    slice_width: int = MAX_ROWS, counted: DataFrame | None = None,
+) -> DataFrame:
     """One row per standalone message and one per thread of replies.
 
     Replies are joined in ``order_id`` order; the other columns come from the
@@ -36,7 +39,10 @@ def bundle_threads(messages: DataFrame, order_id: str = "msg_id", max_rows: int
     further ``part`` rows, whose texts in order make up the whole.
     """
     keys = ["org_id", "channel_id", "thread_ts"]
-    replies = split_parts(messages.filter(is_reply()), keys, order_id, max_rows)
+    counted = None if counted is None else counted.filter(is_reply())
+    replies = split_parts(
+        messages.filter(is_reply()), keys, [id_slice(order_id, slice_width)], max_rows, counted=counted
+    )
     rest = [c for c in messages.columns if c not in (*keys, "content", order_id)]
     first = F.min_by(F.struct(*rest), F.col(order_id))
     bundles = (
@@ -54,6 +60,9 @@ def bundle_threads(messages: DataFrame, order_id: str = "msg_id", max_rows: int
     return standalone.unionByName(bundles)
 
 
-def clean_messages(messages: DataFrame, order_id: str = "msg_id", max_rows: int = MAX_ROWS) -> DataFrame:
+def clean_messages(
+    messages: DataFrame, order_id: str = "msg_id", max_rows: int = MAX_ROWS, slice_width: int = MAX_ROWS
+) -> DataFrame:
     """Filter, then strip footers, then bundle; text that a footer filled alone stays empty."""
-    return bundle_threads(clean(drop_noise(messages)), order_id, max_rows)
+    # Threads are measured before the filter: that reads keys only, no text.
+    return bundle_threads(clean(drop_noise(messages)), order_id, max_rows, slice_width, counted=messages)

@@ -1,3 +1,3 @@
 """Imports every query module, which fills the registry."""
 
-from . import text  # noqa: F401
+from . import replies, sources, text  # noqa: F401
