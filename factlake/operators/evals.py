@@ -23,7 +23,7 @@ def pass_rates(orgs: DataFrame, scores: DataFrame) -> DataFrame:
     rate = F.when(total > 0, percent(passed, total))
     shown = F.when(rate.isNotNull(), F.concat(
         F.lit("Eval run: "), passed.cast("string"), F.lit("/"), total.cast("string"), F.lit(" passed ("),
-        F.format_number(rate, "0.0"), F.lit("%). "),
+        F.format_string("%.1f", rate), F.lit("%). "),
         F.when(rate < GOAL, "⚠️ Below 80% threshold.").otherwise("OK.")))
     return orgs.select("org_id").join(counts, "org_id", "left").select(
         "org_id", total.alias("total"), passed.alias("passed"), rate.alias("pass_rate"), shown.alias("log_line"))

@@ -103,9 +103,14 @@ def supersede(facts: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFr
 
     good = changes.join(known("old_id"), ["org_id", "old_id"], "left_semi").join(
         known("new_id"), ["org_id", "new_id"], "left_semi")
+
+    def touch(fact: str, step: Column, to: str, by: Column) -> Column:
+        return F.struct(F.col(fact).alias("t_id"), step.alias("step"), F.lit(to).alias("to"), by.alias("by_id"))
+
+    step = F.col("seq") * 2
     touches = good.select(F.explode(F.array(
-        F.struct(F.col("old_id").alias("t_id"), (F.col("seq") * 2).alias("step"), F.lit("superseded").alias("to"), F.col("new_id").alias("by_id")),
-        F.struct(F.col("new_id"), F.col("seq") * 2 + 1, F.lit("active"), F.lit(None).cast("bigint")),
+        touch("old_id", step, "superseded", F.col("new_id")),
+        touch("new_id", step + 1, "active", F.lit(None).cast("bigint")),
     )).alias("t")).select("t.*")
     latest = touches.groupBy("t_id").agg(
         F.max_by("to", "step").alias("to"),

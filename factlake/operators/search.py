@@ -29,14 +29,19 @@ def searchable(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("superseded_at").isNull() & F.col("embedding").isNotNull())
 
 
-def _nearest(facts: DataFrame, vector: Column, k: int) -> DataFrame:
-    near = facts.withColumn("distance", cosine_distance(F.col("embedding"), vector)).drop("embedding")
-    return near.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)
+def with_distance(facts: DataFrame, vector: Column) -> DataFrame:
+    """Replaces the vector of each fact by its distance to ``vector``, a literal or scalar subquery."""
+    placed = facts.withColumn("asked_", vector)
+    return placed.withColumn("distance", cosine_distance(F.col("embedding"), F.col("asked_"))).drop("embedding", "asked_")
+
+
+def nearest(rows: DataFrame, k: int) -> DataFrame:
+    return rows.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)
 
 
 def top_k(facts: DataFrame, sources: DataFrame, org_id: str, vector: Column, k: int = 5) -> DataFrame:
     """The ``k`` nearest facts of one organisation. Sources are joined to the ``k`` rows only."""
-    hits = _nearest(searchable(facts).filter(F.col("org_id") == org_id), vector, k)
+    hits = nearest(with_distance(searchable(facts).filter(F.col("org_id") == org_id), vector), k)
     return with_source(hits, sources, "permalink", "source_type")
 
 
@@ -49,13 +54,10 @@ def top_k_visible(
     The distance replaces the vector before the join, so the shuffle moves a
     number instead of the vector.
     """
-    near = (
-        searchable(facts).filter(F.col("org_id") == org_id)
-        .withColumn("distance", cosine_distance(F.col("embedding"), vector)).drop("embedding")
-    )
+    near = with_distance(searchable(facts).filter(F.col("org_id") == org_id), vector)
     placed = with_source(near, sources, "permalink", "source_type", "channel_id", "channel_is_private")
     seen = visible_to(placed, memberships, org_id, user_id)
-    return seen.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)
+    return nearest(seen, k)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -116,13 +118,15 @@ def top_k_many(
     facts of a lower sequence number. Returns ``query_id, id, distance, rank``.
     """
     low, high = -(2**62), 2**62
+    # Fresh aliases, so that both sides may come from one table.
+    own_keys = [F.col(c).alias(c) for c in keys]
     f = facts.select(
-        *keys, F.col("id").cast("bigint").alias("fact_id"),
+        *own_keys, F.col("id").cast("bigint").alias("fact_id"),
         F.col("embedding").cast("array<float>").alias("vector"),
         (F.col(fact_seq).cast("bigint") if fact_seq else F.lit(low)).alias("fact_seq"),
     ).filter(F.col("vector").isNotNull())
     q = queries.select(
-        *keys, F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").cast("array<float>").alias("vector"),
+        *own_keys, F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").cast("array<float>").alias("vector"),
         (F.col(query_seq).cast("bigint") if query_seq else F.lit(high)).alias("query_seq"),
     ).filter(F.col("vector").isNotNull())
 

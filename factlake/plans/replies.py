@@ -33,8 +33,8 @@ def reply_edges(t):
 
 @query("T11", """WITH pos AS (SELECT batch_id, n, reply, unnest(range(n)) AS idx FROM fx_batch_replies),
   arr AS (SELECT batch_id, n, CASE WHEN json_valid(reply) AND json_type(reply) = 'ARRAY' THEN CAST(reply AS JSON[]) ELSE [] END AS items FROM fx_batch_replies),
-  item AS (SELECT batch_id, unnest(items) AS item, generate_subscripts(items, 1) AS at FROM arr),
-  last AS (SELECT batch_id, CAST(item->>'$.message_index' AS BIGINT) AS idx, arg_max(item, at) AS item FROM item WHERE item->>'$.message_index' IS NOT NULL GROUP BY ALL)
+  item AS (SELECT batch_id, unnest(items) AS item, generate_subscripts(items, 1) AS place FROM arr),
+  last AS (SELECT batch_id, CAST(item->>'$.message_index' AS BIGINT) AS idx, arg_max(item, place) AS item FROM item WHERE item->>'$.message_index' IS NOT NULL GROUP BY ALL)
   SELECT p.batch_id, CAST(p.idx AS INTEGER) AS idx, CAST(coalesce(json_array_length(l.item, '$.entities'), 0) AS INTEGER) AS entities,
     coalesce(l.item->>'$.entities[0].name', '') AS first_name FROM pos p LEFT JOIN last l ON l.batch_id = p.batch_id AND l.idx = p.idx""")
 def unpack_batch(t):
