@@ -1,3 +1,3 @@
 """Imports every query module, which fills the registry."""
 
-from . import replies, retrieval, routing, sources, state, text  # noqa: F401
+from . import replies, retrieval, routing, sources, state, streams, text  # noqa: F401

@@ -41,6 +41,17 @@ class Tables:
         return self.spark.sql(re.sub(r"\b(FROM|JOIN)\s+(\w+)", mark, text), **names)
 
 
+class StreamTables(Tables):
+    """The same tables as streams. Views that join tables are not meant for it."""
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in BASE:
+            return super().__call__(name)
+        schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
+        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+        return reader.parquet(self.sf_dir)
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
