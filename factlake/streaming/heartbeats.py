@@ -13,6 +13,7 @@ from .jobs import start, write_batch
 
 BEAT = "process_name string, beat_at timestamp, status string, error string, event_id bigint"
 STATE = "beat_us bigint, event_id bigint, status string, error string"
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 OUT = "process_name string, last_beat_at timestamp, last_status string, last_error string, overdue boolean"
 
 
@@ -71,7 +72,14 @@ def watch(beats: DataFrame, out: str, checkpoint: str, every: str | None = None)
         "process_name", "CAST(beat_at AS TIMESTAMP) AS beat_at", "status", "error", "event_id")
     states = known.mapInPandas(last_in_batch, BEAT).groupBy("process_name").transformWithStateInPandas(
         statefulProcessor=Heartbeats(), outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime")
-    return start(states, _store(out), checkpoint, every, mode="update")
+    # Timers keep asking for another batch; a run that is to end takes only batches with data.
+    conf = beats.sparkSession.conf
+    before = conf.get(EMPTY_BATCHES)
+    conf.set(EMPTY_BATCHES, before if every else "false")
+    try:
+        return start(states, _store(out), checkpoint, every, mode="update")
+    finally:
+        conf.set(EMPTY_BATCHES, before)
 
 
 def _store(out: str):
