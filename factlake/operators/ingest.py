@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -44,7 +45,7 @@ def _pending(rows: DataFrame) -> DataFrame:
 
 def store_batch(
     candidates: DataFrame, edges: DataFrame, entities: DataFrame, queue: DataFrame, *,
-    contradictions: DataFrame | None = None, id_base: int = 0,
+    contradictions: DataFrame | None = None, id_base: int = 0, keep: Callable[[DataFrame, str], DataFrame] | None = None,
     threshold: float = routing.LIVE_THRESHOLD, cap: int = routing.QUEUE_CAP,
 ) -> Sinks:
     """Live path: route, stop at a full queue, store the first of each name, wire edges.
@@ -53,17 +54,20 @@ def store_batch(
     approved, confidence_score, critic_reason``; ``seq`` grows with
     ``source_id``. ``queue`` has the items already waiting per organisation.
     ``contradictions`` are review rows (``org_id, source_id, …``) found for the
-    stored facts; they fill the queue too.
+    stored facts; they fill the queue too. ``keep`` stores a table under a name
+    and returns it as stored; with it the two tables that several sinks read are
+    computed once.
     """
+    keep = keep or (lambda df, _: df)
     routed = routing.route(candidates, threshold)
     pending = routing.pending_per_source(routed)
     if contradictions is not None:
         extra = contradictions.groupBy("org_id", "source_id").agg(F.count("*").alias("pending"))
         pending = pending.unionByName(extra).groupBy("org_id", "source_id").agg(F.sum("pending").alias("pending"))
-    flagged = routing.admit(routed, routing.queue_cutoffs(pending, queue, cap))
+    flagged = keep(routing.admit(routed, routing.queue_cutoffs(pending, queue, cap)), "routed")
     kept = flagged.filter("admitted").drop("admitted")
     approved = kept.filter("route = 'approved'")
-    new = _entities(routing.new_entities(approved, entities), id_base)
+    new = keep(_entities(routing.new_entities(approved, entities), id_base), "new_entities")
     return Sinks(
         entities=new, nodes=_nodes(new), pending=_pending(kept.filter("route = 'pending'")),
         rejected=routing.rejection_logs(kept.filter("route = 'rejected'")),
@@ -104,6 +108,16 @@ def as_rows(sinks: Sinks) -> DataFrame:
     return whole
 
 
+def keep_under(base: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A ``keep`` that writes to ``base``, which must be a folder shared by all executors."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    return keep
+
+
 def write(sinks: Sinks, base: str, batch_id: int) -> None:
     """Writes each sink under ``base/<sink>/batch_id=N``.
 

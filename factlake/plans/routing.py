@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context, ingest, replies, review, routing, search
+from ..session import fresh_path
 from .registry import query
 from .replies import CHECKS
 
@@ -122,7 +123,8 @@ STORE = f"""WITH {ADMITTED.format(routed=f'r AS ({routed_sql(0.7)})', queue=QUEU
 @query("S18 R1 W1 W2 J5 J6", STORE)
 def ingest_batch(t):
     """One live batch from scored candidates to every sink."""
-    sinks = ingest.store_batch(t("fx_candidates"), t.sql(CANDIDATE_EDGES), t("fx_entities"), t.sql(QUEUE_ORGS), id_base=1000000)
+    sinks = ingest.store_batch(t("fx_candidates"), t.sql(CANDIDATE_EDGES), t("fx_entities"), t.sql(QUEUE_ORGS), id_base=1000000,
+                               keep=ingest.keep_under(fresh_path(t.spark, "ingest")))
     return ingest.as_rows(sinks)
 
 
