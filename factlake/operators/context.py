@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .grouping import joined_lines, split_parts
+from .grouping import fresh_keys, joined_lines, split_parts
 
 # fixed values
 NO_PROFILE = "No business profile found for this organisation."
@@ -119,7 +119,7 @@ def answer_contexts(
         F.lit("\n\n== Entity Relationships ==\n"), F.coalesce("edge_block", F.lit(NO_EDGES)))).otherwise("")
     return (
         questions.join(fact_block.select("query_id", "fact_block"), "query_id")
-        .join(edge_block, "org_id", "left").join(heads, "org_id", "left")
+        .join(fresh_keys(edge_block, "org_id"), "org_id", "left").join(heads, "org_id", "left")
         .select(
             "query_id", "org_id", "question", F.coalesce("profile", F.lit("")).alias("profile"),
             F.concat(F.lit("== Verified Facts ==\n"), "fact_block", graph).alias("memory"),

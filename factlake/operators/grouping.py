@@ -13,6 +13,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ROWS = 100_000
+SMALL_ROWS = 50_000
+
+
+def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> list | None:
+    """The rows of a lookup table if there are at most ``max_rows``, else None.
+
+    No more than ``max_rows + 1`` rows ever reach the driver, so the answer is
+    also the size check for broadcasting them.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
+def as_lookup(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """The table itself, marked for broadcast if it was found to be small."""
+    rows = small_rows(df, max_rows)
+    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def fresh_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Text keys computed anew, so that a join shuffles this side again.
+
+    An aggregate is already partitioned by its keys and a join would take it as
+    it is; AQE splits a hot key only where both sides were shuffled for the join.
+    """
+    return df.withColumns({k: F.concat(F.col(k), F.lit("")) for k in keys})
 
 
 def group_ordinal(
@@ -84,6 +110,12 @@ def split_parts(
             F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / max_rows).alias("cut"),
         )
     )
+    found = small_rows(cuts)
+    if found == []:
+        # The usual case: no group is large, and the rows need no join at all.
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    if found is not None:
+        cuts = F.broadcast(df.sparkSession.createDataFrame(found, cuts.schema))
     rows = df.withColumns({c: e for c, e, _ in slices})
     on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(cuts[f"p_{c}"]) for c in keys + names])
     return (

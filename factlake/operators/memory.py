@@ -152,11 +152,14 @@ def set_briefing_focus(profiles: DataFrame, changes: DataFrame) -> tuple[DataFra
 
 
 def unique_inserts(rows: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
-    """Flags each new row: rejected where its key is stored or came earlier in the batch."""
-    first = rows.groupBy(key).agg(F.min(order).alias("first_"))
-    taken = existing.select(F.col(key)).distinct().withColumn("taken_", F.lit(True))
-    return rows.join(first, key).join(taken, key, "left").withColumn(
-        "accepted", F.col("taken_").isNull() & (F.col(order) == F.col("first_"))).drop("first_", "taken_")
+    """Flags each new row: rejected where its key is stored or came earlier in the batch.
+
+    ``order`` is the unique id of the rows and their arrival order.
+    """
+    # One winner per key is found by aggregation; the rows then meet it by their own id.
+    winners = rows.groupBy(key).agg(F.min(order).alias(order)).join(existing.select(key), key, "left_anti")
+    return rows.join(winners.select(order, F.lit(True).alias("won_")), order, "left").withColumn(
+        "accepted", F.coalesce("won_", F.lit(False))).drop("won_")
 
 
 def create_orgs(requests: DataFrame, profiles: DataFrame) -> DataFrame:

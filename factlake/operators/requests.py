@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .grouping import MAX_ROWS, group_ordinal, id_slice
+from .grouping import MAX_ROWS, fresh_keys, group_ordinal, id_slice
 
 # fixed values
 ENTITY_TYPES = ["Client", "Project", "Decision", "Person", "Process", "Belief"]
@@ -114,7 +114,7 @@ def contradiction_requests(blocks: DataFrame, template: str = TEMPLATES["contrad
 
 def within_budget(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     """Requests of organisations that have not used up their month; ``budgets`` has ``org_id, over_budget``."""
-    return requests.join(budgets.filter("over_budget").select("org_id"), "org_id", "left_anti")
+    return requests.join(fresh_keys(budgets.filter("over_budget").select("org_id"), "org_id"), "org_id", "left_anti")
 
 
 def backlog(sources: DataFrame) -> DataFrame:

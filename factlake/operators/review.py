@@ -27,7 +27,7 @@ def reject(pending: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def _remaining(pending: DataFrame, requests: DataFrame, key: str) -> DataFrame:
-    return pending.join(requests.select(key).distinct(), key, "left_anti")
+    return pending.join(requests.select(key), key, "left_anti")
 
 
 def not_found(pending: DataFrame, requests: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def not_found(pending: DataFrame, requests: DataFrame) -> DataFrame:
 
 def bulk_approve(pending: DataFrame, orgs: DataFrame, approved_by: str = "bulk") -> tuple[DataFrame, DataFrame, DataFrame]:
     """New entities, the remaining queue and a message per organisation."""
-    chosen = pending.join(orgs.select("org_id").distinct(), "org_id", "left_semi")
+    chosen = pending.join(orgs.select("org_id"), "org_id", "left_semi")
     entities = _entities(chosen.withColumn("approved_by", F.lit(approved_by)))
     return entities, _remaining(pending, orgs, "org_id"), _counted(pending, orgs, "items approved and saved to memory.")
 

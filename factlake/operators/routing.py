@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouping import first_k
+from .grouping import as_lookup, first_k, fresh_keys
 
 # fixed values
 LIVE_THRESHOLD = 0.7
@@ -53,7 +53,7 @@ def queue_cutoffs(pending: DataFrame, queue: DataFrame, cap: int = QUEUE_CAP) ->
 
 def admit(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Flags rows whose source came before the queue was full; later sources are dropped whole."""
-    marked = cutoffs.select("org_id", "last_source", F.lit(True).alias("fills"))
+    marked = as_lookup(cutoffs.select("org_id", "last_source", F.lit(True).alias("fills")))
     keep = F.col("fills").isNull() | F.coalesce(F.col("source_id") <= F.col("last_source"), F.lit(False))
     return rows.join(marked, "org_id", "left").withColumn("admitted", keep).drop("last_source", "fills")
 
@@ -82,21 +82,26 @@ def first_of_name(approved: DataFrame) -> DataFrame:
     Nameless rows skip the window, so they cannot pile up in one task, and map
     tasks keep one row per identity before the shuffle.
     """
-    named = first_k(approved.filter(_named()), IDENTITY, [F.col("seq")], 1).drop("rank")
-    return named.unionByName(approved.filter(~_named()))
+    return _first_named(approved).unionByName(approved.filter(~_named()))
+
+
+def _first_named(approved: DataFrame) -> DataFrame:
+    return first_k(approved.filter(_named()), IDENTITY, [F.col("seq")], 1).drop("rank")
+
+
+def _unknown(named: DataFrame, entities: DataFrame) -> DataFrame:
+    known = fresh_keys(active_names(entities).select(*IDENTITY), "name")
+    return named.join(known, IDENTITY, "left_anti")
 
 
 def not_stored_yet(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     """Candidates whose identity no active entity has; nameless ones always pass."""
-    # A null name never equals anything, which is what lets nameless rows through.
-    keyed = candidates.withColumn("name_key", F.when(_named(), F.col("name")))
-    known = active_names(entities).select("org_id", "entity_type", F.col("name").alias("name_key"))
-    return keyed.join(known, ["org_id", "entity_type", "name_key"], "left_anti").drop("name_key")
+    return _unknown(candidates.filter(_named()), entities).unionByName(candidates.filter(~_named()))
 
 
 def new_entities(approved: DataFrame, entities: DataFrame) -> DataFrame:
     """Approved candidates that are stored: first of their name and not stored before."""
-    return not_stored_yet(first_of_name(approved), entities)
+    return _unknown(_first_named(approved), entities).unionByName(approved.filter(~_named()))
 
 
 def resolve_edges(
@@ -110,6 +115,7 @@ def resolve_edges(
     """
     fresh = stored.filter(_named()).select(*IDENTITY, F.col("id").alias("entity_id"))
     known = active_names(entities).unionByName(fresh).groupBy(*IDENTITY).agg(F.min("entity_id").alias("entity_id"))
+    known = fresh_keys(known, "name")
     # The last candidate of a name in a source is chosen before its identity is looked up.
     last = (
         approved.filter(_named()).groupBy("source_id", "name")

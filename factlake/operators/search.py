@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import DIGITS, cosine_distance
 from .access import access_class, visible_to, with_access_classes, with_source
-from .grouping import first_k
+from .grouping import as_lookup, first_k
 
-FACT_BLOCK = 20_000
+FACT_BLOCK = 10_000
 QUERY_BLOCK = 4_000
 CHUNK = 256
 
@@ -133,8 +133,9 @@ def top_k_many(
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
-    # One small row per key: how many blocks each side of its grid has.
-    grid = blocks(f, fact_block, "fact_blocks").join(blocks(q, query_block, "query_blocks"), keys)
+    # One small row per key: how many blocks each side of its grid has. Broadcast
+    # where it was found small, so that the vectors are shuffled once, to their cells.
+    grid = as_lookup(blocks(f, fact_block, "fact_blocks").join(blocks(q, query_block, "query_blocks"), keys))
     ids = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     f_cells = (
         f.join(grid, keys)
@@ -182,18 +183,12 @@ def embed(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 1
     """
     if embed_fn is not None:
         return df.withColumn(out_col, F.pandas_udf(embed_fn, T.ArrayType(T.FloatType()))(F.col(text_col)))
-    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    counted = HashingTF(inputCol="words_", outputCol="counts_", numFeatures=dim).transform(
-        df.withColumn("words_", words)
-    )
-    counts = vector_to_array(F.col("counts_"), "float32")
-    length = F.sqrt(F.aggregate(F.col("dense_"), F.lit(0.0), lambda acc, v: acc + v.cast("double") * v.cast("double")))
-    return (
-        counted.withColumn("dense_", counts).withColumn("length_", length)
-        .withColumn(out_col, F.when(F.col("length_") > 0, F.transform(
-            "dense_", lambda v: (v.cast("double") / F.col("length_")).cast("float"))))
-        .drop("words_", "counts_", "dense_", "length_")
-    )
+    counted = HashingTF(inputCol="words_", outputCol="counts_", numFeatures=dim).transform(df.withColumn("words_", words))
+    scaled = Normalizer(inputCol="counts_", outputCol="scaled_").transform(counted)
+    return scaled.withColumn(
+        out_col, F.when(F.size("words_") > 0, vector_to_array(F.col("scaled_"), "float32"))
+    ).drop("words_", "counts_", "scaled_")

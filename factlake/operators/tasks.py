@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouping import fresh_keys
+
 # fixed values
 NO_MEMORY = "No relevant memory found. Cannot act without verified facts. Please add relevant memory first."
 UNKNOWN_TASK = "Unknown task type. Use 'draft' or 'flag'."
@@ -19,7 +21,7 @@ def gate_tasks(tasks: DataFrame, hits: DataFrame, beliefs: DataFrame, belief_ver
     beliefs cannot be in conflict.
     """
     found = hits.groupBy("query_id").agg(F.count("*").alias("memory_used"))
-    guarded = beliefs.select("org_id").distinct().withColumn("guarded", F.lit(True))
+    guarded = fresh_keys(beliefs.select("org_id").distinct(), "org_id").withColumn("guarded", F.lit(True))
     conflict = F.coalesce(F.col("guarded") & F.col("conflict"), F.lit(False))
     reason = F.when(F.col("memory_used").isNull(), NO_MEMORY).when(
         conflict, F.concat(F.lit("Action blocked by Belief: "), "belief"))

@@ -64,8 +64,7 @@ def channel_list(t):
   JOIN fx_channels c ON c.org_id = m.org_id AND c.id = m.channel_id WHERE c.is_private
   AND NOT EXISTS (SELECT 1 FROM fx_memberships x WHERE x.org_id = m.org_id AND x.channel_id = m.channel_id AND x.user_id = m.user_id)""")
 def membership_import(t):
-    members = t("fx_channel_members").groupBy("org_id", F.col("channel_id").alias("id")).agg(F.collect_set("user_id").alias("members"))
-    return chat.import_memberships(t("fx_channels").join(members, ["org_id", "id"]), t("fx_memberships"))
+    return chat.import_memberships(t("fx_channels"), t("fx_channel_members"), t("fx_memberships"))
 
 
 @query("ST7 S2 S4 T5 S1", f"""WITH found AS ({IMPORT}{EXPORT_OLDEST.format(hours=180 * 24)}),

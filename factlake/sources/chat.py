@@ -80,12 +80,15 @@ def index_messages(messages: DataFrame, source_type: str, now: Column) -> DataFr
     )
 
 
-def import_memberships(channels: DataFrame, existing: DataFrame) -> DataFrame:
-    """New members of private channels. ``channels`` has a ``members`` list."""
-    found = channels.filter(F.coalesce("is_private", F.lit(False))).select(
-        "org_id", F.col("id").alias("channel_id"), F.explode("members").alias("user_id")
-    )
-    return insert_or_ignore(found, existing)
+def member_rows(channels: DataFrame) -> DataFrame:
+    """Members listed with their channels, one per row."""
+    return channels.select("org_id", F.col("id").alias("channel_id"), F.explode("members").alias("user_id"))
+
+
+def import_memberships(channels: DataFrame, members: DataFrame, existing: DataFrame) -> DataFrame:
+    """New members of private channels; ``members`` has one row per channel and user."""
+    private = list_channels(channels).filter("is_private").select("org_id", F.col("id").alias("channel_id"))
+    return insert_or_ignore(members.join(private, ["org_id", "channel_id"], "left_semi"), existing)
 
 
 def insert_or_ignore(rows: DataFrame, existing: DataFrame) -> DataFrame:

@@ -65,6 +65,9 @@ def assemble_text(fragments: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     parts = split_parts(
         lines, ["doc_id", "filename"],
         [("part_slice", F.col("part_no"), True), ("row_slice", F.floor(F.col("row_no") / max_rows), True)], max_rows,
+        # Fragments are counted instead of lines: at least as many, and read without their text.
+        counted=fragments.select("doc_id", "filename", "part_no", "row_no").unionByName(
+            titles.select("doc_id", "filename", "part_no", "row_no")),
     )
     order = "part_no, row_no"
     sheet = "lower(filename) LIKE '%.xlsx'"
