@@ -98,6 +98,12 @@ def split_parts(
         sliced.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > max_rows)
         .select(*[F.col(k).alias(f"g_{k}") for k in keys])
     )
+    keys_found = small_rows(large)
+    if keys_found == []:
+        # The usual case: no group is large, and the rows need no join at all.
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    if keys_found is not None:
+        large = F.broadcast(df.sparkSession.createDataFrame(keys_found, large.schema))
     in_large = reduce(lambda a, b: a & b, [sliced[k].eqNullSafe(large[f"g_{k}"]) for k in keys])
     before = Window.partitionBy(*keys).orderBy(
         *[F.col(c).asc() if up else F.col(c).desc() for c, _, up in slices]
@@ -110,12 +116,7 @@ def split_parts(
             F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / max_rows).alias("cut"),
         )
     )
-    found = small_rows(cuts)
-    if found == []:
-        # The usual case: no group is large, and the rows need no join at all.
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    if found is not None:
-        cuts = F.broadcast(df.sparkSession.createDataFrame(found, cuts.schema))
+    cuts = as_lookup(cuts)
     rows = df.withColumns({c: e for c, e, _ in slices})
     on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(cuts[f"p_{c}"]) for c in keys + names])
     return (

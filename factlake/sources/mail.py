@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.grouping import first_k
+from ..operators.grouping import first_k, fresh_keys
 
 PART = "struct<mimeType:string,body:struct<data:string>>"
 MAIL = (f"id bigint, org_id string, labels array<string>, internalDate bigint, "
@@ -89,7 +89,7 @@ def route_inbound(mails: DataFrame, profiles: DataFrame) -> DataFrame:
         "body": F.when(stripped != "", stripped).otherwise(plain),
     })
     return (
-        prepared.join(addresses, "address", "left")
+        prepared.join(fresh_keys(addresses, "address"), "address", "left")
         .withColumn("outcome", F.when(F.col("matched_org").isNull(), "ignored: unknown recipient")
                     .when(F.col("body") == "", "ignored: empty body").otherwise("processed"))
         .select(

@@ -55,7 +55,7 @@ def test_split_parts_without_broadcast(hot, monkeypatch):
     from factlake.operators import grouping
 
     plain = {(r.id, r.part) for r in split_parts(hot, ["k"], [id_slice("id", 10)], 20).collect()}
-    monkeypatch.setattr(grouping, "small_rows", lambda df, n=0: None)
+    monkeypatch.setattr(grouping, "small_rows", lambda df, max_rows=0: None)
     assert {(r.id, r.part) for r in split_parts(hot, ["k"], [id_slice("id", 10)], 20).collect()} == plain
 
 
