@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import context, ingest, replies, review, routing, search
+from ..operators import context, ingest, live, replies, review, routing, search
 from ..session import fresh_path
 from .registry import query
-from .replies import CHECKS
+from .replies import CHECKS, CRITIC, PARSED
 
 QUEUE_ORGS = "SELECT 'org' || n_nationkey AS org_id, CAST(n_nationkey * 7 AS BIGINT) AS waiting FROM nation"
 
@@ -72,9 +72,9 @@ def new_entities(t):
     return routing.new_entities(approved(t), t("fx_entities")).select("seq", "org_id", "entity_type", "name")
 
 
-# Every candidate of a source points at the next one of the same source.
+# Every candidate of a source points at the next two of the same source.
 CANDIDATE_EDGES = """SELECT a.source_id, a.name AS from_name, b.name AS to_name, CASE WHEN a.seq % 2 = 0 THEN 'owns' END AS relationship_type
-  FROM fx_candidates a JOIN fx_candidates b ON b.source_id = a.source_id AND b.seq = a.seq + 1 WHERE a.name IS NOT NULL"""
+  FROM fx_candidates a JOIN fx_candidates b ON b.source_id = a.source_id AND b.seq - a.seq BETWEEN 1 AND 2 WHERE a.name IS NOT NULL"""
 RESOLVED = f"""e AS ({CANDIDATE_EDGES}), stored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY org_id, entity_type, name ORDER BY seq) AS rn FROM appr) a WHERE rn = 1 AND name <> '' AND NOT {KNOWN}),
   ids AS (SELECT org_id, entity_type, name, min(id) AS id FROM (SELECT org_id, entity_type, name, id FROM fx_entities WHERE status = 'active' AND name <> ''
     UNION ALL SELECT org_id, entity_type, name, 1000000 + seq FROM stored) GROUP BY ALL),
@@ -84,10 +84,12 @@ RESOLVED = f"""e AS ({CANDIDATE_EDGES}), stored AS (SELECT * FROM (SELECT *, row
     FROM e JOIN ends f ON f.source_id = e.source_id AND f.name = e.from_name JOIN ends t ON t.source_id = e.source_id AND t.name = e.to_name)"""
 
 
-@query("J5", f"WITH r AS ({routed_sql(0.7)}), appr AS (SELECT * FROM r WHERE route = 'approved'), {RESOLVED} SELECT * FROM linked")
+@query("J5", f"WITH r AS ({routed_sql(0.1)}), appr AS (SELECT * FROM r WHERE route = 'approved'), {RESOLVED} SELECT * FROM linked")
 def resolve_edges(t):
-    stored = routing.new_entities(approved(t), t("fx_entities")).withColumn("id", F.lit(1000000) + F.col("seq"))
-    return routing.resolve_edges(t.sql(CANDIDATE_EDGES), approved(t), stored, t("fx_entities"))
+    # A low threshold, so that several candidates of a source are approved.
+    passed = routing.route(t("fx_candidates"), 0.1).filter("route = 'approved'")
+    stored = routing.new_entities(passed, t("fx_entities")).withColumn("id", F.lit(1000000) + F.col("seq"))
+    return routing.resolve_edges(t.sql(CANDIDATE_EDGES), passed, stored, t("fx_entities"))
 
 
 COUNTS = """count(*) AS proposed, count(*) FILTER (WHERE route = 'approved') AS approved, count(*) FILTER (WHERE route = 'rejected') AS rejected, count(*) FILTER (WHERE route = 'pending') AS pending"""
@@ -138,6 +140,37 @@ def backfill_batch(t):
     return ingest.as_rows(ingest.store_backfill(t("fx_candidates"), t("fx_entities"), id_base=1000000))
 
 
+LIVE = f"""{PARSED}, c AS ({CRITIC}),
+  items AS (SELECT source_id, unnest(CAST(json_extract(obj, '$.entities') AS JSON[])) AS item, generate_subscripts(CAST(json_extract(obj, '$.entities') AS JSON[]), 1) - 1 AS pos FROM o WHERE json_type(obj, '$.entities') = 'ARRAY'),
+  cand AS (SELECT i.source_id * 1000 + i.pos AS seq, s.org_id, i.source_id, i.item->>'$.entity_type' AS entity_type, i.item->>'$.name' AS name, i.item->>'$.content' AS content, c.approved, c.confidence_score, c.critic_reason
+    FROM items i JOIN fx_sources s ON s.id = i.source_id JOIN c ON c.seq = i.source_id),
+  links AS (SELECT source_id, unnest(CAST(json_extract(obj, '$.relationships') AS JSON[])) AS item FROM o WHERE json_type(obj, '$.relationships') = 'ARRAY'),
+  r AS (SELECT *, CASE WHEN approved AND confidence_score >= 0.7 THEN 'approved' WHEN confidence_score >= 0.5 THEN 'pending' ELSE 'rejected' END AS route FROM cand),
+  per AS (SELECT org_id, source_id, count(*) FILTER (WHERE route = 'pending') AS pending FROM r GROUP BY ALL),
+  run AS (SELECT org_id, source_id, coalesce(sum(pending) OVER (PARTITION BY org_id ORDER BY source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 20 AS admitted FROM per),
+  ok AS (SELECT r.* FROM r JOIN run ON run.org_id = r.org_id AND run.source_id = r.source_id WHERE run.admitted), appr AS (SELECT * FROM ok WHERE route = 'approved')
+  SELECT 'entity' AS sink, org_id, source_id, 1000000000 + seq AS key, content FROM appr
+  UNION ALL SELECT 'node', org_id, 1000000000 + seq, 1000000000 + seq, content FROM appr
+  UNION ALL SELECT 'edge', f.org_id, 1000000000 + f.seq, 1000000000 + t.seq, l.item->>'$.relationship_type' FROM links l
+    JOIN appr f ON f.source_id = l.source_id AND f.name = l.item->>'$.from_name' JOIN appr t ON t.source_id = l.source_id AND t.name = l.item->>'$.to_name'
+  UNION ALL SELECT 'pending', org_id, source_id, seq, content FROM ok WHERE route = 'pending'
+  UNION ALL SELECT 'log', org_id, source_id, seq, 'REJECTED: ' || coalesce(name, 'None') || ' — ' || coalesce(content, 'None') || ' — Reason: ' || coalesce(critic_reason, 'None') FROM ok WHERE route = 'rejected'
+  UNION ALL SELECT 'log', org_id, source_id, NULL, '{routing.PAUSED}' FROM run WHERE NOT admitted"""
+
+
+@query("T10 T12 R1 W1 W2 J5 J6 S18", LIVE)
+def live_ingest(t):
+    """From extraction and critic replies to every sink; names in the replies are unique."""
+    found = t("fx_replies").join(t("fx_sources").select(F.col("id").alias("source_id"), "org_id"), "source_id")
+    candidates, _ = live.proposals(found)
+    # The critic answered once per source here, for all of its candidates.
+    verdicts = candidates.select("seq", "source_id").join(t("fx_critic").withColumnRenamed("seq", "source_id"), "source_id").select("seq", "reply")
+    queue = t.spark.createDataFrame([], "org_id string, waiting bigint")
+    sinks = live.store_replies(found, verdicts, t("fx_entities"), queue, id_base=1000000000,
+                               keep=ingest.keep_under(fresh_path(t.spark, "live")))
+    return ingest.as_rows(sinks)
+
+
 # --- review ------------------------------------------------------------------
 
 ASKED = "SELECT doc_id AS id, 'user ' || quality AS approved_by FROM labels"

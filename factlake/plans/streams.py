@@ -47,25 +47,24 @@ def stream_unique(t):
     return run_ingest(t, 24 * 20, unique=True, repeat=True)
 
 
-FIRST_WORDS = "split_part(raw_content, ' ', 1)"
 HISTORY = """SELECT doc_id AS id, 'org' || (doc_id % 4) AS org_id, 'slack_history' AS source_type, text AS raw_content,
   CASE WHEN doc_id % 3 > 0 THEN n_chars END AS processed_at FROM documents"""
 
 
-@query("ST3", f"""WITH s AS ({HISTORY}), e AS (SELECT id, org_id, 'Client' AS entity_type, {FIRST_WORDS} AS name, (id * 37) % 101 / 100.0::DOUBLE AS score FROM s WHERE processed_at IS NULL),
+@query("ST3", f"""WITH s AS ({HISTORY}), e AS (SELECT id, org_id, 'Client' AS entity_type, md5(raw_content) AS name, raw_content AS content, (id * 37) % 101 / 100.0::DOUBLE AS score FROM s WHERE processed_at IS NULL),
   f AS (SELECT *, row_number() OVER (PARTITION BY org_id, name ORDER BY id) AS rn FROM e WHERE score >= 0.8)
-  SELECT id * 1000 AS id, org_id, name, id AS source_id FROM f WHERE (rn = 1 OR name = '')
+  SELECT id * 1000 AS id, org_id, name, content, id AS source_id FROM f WHERE (rn = 1 OR name = '')
     AND NOT EXISTS (SELECT 1 FROM fx_entities x WHERE x.status = 'active' AND x.org_id = f.org_id AND x.entity_type = 'Client' AND x.name = f.name)""")
 def stream_backfill(t):
-    """Backlog drained with a stand-in model: the first word of a source is its fact."""
+    """Backlog drained with a stand-in model: each text is a fact, named by its hash, so copies are stored once."""
     out = fresh_path(t.spark, "backfill")
 
     def extract(asked):
         packed = asked.select("request_id", "org_id", "batch_no").join(
             jobs.read_table(t.spark, f"{out}/tables", "packed"), ["org_id", "batch_no"])
         item = F.struct(F.col("idx").alias("message_index"), F.array(F.struct(
-            F.lit("Client").alias("entity_type"), F.split_part("raw_content", F.lit(" "), F.lit(1)).alias("name"),
-            F.lit("c").alias("content"))).alias("entities"))
+            F.lit("Client").alias("entity_type"), F.md5("raw_content").alias("name"),
+            F.col("raw_content").alias("content"))).alias("entities"))
         return packed.groupBy("request_id").agg(F.to_json(F.collect_list(item)).alias("reply"))
 
     def criticise(candidates):
@@ -74,7 +73,7 @@ def stream_backfill(t):
 
     sources = StreamTables(t.spark, t.sf_dir).sql(HISTORY)
     drained(jobs.drain_backfill(sources, t("fx_entities"), f"{out}/tables", f"{out}/checkpoint", extract=extract, criticise=criticise))
-    return jobs.read_table(t.spark, f"{out}/tables", "entities").select("id", "org_id", "name", "source_id")
+    return jobs.read_table(t.spark, f"{out}/tables", "entities").select("id", "org_id", "name", "content", "source_id")
 
 
 @query("ST4", f"WITH {BEATS} SELECT process_name, last_beat_at, last_status, last_error FROM latest")

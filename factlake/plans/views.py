@@ -41,7 +41,7 @@ SELECT DISTINCT 'org' || (event_id % 4) AS org_id, 'C' || (event_id % 8) AS chan
 VIEWS["fx_candidates"] = r"""
 SELECT d.doc_id AS seq, 'org' || ((d.doc_id - d.doc_id % 3) % 4) AS org_id, d.doc_id - d.doc_id % 3 AS source_id,
   CASE d.doc_id % 6 WHEN 0 THEN 'Client' WHEN 1 THEN 'Project' WHEN 2 THEN 'Decision' WHEN 3 THEN 'Person' WHEN 4 THEN 'Process' ELSE 'Belief' END AS entity_type,
-  CASE WHEN d.doc_id % 13 > 0 THEN 'Entity ' || (d.doc_id % 60) END AS name, substr(d.text, 1, 80) AS content,
+  CASE WHEN d.doc_id % 13 > 0 THEN 'Entity ' || (d.doc_id % 60) END AS name, d.text AS content,
   COALESCE(l.quality = 1, d.doc_id % 2 = 0) AS approved, CAST((d.doc_id * 37) % 101 AS DOUBLE) / 100 AS confidence_score, 'reason ' || (d.doc_id % 5) AS critic_reason
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
@@ -163,5 +163,5 @@ SELECT DISTINCT 'org' || (o_custkey % 4) AS org_id, 'C' || o_custkey AS channel_
 """
 
 VIEWS["fx_supersede"] = r"""
-SELECT v.vec_id AS seq, 'org' || (v.vec_id % 4) AS org_id, v.vec_id AS old_id, v.vec_id + 4 * (1 + v.label) AS new_id FROM embeddings v WHERE v.label > 2
+SELECT v.vec_id AS seq, 'org' || (v.vec_id % 4) AS org_id, v.vec_id AS old_id, v.vec_id + 4 * (1 + v.label) AS new_id FROM embeddings v
 """

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import epoch_to_ts
-from ..operators import ingest, messages, metering, replies, requests
+from ..operators import ingest, messages, metering, replies, requests, routing
+from ..operators.grouping import as_lookup
 from ..sources import chat
 
 MICRO_BATCH = "30 minutes"
@@ -63,23 +64,28 @@ def drop_repeats(raw: DataFrame, delay: str = "1 day") -> DataFrame:
 def ingest_messages(
     raw: DataFrame, channels: DataFrame, profiles: DataFrame, out: str, checkpoint: str, *,
     hours_back: float, now: Callable[[], Column] = F.current_timestamp, every: str | None = None,
-    source_type: str = "slack_daily", unique: bool = False,
+    source_type: str = "slack_daily", unique: bool = False, budgets: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """New chat messages of all organisations to ``sources`` and extraction ``requests``.
 
     With ``hours_back=0.5, every=MICRO_BATCH`` this is the half-hourly job, with
-    24 hours and no interval the daily one.
+    24 hours and no interval the daily one. ``budgets`` gives the current
+    ``org_id, over_budget``; organisations over theirs get no requests.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         found = chat.import_messages(batch, channels, profiles, now(), hours_back)
         clean = messages.clean_messages(found, slice_width=3_600_000_000)
         stored = write_batch(chat.index_messages(clean, source_type, now()), out, "sources", batch_id)
-        write_batch(requests.extraction_requests(stored), out, "requests", batch_id)
+        write_batch(_affordable(requests.extraction_requests(stored), budgets), out, "requests", batch_id)
 
     return start(drop_repeats(raw) if unique else raw, handle, checkpoint, every)
 
 
+def _affordable(rows: DataFrame, budgets: Callable[[], DataFrame] | None) -> DataFrame:
+    return rows if budgets is None else requests.within_budget(rows, budgets())
+
+
 ENTITY_ROWS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("org_id", T.StringType()),
     T.StructField("entity_type", T.StringType()), T.StructField("name", T.StringType()),
@@ -93,6 +99,7 @@ PER_SOURCE = 1000
 def drain_backfill(
     sources: DataFrame, entities: DataFrame, out: str, checkpoint: str, *,
     extract: Callable[[DataFrame], DataFrame], criticise: Callable[[DataFrame], DataFrame], every: str | None = None,
+    budgets: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Unprocessed history in batches through extraction, review and storing.
 
@@ -104,7 +111,7 @@ def drain_backfill(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = requests.backlog(batch).select("id", "org_id", "raw_content")
+        rows = _affordable(requests.backlog(batch).select("id", "org_id", "raw_content"), budgets)
         packed = write_batch(requests.pack_batches(rows), out, "packed", batch_id)
         asked = write_batch(requests.batch_requests(packed), out, "requests", batch_id)
         answered = asked.select("request_id", "org_id", "batch_no", "n").join(extract(asked), "request_id")
@@ -120,8 +127,10 @@ def drain_backfill(
         scored = stored.join(verdicts, "seq")
         # Own rows of an earlier attempt at this batch do not count as stored.
         earlier = read_table(spark, out, "entities", ENTITY_ROWS).filter(F.col("batch_id") < batch_id)
+        # Only names of this batch matter; where they are few, the big table is filtered as it is read.
+        names = as_lookup(stored.select(*routing.IDENTITY).distinct())
         known = entities.select("id", "org_id", "entity_type", "name", "status").unionByName(
-            earlier.select("id", "org_id", "entity_type", "name", "status"))
+            earlier.select("id", "org_id", "entity_type", "name", "status")).join(names, routing.IDENTITY, "left_semi")
         ingest.write(ingest.store_backfill(scored, known, id_base=0), out, batch_id)
         write_batch(found.select("id").distinct(), out, "processed", batch_id)
 
