@@ -44,22 +44,24 @@ def resembling(new: DataFrame, entities: DataFrame, k: int = 5, include_self: bo
 
 def contradictions(
     candidates: DataFrame, entities: DataFrame, embed: Callable[[DataFrame], DataFrame],
-    check: Callable[[DataFrame], DataFrame], id_base: int = 0,
+    check: Callable[[DataFrame], DataFrame], id_base: int = 0, keep: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Review items for new facts that contradict older ones.
 
     Looked for among all facts the batch could store: those past the queue cap
     come after the crossing and do not move it. ``embed`` adds ``embedding`` to
     rows with ``content``; ``check`` turns facts with their ``fact_block`` into
-    ``query_id, reply``.
+    ``query_id, reply``. ``keep`` stores the new facts, their neighbours and the
+    notes, each of which is read more than once.
     """
+    keep = keep or (lambda df, _: df)
     approved = routing.route(candidates).filter("route = 'approved'")
-    new = embed(routing.new_entities(approved, entities).withColumn("id", F.lit(id_base) + F.col("seq")))
-    hits = resembling(new, entities)
+    new = keep(embed(routing.new_entities(approved, entities).withColumn("id", F.lit(id_base) + F.col("seq"))), "new_facts")
+    hits = keep(resembling(new, entities), "neighbours")
     blocks = context.fact_blocks(new.select(F.col("id").alias("query_id"), "org_id", "content"), hits)
     asked = blocks.filter(F.col("fact_block") != context.NO_HITS)
     verdicts = replies.contradiction_verdicts(check(asked)).withColumnRenamed("query_id", "id")
-    return context.contradiction_notes(new, hits, verdicts)
+    return keep(context.contradiction_notes(new, hits, verdicts), "notes")
 
 
 def store_replies(

@@ -31,20 +31,20 @@ def run_ingest(t, hours: float, unique: bool = False, repeat: bool = False):
     return jobs.read_table(t.spark, f"{out}/tables", "sources").select("id", "org_id", "channel_id", "raw_content", "source_type")
 
 
-@query("ST1", ingested(0.5 * 480))
+@query("ST1", ingested(0.5 * 960))
 def stream_micro_batch(t):
-    return run_ingest(t, 0.5 * 480)
+    return run_ingest(t, 0.5 * 960)
 
 
-@query("ST2", ingested(24 * 20))
+@query("ST2", ingested(24 * 30))
 def stream_daily(t):
-    return run_ingest(t, 24 * 20)
+    return run_ingest(t, 24 * 30)
 
 
-@query("ST6", ingested(24 * 20))
+@query("ST6", ingested(24 * 30))
 def stream_unique(t):
     """The export delivered twice, as overlapping look-backs do, stored once."""
-    return run_ingest(t, 24 * 20, unique=True, repeat=True)
+    return run_ingest(t, 24 * 30, unique=True, repeat=True)
 
 
 HISTORY = """SELECT doc_id AS id, 'org' || (doc_id % 4) AS org_id, 'slack_history' AS source_type, text AS raw_content,

@@ -38,9 +38,8 @@ def ordered(columns: list[str], rows) -> list[str]:
     return sorted(repr([plain(r[i]) for i in at]) for r in rows)
 
 
-def compare(query, tables, con) -> tuple[int, list[str]]:
+def compare(query, df, con) -> tuple[int, list[str]]:
     """Row count and the differences found, empty where all agrees."""
-    df = query.run(tables)
     got = ordered(df.columns, df.collect())
     if query.sql is None:
         return len(got), []
@@ -82,7 +81,7 @@ def main(argv: list[str]) -> None:
             continue
         began = time.time()
         try:
-            n, faults = compare(q, Tables(spark, sf_dir), con)
+            n, faults = compare(q, q.run(Tables(spark, sf_dir)), con)
         except Exception as e:  # noqa: BLE001
             n, faults = -1, [f"{type(e).__name__}: {str(e)[:900]}"]
         bad += bool(faults)

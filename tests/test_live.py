@@ -4,10 +4,12 @@ import json
 
 from pyspark.sql import functions as F
 
-from factlake.operators import live, requests, search
+from factlake.operators import ingest, live, requests, search
 
 
-def test_replies_to_sinks(spark):
+def test_replies_to_sinks(spark, folder):
+    keep = ingest.keep_under(folder)
+
     def reply(*entities, edges=()):
         return json.dumps({"entities": [dict(entity_type=t, name=n, content=c) for t, n, c in entities],
                            "relationships": [dict(from_name=a, to_name=b, relationship_type=k) for a, b, k in edges]})
@@ -32,9 +34,9 @@ def test_replies_to_sinks(spark):
         seen.extend(requests.contradiction_requests(blocks).collect())
         return blocks.select("query_id", F.when(F.col("query_id") == 2002, '{"contradiction": true, "reason": "again"}').otherwise("?").alias("reply"))
 
-    stored = embed(entities)
-    scored = live.scored(candidates, verdicts)
-    notes = live.contradictions(scored, stored, embed, check)
+    stored = keep(embed(entities), "stored")
+    scored = keep(live.scored(candidates, verdicts), "scored")
+    notes = live.contradictions(scored, stored, embed, check, keep=keep)
     # The second Acme is a repeat; Bob waits for review; every other new fact but the one of p has an older one.
     assert {r.request_id for r in seen} == {"1000", "1001", "2002"}
     note = notes.collect()
@@ -44,7 +46,7 @@ def test_replies_to_sinks(spark):
     assert note[0].content.startswith("NEW: red car sold\n\n") and note[0].content.endswith("REASON: again")
 
     queue = spark.createDataFrame([("o", 18)], "org_id string, waiting bigint")
-    sinks = live.store_replies(extractions, verdicts, entities, queue, notes=notes)
+    sinks = live.store_replies(extractions, verdicts, entities, queue, notes=notes, keep=keep)
     assert sorted(r.id for r in sinks.entities.collect()) == [1000, 1001, 2002, 4000]
     assert sorted((r.from_id, r.to_id, r.relationship_type) for r in sinks.edges.collect()) == [(1001, 1000, "owns")]
     assert [r.seq for r in sinks.pending.collect()] == [2001]

@@ -30,12 +30,6 @@ def details(df):
     return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream")])
-def test_no_nested_loops(spark, name):
-    text = plan(QUERIES[name].run(Tables(spark, SMALL)))
-    assert "CartesianProduct" not in text and "NestedLoop" not in text
-
-
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     base = str(tmp_path_factory.mktemp("stored"))
