@@ -1,4 +1,8 @@
-"""Column functions that read model replies."""
+"""Column functions that read model replies.
+
+The verdict functions take a parsed reply. Parse it into a column of its own
+first, so that it is parsed once per row.
+"""
 
 from __future__ import annotations
 
@@ -52,13 +56,12 @@ def truthy(value: Column, path: str) -> Column:
     )
 
 
-def critic_verdict(reply: Column) -> Column:
+def critic_verdict(value: Column) -> Column:
     """``approved``, ``confidence_score`` and ``reason`` of a critic reply.
 
     An absent member takes its default; a reply that is no JSON object, or whose
     score is no number, becomes the invalid-response verdict.
     """
-    value = parsed(reply)
     has_score = F.schema_of_variant(member(value, "$.confidence_score", "variant")).isNotNull()
     number = member(value, "$.confidence_score", "double")
     score = F.when(has_score, number).otherwise(F.lit(0.5))
@@ -70,8 +73,7 @@ def critic_verdict(reply: Column) -> Column:
     )
 
 
-def contradiction_verdict(reply: Column) -> Column:
-    value = parsed(reply)
+def contradiction_verdict(value: Column) -> Column:
     good = is_object(value)
     return F.struct(
         F.when(good, F.coalesce(truthy(value, "$.contradiction"), F.lit(False))).otherwise(False).alias("contradiction"),
@@ -79,8 +81,7 @@ def contradiction_verdict(reply: Column) -> Column:
     )
 
 
-def belief_verdict(reply: Column) -> Column:
-    value = parsed(reply)
+def belief_verdict(value: Column) -> Column:
     return F.struct(
         F.coalesce(truthy(value, "$.conflict"), F.lit(False)).alias("conflict"),
         F.coalesce(member(value, "$.belief", "string"), F.lit("")).alias("belief"),

@@ -59,12 +59,12 @@ def store_batch(
     computed once.
     """
     keep = keep or (lambda df, _: df)
-    routed = routing.route(candidates, threshold)
+    routed = keep(routing.route(candidates, threshold), "routed")
     pending = routing.pending_per_source(routed)
     if contradictions is not None:
         extra = contradictions.groupBy("org_id", "source_id").agg(F.count("*").alias("pending"))
         pending = pending.unionByName(extra).groupBy("org_id", "source_id").agg(F.sum("pending").alias("pending"))
-    flagged = keep(routing.admit(routed, routing.queue_cutoffs(pending, queue, cap)), "routed")
+    flagged = routing.admit(routed, routing.queue_cutoffs(pending, queue, cap))
     kept = flagged.filter("admitted").drop("admitted")
     approved = kept.filter("route = 'approved'")
     new = keep(_entities(routing.new_entities(approved, entities), id_base), "new_entities")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import replies as R
@@ -45,11 +47,11 @@ def unpack_batches(replies: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("at"), F.array().cast(f"array<{R.ENTITY}>").alias("entities"),
         F.array().cast(f"array<{R.EDGE}>").alias("relationships"),
     )
-    picked = F.transform(positions, lambda i: F.coalesce(
-        F.try_element_at(F.filter("found_", lambda f: f["at"] == i), F.lit(-1)), nothing))
+    # Wrapped in a list of one, the items are bound to a name and read once per row.
+    picked = F.transform(F.array(found), lambda items_: F.transform(positions, lambda i: F.coalesce(
+        F.try_element_at(F.filter(items_, lambda f: f["at"] == i), F.lit(-1)), nothing)))
     return (
-        replies.withColumn("found_", found).withColumn("picked_", picked)
-        .select("batch_id", F.posexplode("picked_").alias("idx", "p"))
+        replies.select("batch_id", F.posexplode(picked.getItem(0)).alias("idx", "p"))
         .select("batch_id", "idx", "p.entities", "p.relationships")
     )
 
@@ -59,15 +61,23 @@ def attach_sources(unpacked: DataFrame, packed: DataFrame) -> DataFrame:
     return packed.join(unpacked, ["org_id", "batch_no", "idx"])
 
 
+def _judged(replies: DataFrame, col: str, verdict: Callable[[Column], Column]) -> DataFrame:
+    """Replies with the members of their verdict.
+
+    The verdict passes through a generator of one row: a later filter on it is
+    then not pushed below, where it would repeat the parsing in its condition.
+    """
+    parsed = replies.withColumn("value_", R.parsed(F.col(col)))
+    return parsed.select(*replies.columns, F.inline_outer(F.array(verdict(F.col("value_")))))
+
+
 def critic_verdicts(replies: DataFrame) -> DataFrame:
-    return replies.withColumn("v_", R.critic_verdict(F.col("reply"))).select(
-        *replies.columns, "v_.approved", "v_.confidence_score", F.col("v_.reason").alias("critic_reason")
-    )
+    return _judged(replies, "reply", R.critic_verdict).withColumnRenamed("reason", "critic_reason")
 
 
 def contradiction_verdicts(replies: DataFrame, col: str = "reply") -> DataFrame:
-    return replies.withColumn("v_", R.contradiction_verdict(F.col(col))).select(*replies.columns, "v_.*")
+    return _judged(replies, col, R.contradiction_verdict)
 
 
 def belief_verdicts(replies: DataFrame, col: str = "belief_reply") -> DataFrame:
-    return replies.withColumn("v_", R.belief_verdict(F.col(col))).select(*replies.columns, "v_.*")
+    return _judged(replies, col, R.belief_verdict)

@@ -96,7 +96,7 @@ CRITIC = [
 
 def test_critic_verdicts(spark):
     df = spark.createDataFrame([(r,) for r, _ in CRITIC], "reply string")
-    got = [tuple(r.v) for r in df.select(R.critic_verdict(F.col("reply")).alias("v")).collect()]
+    got = [tuple(r.v) for r in df.select(R.critic_verdict(R.parsed(F.col("reply"))).alias("v")).collect()]
     assert got == [w for _, w in CRITIC]
 
 
