@@ -74,7 +74,8 @@ def ingest_messages(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        found = chat.import_messages(batch, channels, profiles, now(), hours_back)
+        # Stored first: cleaning reads it more than once, the stream and its state are read once.
+        found = write_batch(chat.import_messages(batch, channels, profiles, now(), hours_back), out, "messages", batch_id)
         clean = messages.clean_messages(found, slice_width=3_600_000_000)
         stored = write_batch(chat.index_messages(clean, source_type, now()), out, "sources", batch_id)
         write_batch(_affordable(requests.extraction_requests(stored), budgets), out, "requests", batch_id)
