@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,9 +38,21 @@ def tune(spark: SparkSession) -> SparkSession:
     """Applies the settings to a session someone else built."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a cluster, once per application."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or getattr(context, "_factlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    zipped = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "factlake"), "zip", root, "factlake")
+    context.addPyFile(zipped)
+    context._factlake_shipped = True
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
