@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, url_filter
+from .url_filter import Rule
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -29,3 +30,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document and their decoding, as digests."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), ["doc_id"], "text",
                           public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
+#: The rules of the query.
+RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"),
+         Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
+
+
+@_query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), ["page_id"], "url", RULES)
+
+
+SQL["op6_url_filter"] = url_filter.duck_sql(RULES)
