@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, url_filter
+from . import bpe, mixing, url_filter
 from .url_filter import Rule
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -44,3 +44,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op6_url_filter"] = url_filter.duck_sql(RULES)
+
+
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.report(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
