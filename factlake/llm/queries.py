@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, url_filter
+from . import bpe, language, mixing, url_filter
+from .common import fold
 from .url_filter import Rule
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -50,3 +52,11 @@ SQL["op6_url_filter"] = url_filter.duck_sql(RULES)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.report(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+@_query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    model = language.learn(docs.filter(~F.col("held_out")), "doc_id", "text", "lang")
+    return language.predict(docs, ["doc_id", "held_out"], "text", model)
