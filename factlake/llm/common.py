@@ -52,19 +52,16 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the multiplier and of its inverse, as long as the longest slice so far."""
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
 
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            with np.errstate(over="ignore"):
-                cls.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, dtype=np.uint64)]))
-                cls.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE, dtype=np.uint64)]))
-        return cls.up[:n], cls.down[:n]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the multiplier and of its inverse; kept, as long as the longest asked for."""
+    if len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            for i, base in enumerate((_BASE, _INVERSE)):
+                _POWERS[i] = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n - 1, base, dtype=np.uint64)]))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def _hash_slice(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +78,7 @@ def _hash_slice(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     closes = np.ones(len(raw), dtype=bool)
     closes[:-1] = fresh[1:] | ~inside[1:]
     ends = np.flatnonzero(inside & closes)
-    up, down = _Powers.to(len(raw))
+    up, down = powers(len(raw))
     with np.errstate(over="ignore"):
         sums = np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up)
         before = np.where(starts > 0, sums[starts - 1], np.uint64(0))

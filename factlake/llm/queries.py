@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, url_filter
+from . import bpe, language, mixing, toxicity, url_filter
 from .common import fold
 from .url_filter import Rule
 
@@ -60,3 +60,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     model = language.learn(docs.filter(~F.col("held_out")), "doc_id", "text", "lang")
     return language.predict(docs, ["doc_id", "held_out"], "text", model)
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from four fifths of the labels."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", may_learn=fold("doc_id", 5) != 0)
+    return toxicity.score(docs, ["doc_id", "held_out"], "text", model)

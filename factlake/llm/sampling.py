@@ -13,14 +13,22 @@ def labelled_sample(docs: DataFrame, key: str, label: str, per_label: int, max_l
     at most ``per_label * max_labels``, which is checked. ``docs`` must hold only
     rows that may be learned from. Rows that share a picked id all come along.
     """
-    order = F.xxhash64(F.col(key).cast("string"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order, key))
+    spark = docs.sparkSession
+    known = docs.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label)
+    sizes = known.groupBy(label).agg(F.count("*").alias("held")).limit(max_labels + 1).collect()
+    if len(sizes) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
+    # A cut in the hashed order leaves about four times what is wanted, so that no
+    # label, however common, brings all its rows to one task to be ranked.
+    cuts = spark.createDataFrame([(r[0], min(1.0, 4 * per_label / r.held)) for r in sizes],
+                                 known.select(F.col(label).alias("named"), F.lit(0.0).alias("part")).schema)
+    place = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 11) / float(1 << 53)
+    ranked = Window.partitionBy(label).orderBy("place", key)
     ids = (
-        docs.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).distinct()
-        .withColumn("rank", rank).filter(F.col("rank") <= per_label)
-        .select(F.col(key).alias("picked")).distinct().limit(per_label * max_labels + 1).collect()
+        known.withColumn("place", place).join(F.broadcast(cuts), known[label] == F.col("named"))
+        .filter(F.col("place") < F.col("part")).select(key, label, "place").distinct()
+        .withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= per_label)
+        .select(F.col(key).alias("picked")).distinct().collect()
     )
-    if len(ids) > per_label * max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    picked = docs.sparkSession.createDataFrame(ids, docs.select(F.col(key).alias("picked")).schema)
+    picked = spark.createDataFrame(ids, docs.select(F.col(key).alias("picked")).schema)
     return docs.join(F.broadcast(picked), docs[key] == F.col("picked"), "left_semi")
