@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, toxicity, url_filter
+from . import bpe, fingerprint, language, mixing, toxicity, url_filter
 from .common import fold
 from .url_filter import Rule
 
@@ -68,3 +68,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", may_learn=fold("doc_id", 5) != 0)
     return toxicity.score(docs, ["doc_id", "held_out"], "text", model)
+
+
+@_query
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return fingerprint.compare_edits(_table(spark, sf_dir, "documents"), "doc_id", "text")
