@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, mixing, toxicity, url_filter
+from . import bpe, fingerprint, language, mixing, prefix_forest, toxicity, url_filter
 from .common import fold
 from .url_filter import Rule
 
@@ -74,3 +74,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness."""
     return fingerprint.compare_edits(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return prefix_forest.nearest(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding")
