@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, mixing, prefix_forest, toxicity, url_filter
+from . import bpe, fingerprint, language, mixing, prefix_forest, toxicity, url_filter, warc_derive
 from .common import fold
 from .url_filter import Rule
 
@@ -81,3 +81,13 @@ def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth."""
     rows = _table(spark, sf_dir, "embeddings")
     return prefix_forest.nearest(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding")
+
+
+@_query
+def op3_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    made = warc_derive.derive(warc_derive.responses(_table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    return made.withColumnRenamed("source_key", "page_id")
+
+
+SQL["op3_warc_derive"] = warc_derive.DUCK_SQL
