@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, mixing, prefix_forest, toxicity, url_filter, warc_derive
+from . import bpe, fingerprint, language, minhash_forest, mixing, prefix_forest, toxicity, url_filter, warc_derive
 from .common import fold
 from .url_filter import Rule
 
@@ -91,3 +91,9 @@ def op3_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op3_warc_derive"] = warc_derive.DUCK_SQL
+
+
+@_query
+def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
