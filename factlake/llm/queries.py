@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, minhash_forest, mixing, prefix_forest, toxicity, url_filter, warc_derive
+from . import bpe, fingerprint, language, minhash_forest, mixing, pitman_yor, prefix_forest, toxicity, url_filter, warc_derive
 from .common import fold
 from .url_filter import Rule
 
@@ -97,3 +97,9 @@ SQL["op3_warc_derive"] = warc_derive.DUCK_SQL
 def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
     return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, learned from six sevenths of them."""
+    return pitman_yor.score(_table(spark, sf_dir, "documents"), "doc_id", "text", fold("doc_id", 7) == 2)
