@@ -114,8 +114,10 @@ def strip_fence(reply: Column) -> Column:
 
 
 def decode_base64url(data: Column) -> Column:
-    """URL-safe base64 to text; bytes that are not UTF-8 are dropped."""
-    raw = F.unbase64(F.translate(data, "-_", "+/"))
+    """URL-safe base64 to text, with or without padding; bytes that are not UTF-8 are dropped, other text is null."""
+    plain = F.regexp_replace(F.translate(data, "-_", "+/"), r"[\s=]", "")
+    padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), "=")
+    raw = F.try_to_binary(padded, F.lit("base64"))
     return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
 
 

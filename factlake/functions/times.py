@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def epoch_to_ts(text: Column) -> Column:
-    """``1683456789.123456`` to a timestamp, exact to the microsecond."""
-    return F.timestamp_micros((text.cast("decimal(20,6)") * F.lit(1000000)).cast("bigint"))
+    """``1683456789.123456`` to a timestamp, exact to the microsecond; null for other text."""
+    return F.timestamp_micros((text.try_cast("decimal(20,6)") * F.lit(1000000)).cast("bigint"))
 
 
 def month_of(ts: Column) -> Column:

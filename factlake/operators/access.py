@@ -47,17 +47,17 @@ def visible_pairs(rows: DataFrame, memberships: DataFrame) -> DataFrame:
 
 
 def access_class() -> Column:
-    """Group of rows with one audience: empty for open rows, else the channel."""
-    return F.when(is_open(), F.lit("")).otherwise(F.col("channel_id"))
+    """Group of rows with one audience: ``open``, or the members of a channel, whatever its id."""
+    return F.when(is_open(), F.lit("open")).otherwise(F.concat(F.lit("in:"), "channel_id"))
 
 
 def with_access_classes(questions: DataFrame, memberships: DataFrame) -> DataFrame:
     """Each question once per audience its user belongs to."""
     mine = memberships.select(
         F.col("org_id").alias("m_org"), F.col("user_id").alias("m_user"),
-        F.col("channel_id").alias("access_class"),
+        F.concat(F.lit("in:"), "channel_id").alias("access_class"),
     ).distinct()
     closed = questions.join(
         mine, (questions["org_id"] == mine["m_org"]) & (questions["user_id"] == mine["m_user"])
     ).drop("m_org", "m_user")
-    return questions.withColumn("access_class", F.lit("")).unionByName(closed)
+    return questions.withColumn("access_class", F.lit("open")).unionByName(closed)

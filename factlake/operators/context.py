@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .grouping import fresh_keys, joined_lines, split_parts
+from .grouping import MAX_ROWS, fresh_keys, id_slice, joined_lines, ordered_texts
 
 # fixed values
 NO_PROFILE = "No business profile found for this organisation."
 NO_FACTS = "No entities on record yet."
 NO_HITS = "No relevant facts found in memory."
 NO_EDGES = "No relationship data found."
-SNAPSHOT_LINES = 10_000
 
 
 def fact_line() -> Column:
@@ -43,37 +42,28 @@ def active(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("superseded_at").isNull())
 
 
-def snapshots(orgs: DataFrame, profiles: DataFrame, facts: DataFrame, max_lines: int = SNAPSHOT_LINES) -> DataFrame:
+def snapshots(orgs: DataFrame, profiles: DataFrame, facts: DataFrame) -> DataFrame:
     """Context text of each organisation in ``orgs``: profile, then facts by type, newest first.
 
-    An organisation with more than ``max_lines`` facts continues in further
-    ``part`` rows cut at type and hour borders, which keeps any one row and
-    task small.
+    ``part`` is always 0: a snapshot is one row however many facts it has.
     """
     hour = ("hour_slice", F.date_trunc("hour", F.col("created_at").cast("timestamp")), False)
     lines = active(facts).select("org_id", "entity_type", "created_at", "id", fact_line().alias("line"))
-    parts = split_parts(lines, ["org_id"], [("type_slice", F.col("entity_type"), True), hour], max_lines)
-    blocks = parts.groupBy("org_id", "part").agg(joined_lines("line", "entity_type, created_at DESC, id", name="facts"))
+    blocks = ordered_texts(lines, ["org_id"], [("type_slice", F.col("entity_type"), True), hour],
+                           "entity_type, created_at DESC, id", {"facts": ("line", "\\n")})
     heads = profiles.select("org_id", profile_header().alias("header"))
-    # Parts above 0 hold facts only, so the profile is shown once.
-    first = F.coalesce("part", F.lit(0)) == 0
-    text = (
-        F.when(F.col("header").isNull(), NO_PROFILE)
-        .when(first, F.concat("header", F.lit("\n\n== Known facts ==\n"), F.coalesce("facts", F.lit(NO_FACTS))))
-        .otherwise(F.col("facts"))
-    )
+    text = F.when(F.col("header").isNull(), NO_PROFILE).otherwise(
+        F.concat("header", F.lit("\n\n== Known facts ==\n"), F.coalesce("facts", F.lit(NO_FACTS))))
     rows = orgs.select("org_id").join(heads, "org_id", "left").join(blocks, "org_id", "left")
-    return rows.filter(F.col("header").isNotNull() | first).select(
-        "org_id", F.coalesce("part", F.lit(0)).cast("bigint").alias("part"), text.alias("context")
-    )
+    return rows.select("org_id", F.lit(0).cast("bigint").alias("part"), text.alias("context"))
 
 
-def belief_blocks(facts: DataFrame, max_lines: int = SNAPSHOT_LINES) -> DataFrame:
-    """Active beliefs of each organisation as lines, in parts where there are many."""
+def belief_blocks(facts: DataFrame, slice_width: int = MAX_ROWS) -> DataFrame:
+    """Active beliefs of each organisation as lines, one row per organisation (``part`` is 0)."""
     beliefs = active(facts).filter(F.col("entity_type") == "Belief").select(
         "org_id", "id", F.concat(F.lit("- "), "content").alias("line"))
-    parts = split_parts(beliefs, ["org_id"], [("slice_no", F.floor(F.col("id") / max_lines), True)], max_lines)
-    return parts.groupBy("org_id", "part").agg(joined_lines("line", "id", name="beliefs"))
+    return ordered_texts(beliefs, ["org_id"], [id_slice("id", slice_width)], "id", {"beliefs": ("line", "\\n")}).withColumn(
+        "part", F.lit(0).cast("bigint"))
 
 
 def hits_with_facts(hits: DataFrame, facts: DataFrame) -> DataFrame:
@@ -96,12 +86,6 @@ def citations(hits: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def citation_lists(cited: DataFrame) -> DataFrame:
-    """Citations of each query as an ordered list, at most ``k`` long."""
-    item = F.struct("rank", "source_id", "entity_type", "name", "permalink", "source_type")
-    return cited.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("citations"))
-
-
 def relationship_blocks(edges: DataFrame) -> DataFrame:
     """Edge lines per organisation; ``edges`` is the limited edge list with its ``rank``."""
     return edges.withColumn("line", edge_line()).groupBy("org_id").agg(joined_lines("line", "rank", name="edge_block"))

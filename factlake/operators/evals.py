@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.replies import judge_score
 from ..functions.times import percent
+from .memory import last_change
 
 GOAL = 80
 
@@ -31,7 +32,7 @@ def pass_rates(orgs: DataFrame, scores: DataFrame) -> DataFrame:
 
 def write_back(evals: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     """Checks with the score, answer and time of their last run (``id, score, actual``)."""
-    new = results.select("id", F.col("score").alias("new_score"), F.col("actual").alias("new_actual"), F.lit(True).alias("ran"))
+    new = last_change(results, "id").select("id", F.col("score").alias("new_score"), F.col("actual").alias("new_actual"), F.lit(True).alias("ran"))
 
     def old(c: str, kind: str) -> Column:
         return F.col(c) if c in evals.columns else F.lit(None).cast(kind)

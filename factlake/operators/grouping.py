@@ -13,23 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ROWS = 100_000
-SMALL_ROWS = 50_000
-
-
-def small_rows(df: DataFrame, max_rows: int = SMALL_ROWS) -> list | None:
-    """The rows of a lookup table if there are at most ``max_rows``, else None.
-
-    No more than ``max_rows + 1`` rows ever reach the driver, so the answer is
-    also the size check for broadcasting them.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
-def as_lookup(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """The table itself, marked for broadcast if it was found to be small."""
-    rows = small_rows(df, max_rows)
-    return df if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def fresh_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -80,50 +63,24 @@ def id_slice(col: str, width: int = MAX_ROWS) -> tuple[str, Column, bool]:
     return ("slice_no", F.floor(F.col(col) / width), True)
 
 
-def split_parts(
-    df: DataFrame, keys: list[str], slices: list[tuple[str, Column, bool]],
-    max_rows: int = MAX_ROWS, name: str = "part", counted: DataFrame | None = None,
+def ordered_texts(
+    df: DataFrame, keys: list[str], slices: list[tuple[str, Column, bool]], order: str,
+    texts: dict[str, tuple[str, str]], also: list[tuple[str, Column, Column]] | None = None,
 ) -> DataFrame:
-    """Number the ordered parts of each group; 0 for a group of at most ``max_rows`` rows.
+    """One row per group with its lines joined in ``order``, by one rule at every size.
 
-    A larger group is cut at slice borders (see ``group_ordinal``) into parts of
-    about ``max_rows`` rows. ``counted`` may name a cheaper frame to count, as
-    long as it holds every row of ``df``. Slices are counted for the larger
-    groups only, of which there are at most ``rows / max_rows``.
+    ``texts`` maps an output column to the line (SQL) and its separator. Lines
+    are sorted and joined slice by slice (see ``group_ordinal`` for ``slices``),
+    then the slices are joined, so that no task sorts the lines of a whole large group.
+    ``also`` adds aggregates: name, the aggregate of rows, the aggregate of slices.
     """
-    base = df if counted is None else counted
+    also = also or []
     names = [c for c, _, _ in slices]
-    sliced = base.select(*keys, *[e.alias(c) for c, e, _ in slices])
-    large = (
-        sliced.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > max_rows)
-        .select(*[F.col(k).alias(f"g_{k}") for k in keys])
-    )
-    keys_found = small_rows(large)
-    if keys_found == []:
-        # The usual case: no group is large, and the rows need no join at all.
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    if keys_found is not None:
-        large = F.broadcast(df.sparkSession.createDataFrame(keys_found, large.schema))
-    in_large = reduce(lambda a, b: a & b, [sliced[k].eqNullSafe(large[f"g_{k}"]) for k in keys])
-    before = Window.partitionBy(*keys).orderBy(
-        *[F.col(c).asc() if up else F.col(c).desc() for c, _, up in slices]
-    ).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
-        sliced.join(large, in_large, "left_semi")
-        .groupBy(*keys, *names).agg(F.count("*").alias("n"))
-        .select(
-            *[F.col(c).alias(f"p_{c}") for c in keys + names],
-            F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / max_rows).alias("cut"),
-        )
-    )
-    cuts = as_lookup(cuts)
-    rows = df.withColumns({c: e for c, e, _ in slices})
-    on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(cuts[f"p_{c}"]) for c in keys + names])
-    return (
-        rows.join(cuts, on, "left")
-        .withColumn(name, F.coalesce(F.col("cut"), F.lit(0)).cast("bigint"))
-        .drop("cut", *names, *[f"p_{c}" for c in keys + names])
-    )
+    pieces = df.withColumns({c: e for c, e, _ in slices}).groupBy(*keys, *names).agg(
+        *[joined_lines(line, order, sep, name) for name, (line, sep) in texts.items()], *[rows.alias(name) for name, rows, _ in also])
+    by = ", ".join(c if up else f"{c} DESC" for c, _, up in slices)
+    return pieces.groupBy(*keys).agg(
+        *[joined_lines(name, by, sep, name) for name, (_, sep) in texts.items()], *[parts.alias(name) for name, _, parts in also])
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

@@ -15,7 +15,11 @@ STORED_BY = "coo_critic"
 
 @dataclass
 class Sinks:
-    """Rows to add to each table. ``edges`` and ``paused`` are None on the backfill path."""
+    """Rows to add to each table. ``edges``, ``paused`` and ``held`` are None on the backfill path.
+
+    ``held`` has the candidates of sources that met a full queue, as they came:
+    they are given to ``store_batch`` again once the queue has room.
+    """
 
     entities: DataFrame
     nodes: DataFrame
@@ -23,6 +27,7 @@ class Sinks:
     rejected: DataFrame
     edges: DataFrame | None = None
     paused: DataFrame | None = None
+    held: DataFrame | None = None
 
 
 def _entities(new: DataFrame, id_base: int) -> DataFrame:
@@ -46,7 +51,7 @@ def _pending(rows: DataFrame) -> DataFrame:
 def store_batch(
     candidates: DataFrame, edges: DataFrame, entities: DataFrame, queue: DataFrame, *,
     contradictions: DataFrame | None = None, id_base: int = 0, keep: Callable[[DataFrame, str], DataFrame] | None = None,
-    threshold: float = routing.LIVE_THRESHOLD, cap: int = routing.QUEUE_CAP,
+    threshold: float = routing.LIVE_THRESHOLD, cap: int | None = routing.QUEUE_CAP,
 ) -> Sinks:
     """Live path: route, stop at a full queue, store the first of each name, wire edges.
 
@@ -54,7 +59,8 @@ def store_batch(
     approved, confidence_score, critic_reason``; ``seq`` grows with
     ``source_id``. ``queue`` has the items already waiting per organisation.
     ``contradictions`` are review rows (``org_id, source_id, …``) found for the
-    stored facts; they fill the queue too. ``keep`` stores a table under a name
+    stored facts; they fill the queue too, and with the ``id`` of their fact they
+    are put in it. ``keep`` stores a table under a name
     and returns it as stored; with it the two tables that several sinks read are
     computed once.
     """
@@ -64,14 +70,22 @@ def store_batch(
     if contradictions is not None:
         extra = contradictions.groupBy("org_id", "source_id").agg(F.count("*").alias("pending"))
         pending = pending.unionByName(extra).groupBy("org_id", "source_id").agg(F.sum("pending").alias("pending"))
-    flagged = routing.admit(routed, routing.queue_cutoffs(pending, queue, cap))
+    # Without a cap nothing waits.
+    cutoffs = routing.queue_cutoffs(pending, queue, cap) if cap is not None else pending.select(
+        "org_id", F.col("source_id").alias("last_source")).limit(0)
+    flagged = routing.admit(routed, cutoffs)
     kept = flagged.filter("admitted").drop("admitted")
     approved = kept.filter("route = 'approved'")
     new = keep(_entities(routing.new_entities(approved, entities), id_base), "new_entities")
+    waiting = _pending(kept.filter("route = 'pending'"))
+    if contradictions is not None and "id" in contradictions.columns:
+        notes = routing.admit(contradictions, cutoffs).filter("admitted").join(new.select("id", "seq"), "id")
+        waiting = waiting.unionByName(notes.select(*waiting.columns))
     return Sinks(
-        entities=new, nodes=_nodes(new), pending=_pending(kept.filter("route = 'pending'")),
+        entities=new, nodes=_nodes(new), pending=waiting,
         rejected=routing.rejection_logs(kept.filter("route = 'rejected'")),
         edges=routing.resolve_edges(edges, approved, new, entities), paused=routing.pause_logs(flagged),
+        held=flagged.filter("NOT admitted").select(*candidates.columns),
     )
 
 

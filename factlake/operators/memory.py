@@ -141,9 +141,15 @@ def mark_processed(sources: DataFrame, done: DataFrame, now: Column) -> DataFram
         "processed_at", F.when(F.col("done_"), now).otherwise(F.col("processed_at"))).drop("done_")
 
 
+def last_change(changes: DataFrame, key: str) -> DataFrame:
+    """One change per key: the last by ``seq``, or without one the greatest row, so that reruns agree."""
+    order = F.col("seq") if "seq" in changes.columns else F.struct(*changes.columns)
+    return changes.groupBy(F.col(key).alias("key_")).agg(F.max_by(F.struct(*changes.columns), order).alias("last_")).select("last_.*")
+
+
 def set_briefing_focus(profiles: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New profile table and the changes whose organisation is unknown; one change per organisation."""
-    new = changes.select("org_id", X.strip(F.col("briefing_focus")).alias("new_focus"))
+    new = last_change(changes, "org_id").select("org_id", X.strip(F.col("briefing_focus")).alias("new_focus"))
     table = profiles.join(new, "org_id", "left").withColumn(
         "briefing_focus", F.coalesce("new_focus", "briefing_focus")).drop("new_focus")
     unknown = changes.join(profiles.select("org_id"), "org_id", "left_anti").select(

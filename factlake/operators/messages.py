@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .grouping import MAX_ROWS, id_slice, joined_lines, split_parts
+from .grouping import MAX_ROWS, id_slice, ordered_texts
 
 
 def noise_reasons(messages: DataFrame) -> DataFrame:
@@ -28,31 +28,21 @@ def is_reply() -> Column:
     return (F.coalesce(F.col("thread_ts"), F.lit("")) != "") & ~F.col("thread_ts").eqNullSafe(F.col("ts"))
 
 
-def bundle_threads(
-    messages: DataFrame, order_id: str = "msg_id", max_rows: int = MAX_ROWS,
-    slice_width: int = MAX_ROWS, counted: DataFrame | None = None,
-) -> DataFrame:
+def bundle_threads(messages: DataFrame, order_id: str = "msg_id", slice_width: int = MAX_ROWS) -> DataFrame:
     """One row per standalone message and one per thread of replies.
 
     Replies are joined in ``order_id`` order; the other columns come from the
-    first of them. A thread of more than ``max_rows`` replies continues in
-    further ``part`` rows, whose texts in order make up the whole.
+    first of them. ``part`` is always 0: a thread is one row however long it is.
     """
     keys = ["org_id", "channel_id", "thread_ts"]
-    counted = None if counted is None else counted.filter(is_reply())
-    replies = split_parts(
-        messages.filter(is_reply()), keys, [id_slice(order_id, slice_width)], max_rows, counted=counted
-    )
     rest = [c for c in messages.columns if c not in (*keys, "content", order_id)]
-    first = F.min_by(F.struct(*rest), F.col(order_id))
-    bundles = (
-        replies.groupBy(*keys, "part")
-        .agg(joined_lines("content", order_id, "\\n---\\n", "body"), F.min(order_id).alias(order_id),
-             first.alias("first"), F.count("*").alias("replies"))
-        .select(
-            order_id, *keys, "part", "replies", "first.*",
-            F.when(F.col("part") == 0, F.concat(F.lit("[Thread]\n"), "body")).otherwise(F.col("body")).alias("content"),
-        )
+    bundles = ordered_texts(
+        messages.filter(is_reply()), keys, [id_slice(order_id, slice_width)], order_id, {"body": ("content", "\\n---\\n")},
+        [("first", F.min_by(F.struct(order_id, *rest), F.col(order_id)), F.min_by("first", F.col(f"first.{order_id}"))),
+         ("replies", F.count("*"), F.sum("replies"))],
+    ).select(
+        f"first.{order_id}", *keys, F.lit(0).cast("bigint").alias("part"), "replies", *[f"first.{c}" for c in rest],
+        F.concat(F.lit("[Thread]\n"), "body").alias("content"),
     )
     standalone = messages.filter(~is_reply()).withColumns(
         {"part": F.lit(0).cast("bigint"), "replies": F.lit(0).cast("bigint")}
@@ -60,9 +50,6 @@ def bundle_threads(
     return standalone.unionByName(bundles)
 
 
-def clean_messages(
-    messages: DataFrame, order_id: str = "msg_id", max_rows: int = MAX_ROWS, slice_width: int = MAX_ROWS
-) -> DataFrame:
+def clean_messages(messages: DataFrame, order_id: str = "msg_id", slice_width: int = MAX_ROWS) -> DataFrame:
     """Filter, then strip footers, then bundle; text that a footer filled alone stays empty."""
-    # Threads are measured before the filter: that reads keys only, no text.
-    return bundle_threads(clean(drop_noise(messages)), order_id, max_rows, slice_width, counted=messages)
+    return bundle_threads(clean(drop_noise(messages)), order_id, slice_width)

@@ -18,8 +18,13 @@ def usage(events: DataFrame) -> DataFrame:
     return events.groupBy("org_id", "month").agg(F.sum("tokens").alias("tokens_used"))
 
 
-def with_budget(totals: DataFrame) -> DataFrame:
-    return totals.withColumn("budget_limit", F.lit(BUDGET).cast("bigint"))
+def with_budget(totals: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    """Totals with the limit of their organisation and month, the default where none is stored."""
+    default = F.lit(BUDGET).cast("bigint")
+    if limits is None:
+        return totals.withColumn("budget_limit", default)
+    own = limits.groupBy("org_id", "month").agg(F.max("budget_limit").cast("bigint").alias("own_limit"))
+    return totals.join(own, ["org_id", "month"], "left").withColumn("budget_limit", F.coalesce("own_limit", default)).drop("own_limit")
 
 
 def add_usage(stored: DataFrame, events: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def judge_requests(evals: DataFrame, template: str = TEMPLATES["judge"]) -> Data
 
 
 def briefing_requests(contexts: DataFrame, profiles: DataFrame, template: str = TEMPLATES["briefing"]) -> DataFrame:
-    """One request per organisation and part of its context."""
+    """One request per organisation."""
     focus = profiles.select("org_id", X.or_else(F.col("briefing_focus"), DEFAULT_FOCUS).alias("focus"))
     rows = contexts.join(focus, "org_id", "left")
     text = fill(template, focus=F.coalesce("focus", F.lit(DEFAULT_FOCUS)), context=F.col("context"))
@@ -99,7 +99,7 @@ def briefing_requests(contexts: DataFrame, profiles: DataFrame, template: str =
 
 
 def belief_requests(tasks: DataFrame, belief_blocks: DataFrame, template: str = TEMPLATES["belief"]) -> DataFrame:
-    """One request per task and part of its organisation's beliefs; none where it has no belief."""
+    """One request per task with its organisation's beliefs; none where it has no belief."""
     rows = tasks.join(belief_blocks, "org_id")
     text = fill(template, action=F.col("question"), beliefs=F.col("beliefs"))
     return _request(rows, F.concat_ws("/", F.col("query_id").cast("string"), F.col("part").cast("string")),
@@ -114,7 +114,14 @@ def contradiction_requests(blocks: DataFrame, template: str = TEMPLATES["contrad
 
 def within_budget(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     """Requests of organisations that have not used up their month; ``budgets`` has ``org_id, over_budget``."""
-    return requests.join(fresh_keys(budgets.filter("over_budget").select("org_id"), "org_id"), "org_id", "left_anti")
+    return requests.join(fresh_keys(budgets.filter("over_budget").select("org_id"), "org_id"), "org_id", "left_anti").select(
+        *requests.columns)
+
+
+def over_budget(requests: DataFrame, budgets: DataFrame) -> DataFrame:
+    """The requests that ``within_budget`` leaves out."""
+    return requests.join(fresh_keys(budgets.filter("over_budget").select("org_id").distinct(), "org_id"), "org_id", "left_semi").select(
+        *requests.columns)
 
 
 def backlog(sources: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import last_change
+
 NOT_FOUND = "Pending entity not found."
 
 
@@ -17,7 +19,7 @@ def _entities(rows: DataFrame) -> DataFrame:
 
 def approve(pending: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New entities, the remaining queue, and requests that met no item (``id, approved_by``)."""
-    asked = requests.dropDuplicates(["id"])
+    asked = last_change(requests, "id")
     return _entities(pending.join(asked, "id")), _remaining(pending, asked, "id"), not_found(pending, asked)
 
 

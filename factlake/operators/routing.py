@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouping import as_lookup, first_k, fresh_keys
+from .grouping import first_k, fresh_keys
 
 # fixed values
 LIVE_THRESHOLD = 0.7
@@ -52,8 +52,8 @@ def queue_cutoffs(pending: DataFrame, queue: DataFrame, cap: int = QUEUE_CAP) ->
 
 
 def admit(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Flags rows whose source came before the queue was full; later sources are dropped whole."""
-    marked = as_lookup(cutoffs.select("org_id", "last_source", F.lit(True).alias("fills")))
+    """Flags rows whose source came before the queue was full; later sources wait whole."""
+    marked = fresh_keys(cutoffs.select("org_id", "last_source", F.lit(True).alias("fills")), "org_id")
     keep = F.col("fills").isNull() | F.coalesce(F.col("source_id") <= F.col("last_source"), F.lit(False))
     return rows.join(marked, "org_id", "left").withColumn("admitted", keep).drop("last_source", "fills")
 

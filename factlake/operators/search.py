@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import DIGITS, cosine_distance
 from .access import access_class, visible_to, with_access_classes, with_source
-from .grouping import as_lookup, first_k
+from .grouping import first_k, fresh_keys
 
 FACT_BLOCK = 10_000
 QUERY_BLOCK = 4_000
@@ -133,9 +133,11 @@ def top_k_many(
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
-    # One small row per key: how many blocks each side of its grid has. Broadcast
-    # where it was found small, so that the vectors are shuffled once, to their cells.
-    grid = as_lookup(blocks(f, fact_block, "fact_blocks").join(blocks(q, query_block, "query_blocks"), keys))
+    # Vectors of different lengths never meet.
+    f, q = (side.withColumn("dim", F.size("vector").cast("string")) for side in (f, q))
+    keys = [*keys, "dim"]
+    # One small row per key: how many blocks each side of its grid has.
+    grid = fresh_keys(blocks(f, fact_block, "fact_blocks").join(blocks(q, query_block, "query_blocks"), keys), *keys)
     ids = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     f_cells = (
         f.join(grid, keys)

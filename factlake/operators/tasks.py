@@ -20,6 +20,9 @@ def gate_tasks(tasks: DataFrame, hits: DataFrame, beliefs: DataFrame, belief_ver
     checks and drafts are replies by ``query_id``; an organisation without
     beliefs cannot be in conflict.
     """
+    # Several verdicts for one task count as one: blocked if any belief is in the way.
+    belief_verdicts = belief_verdicts.groupBy("query_id").agg(
+        F.bool_or("conflict").alias("conflict"), F.min(F.when(F.col("conflict"), F.col("belief"))).alias("belief"))
     found = hits.groupBy("query_id").agg(F.count("*").alias("memory_used"))
     guarded = fresh_keys(beliefs.select("org_id").distinct(), "org_id").withColumn("guarded", F.lit(True))
     conflict = F.coalesce(F.col("guarded") & F.col("conflict"), F.lit(False))

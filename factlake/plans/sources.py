@@ -93,7 +93,7 @@ MAILBOX = f"""WITH listed AS (SELECT *, row_number() OVER (PARTITION BY doc_id %
     WHERE doc_id % 11 > 1 AND 1706659200000 - doc_id * 60000 >= (1706659200 - 360 * 3600) * CAST(1000 AS BIGINT)),
   mails AS (SELECT doc_id AS id, 'org' || (doc_id % 4) AS org_id, CASE doc_id % 3 WHEN 0 THEN 'Mail ' || doc_id WHEN 1 THEN '(no subject)' ELSE 'Only subject' END AS subject,
     CASE WHEN doc_id % 3 < 2 THEN source || '@example.com' ELSE '' END AS sender, CASE WHEN doc_id % 10 = 0 THEN '' ELSE {sql_strip('text')} END AS body,
-    epoch_ms(1706659200000 - doc_id * 60000) AS timestamp FROM listed WHERE rn <= 100)"""
+    epoch_ms(1706659200000 - doc_id * 60000) AS timestamp FROM listed)"""
 
 
 def mailbox(t):

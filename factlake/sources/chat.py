@@ -27,20 +27,24 @@ def list_channels(channels: DataFrame) -> DataFrame:
 
 
 def import_messages(
-    raw: DataFrame, channels: DataFrame, profiles: DataFrame, now: Column, hours_back: float = 180 * 24
+    raw: DataFrame, channels: DataFrame, profiles: DataFrame, now: Column, hours_back: float | None = 180 * 24
 ) -> DataFrame:
-    """Messages with text inside the look-back, with time, link and channel flag.
+    """Messages with text inside the look-back (None: all), with time, link and channel flag.
+
+    A message whose ``ts`` is no number has no time and is left out.
 
     Channels and workspace domains are joined as dimensions, so all channels of
     all organisations are read in one pass.
     """
-    oldest = now.cast("timestamp") - F.make_dt_interval(secs=F.lit(hours_back * 3600))
+    recent = F.col("timestamp").isNotNull()
+    if hours_back is not None:
+        recent = F.col("timestamp") >= now.cast("timestamp") - F.make_dt_interval(secs=F.lit(hours_back * 3600))
     flags = list_channels(channels).select("org_id", F.col("id").alias("channel_id"), F.col("is_private").alias("channel_is_private"))
     domains = profiles.select("org_id", "slack_workspace_domain")
     return (
         raw.filter((F.col("type") == "message") & (F.coalesce("text", F.lit("")) != ""))
         .withColumn("timestamp", epoch_to_ts(F.col("ts")))
-        .filter(F.col("timestamp") >= oldest)
+        .filter(recent)
         .join(flags, ["org_id", "channel_id"], "left")
         .join(domains, "org_id", "left")
         .select(

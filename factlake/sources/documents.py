@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.grouping import MAX_ROWS, joined_lines, split_parts
+from ..operators.grouping import MAX_ROWS, joined_lines, ordered_texts
 
 # fixed values
 SUPPORTED = {".pdf": "application/pdf",
@@ -40,13 +40,13 @@ def route_files(files: DataFrame) -> DataFrame:
     })
 
 
-def assemble_text(fragments: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def assemble_text(fragments: DataFrame, slice_rows: int = MAX_ROWS) -> DataFrame:
     """Text of each document from its fragments.
 
     ``fragments`` has ``doc_id, filename, part_no, part_name, row_no, col_no, text``.
     Pages and paragraphs are joined by blank lines, sheets become lines of
-    cells under a line with their name. A document of more than ``max_rows``
-    lines continues in further ``part`` rows.
+    cells under a line with their name. ``part`` is always 0: a document is one
+    row however long it is.
     """
     ext = X.extension(F.col("filename"))
     body = X.strip(F.col("text"))
@@ -62,29 +62,22 @@ def assemble_text(fragments: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
         joined_lines("text", "col_no", " | ", "line")
     )
     lines = flat.unionByName(titles).unionByName(rows)
-    parts = split_parts(
-        lines, ["doc_id", "filename"],
-        [("part_slice", F.col("part_no"), True), ("row_slice", F.floor(F.col("row_no") / max_rows), True)], max_rows,
-        # Fragments are counted instead of lines: at least as many, and read without their text.
-        counted=fragments.select("doc_id", "filename", "part_no", "row_no").unionByName(
-            titles.select("doc_id", "filename", "part_no", "row_no")),
-    )
-    order = "part_no, row_no"
     sheet = "lower(filename) LIKE '%.xlsx'"
-    return parts.groupBy("doc_id", "filename", "part").agg(
-        joined_lines(f"CASE WHEN {sheet} THEN line END", order, "\\n", "sheet_text"),
-        joined_lines(f"CASE WHEN NOT {sheet} THEN line END", order, "\\n\\n", "flat_text"),
-    ).select("doc_id", "filename", "part", F.coalesce("sheet_text", "flat_text", F.lit("")).alias("raw_content"))
+    return ordered_texts(
+        lines, ["doc_id", "filename"],
+        [("part_slice", F.col("part_no"), True), ("row_slice", F.floor(F.col("row_no") / slice_rows), True)], "part_no, row_no",
+        {"sheet_text": (f"CASE WHEN {sheet} THEN line END", "\\n"), "flat_text": (f"CASE WHEN NOT {sheet} THEN line END", "\\n\\n")},
+    ).select("doc_id", "filename", F.lit(0).cast("bigint").alias("part"), F.coalesce("sheet_text", "flat_text", F.lit("")).alias("raw_content"))
 
 
-def document_sources(fragments: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def document_sources(fragments: DataFrame) -> DataFrame:
     """Sources of documents, or the reason a document is refused."""
     files = fragments.select("doc_id", "filename").distinct()
     routed = route_files(files).select("doc_id", "filename", "error")
-    texts = assemble_text(fragments, max_rows)
+    texts = assemble_text(fragments)
     joined = routed.join(texts, ["doc_id", "filename"], "left")
     blank = F.coalesce(X.strip(F.col("raw_content")), F.lit("")) == ""
-    refused = F.coalesce(F.col("error"), F.when(blank & (F.coalesce("part", F.lit(0)) == 0), NO_TEXT))
+    refused = F.coalesce(F.col("error"), F.when(blank, NO_TEXT))
     return joined.select(
         "doc_id", "filename", F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
         refused.alias("error"),

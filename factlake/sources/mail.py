@@ -15,7 +15,6 @@ MAIL = (f"id bigint, org_id string, labels array<string>, internalDate bigint, "
 
 # fixed values
 HIDDEN = ["SPAM", "TRASH"]
-MAILBOX_CAP = 100
 
 
 def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
@@ -40,14 +39,14 @@ def body_text() -> Column:
     return F.coalesce(X.strip(X.decode_base64url(data)), F.lit(""))
 
 
-def import_mailbox(raw: DataFrame, now: Column, since_hours: float = 24, cap: int = MAILBOX_CAP) -> DataFrame:
-    """The newest ``cap`` mails per organisation in the look-back, without empty ones."""
+def import_mailbox(raw: DataFrame, now: Column, since_hours: float = 24, cap: int | None = None) -> DataFrame:
+    """The mails of the look-back, without empty ones; with ``cap``, the newest so many per organisation."""
     after = F.floor(F.unix_micros(now.cast("timestamp")) / 1000000 - since_hours * 3600) * 1000
     recent = raw.filter(
         (F.col("internalDate") >= after)
         & ~F.arrays_overlap(F.coalesce("labels", F.array().cast("array<string>")), F.array(*map(F.lit, HIDDEN)))
     )
-    listed = first_k(recent, ["org_id"], [F.desc("internalDate"), F.asc("id")], cap)
+    listed = recent if cap is None else first_k(recent, ["org_id"], [F.desc("internalDate"), F.asc("id")], cap)
     return (
         listed.select(
             "id", "org_id", F.coalesce(header("Subject"), F.lit("(no subject)")).alias("subject"),

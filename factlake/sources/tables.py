@@ -11,11 +11,13 @@ from ..functions import text as X
 from ..operators.grouping import group_ordinal
 
 # fixed values
+# Names that stay free for the headers of a file: any but these.
+FILE, ROW_NO = "__file__", "__row_no__"
 NAME_COLUMNS = ["name", "Name", "company", "Company"]
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """CSV rows as text with ``file`` and ``row_no``, counted from 1 in each file.
+    """CSV rows as text after ``FILE`` and ``ROW_NO``, counted from 1 in each file.
 
     ``multi_line`` allows line breaks in quotes but reads a file in one task;
     without it a large file is split, and the row numbers stay exact because
@@ -24,24 +26,24 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     rows = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', encoding="UTF-8")
     cells = rows.columns
     placed = rows.select(
-        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_"),
+        "*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias("block_"),
         F.monotonically_increasing_id().alias("at_"),
     )
-    numbered = group_ordinal(placed, ["file"], [("slice_no", F.col("block_"), True)], [F.col("at_")], "row_no")
-    return numbered.select("file", "row_no", *cells)
+    numbered = group_ordinal(placed, [FILE], [("slice_no", F.col("block_"), True)], [F.col("at_")], ROW_NO)
+    return numbered.select(FILE, ROW_NO, *[F.col(f"`{c}`") for c in cells])
 
 
 def csv_facts(rows: DataFrame, org_id: str, entity_type: str) -> DataFrame:
     """One fact per CSV row: filled cells in header order, and a name."""
-    cells = [c for c in rows.columns if c not in ("file", "row_no")]
+    cells = [c for c in rows.columns if c not in (FILE, ROW_NO)]
     filled = [F.when(F.col(f"`{c}`") != "", F.concat(F.lit(f"{c}: "), F.col(f"`{c}`"))) for c in cells]
     name = reduce(
         lambda rest, c: X.or_else(F.col(f"`{c}`"), rest),
         [c for c in reversed(NAME_COLUMNS) if c in cells],
-        F.concat(F.lit("Row "), F.col("row_no").cast("string")),
+        F.concat(F.lit("Row "), F.col(ROW_NO).cast("string")),
     )
     return rows.select(
-        "file", "row_no", F.lit(org_id).alias("org_id"), F.lit(entity_type).alias("entity_type"),
+        F.col(FILE).alias("file"), F.col(ROW_NO).alias("row_no"), F.lit(org_id).alias("org_id"), F.lit(entity_type).alias("entity_type"),
         name.alias("name"), F.concat_ws(", ", *filled).alias("content"),
         F.lit("csv_import").alias("source_type"), F.lit("csv_import").alias("approved_by"),
     )

@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.times import epoch_to_ts
 from ..operators import ingest, messages, metering, replies, requests, routing
-from ..operators.grouping import as_lookup
 from ..sources import chat
 
 MICRO_BATCH = "30 minutes"
@@ -43,48 +41,65 @@ def write_batch(rows: DataFrame, out: str, table: str, batch_id: int) -> DataFra
 
 
 def read_table(spark: SparkSession, out: str, table: str, schema: T.StructType | None = None) -> DataFrame:
-    """All batches of a table with their ``batch_id``; empty before the first one, if a schema is given."""
+    """All batches of a table with their ``batch_id``; empty before the first one, if a schema is given.
+
+    Only a missing table is empty: any other fault of the store is raised.
+    """
     try:
         reader = spark.read
         if schema is not None:
             reader = reader.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
         return reader.parquet(f"{out}/{table}")
-    except AnalysisException:
-        if schema is None:
+    except AnalysisException as fault:
+        if schema is None or fault.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("bigint"))
 
 
-def drop_repeats(raw: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Keeps one copy of a message that several look-backs deliver within ``delay``."""
-    timed = raw.withColumn("event_time", epoch_to_ts(F.col("ts"))).withWatermark("event_time", delay)
-    return timed.dropDuplicatesWithinWatermark(["org_id", "channel_id", "ts"]).drop("event_time")
+MESSAGE_KEYS = ["org_id", "channel_id", "ts"]
+MESSAGE_ROWS = T.StructType([T.StructField(c, T.StringType()) for c in MESSAGE_KEYS])
+
+
+def new_messages(found: DataFrame, out: str, batch_id: int) -> DataFrame:
+    """One copy of each message that no other batch has stored, however late it comes."""
+    stored = read_table(found.sparkSession, out, "messages", MESSAGE_ROWS)
+    stored = stored.filter(F.col("batch_id") != batch_id).select(*MESSAGE_KEYS)
+    return found.dropDuplicates(MESSAGE_KEYS).join(stored, MESSAGE_KEYS, "left_anti").select(*found.columns)
 
 
 def ingest_messages(
     raw: DataFrame, channels: DataFrame, profiles: DataFrame, out: str, checkpoint: str, *,
-    hours_back: float, now: Callable[[], Column] = F.current_timestamp, every: str | None = None,
+    hours_back: float | None = None, now: Callable[[], Column] = F.current_timestamp, every: str | None = None,
     source_type: str = "slack_daily", unique: bool = False, budgets: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """New chat messages of all organisations to ``sources`` and extraction ``requests``.
 
-    With ``hours_back=0.5, every=MICRO_BATCH`` this is the half-hourly job, with
-    24 hours and no interval the daily one. ``budgets`` gives the current
-    ``org_id, over_budget``; organisations over theirs get no requests.
+    The checkpoint knows what is new, so by default no message is too old;
+    ``hours_back`` adds the look-back of a batch import. ``unique`` stores a
+    message once that several batches deliver. ``budgets`` gives the current
+    ``org_id, over_budget``; requests of organisations over theirs go to
+    ``deferred``, where the next batch finds them.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Stored first: cleaning reads it more than once, the stream and its state are read once.
-        found = write_batch(chat.import_messages(batch, channels, profiles, now(), hours_back), out, "messages", batch_id)
+        found = chat.import_messages(batch, channels, profiles, now(), hours_back)
+        if unique:
+            found = new_messages(found, out, batch_id)
+        found = write_batch(found, out, "messages", batch_id)
         clean = messages.clean_messages(found, slice_width=3_600_000_000)
         stored = write_batch(chat.index_messages(clean, source_type, now()), out, "sources", batch_id)
-        write_batch(_affordable(requests.extraction_requests(stored), budgets), out, "requests", batch_id)
-
-    return start(drop_repeats(raw) if unique else raw, handle, checkpoint, every)
-
+        asked = requests.extraction_requests(stored)
+        if budgets is None:
+            write_batch(asked, out, "requests", batch_id)
+            return
+        # Each batch writes all that waits, so the batch before has everything that was put off.
+        waiting = read_table(asked.sparkSession, out, "deferred", asked.schema).filter(F.col("batch_id") == batch_id - 1)
+        asked = asked.unionByName(waiting.drop("batch_id"))
+        write_batch(requests.within_budget(asked, budgets()), out, "requests", batch_id)
+        write_batch(requests.over_budget(asked, budgets()), out, "deferred", batch_id)
 
-def _affordable(rows: DataFrame, budgets: Callable[[], DataFrame] | None) -> DataFrame:
-    return rows if budgets is None else requests.within_budget(rows, budgets())
+    return start(raw, handle, checkpoint, every)
 
 
 ENTITY_ROWS = T.StructType([
@@ -95,6 +110,8 @@ ENTITY_ROWS = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 PER_SOURCE = 1000
+BACKLOG_ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("org_id", T.StringType()), T.StructField("raw_content", T.StringType())])
+DONE_ROWS = T.StructType([T.StructField("id", T.LongType())])
 
 
 def drain_backfill(
@@ -106,13 +123,19 @@ def drain_backfill(
 
     ``extract`` turns batch requests into ``request_id, reply`` and ``criticise``
     turns candidates into the same with ``seq, reply``; both stand for the model.
-    Sources whose batch got a reply are listed in ``processed``; the others come
-    again with the next run over the backlog.
+    Sources whose batch got a reply are listed in ``processed``. All others that
+    were ever ``seen`` come again: with each batch, and once when the job
+    starts, so that they need no new source to be retried.
     """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = _affordable(requests.backlog(batch).select("id", "org_id", "raw_content"), budgets)
+    def process(spark: SparkSession, fresh: DataFrame, batch_id: int) -> None:
+        fresh = write_batch(fresh, out, "seen", batch_id)
+        other = F.col("batch_id") != batch_id
+        done = read_table(spark, out, "processed", DONE_ROWS).filter(other).select("id")
+        seen = read_table(spark, out, "seen", BACKLOG_ROWS).filter(other).drop("batch_id")
+        rows = fresh.unionByName(seen).dropDuplicates(["org_id", "id"]).join(done, "id", "left_anti").select(*BACKLOG_ROWS.names)
+        if budgets is not None:
+            rows = requests.within_budget(rows, budgets()).select(*BACKLOG_ROWS.names)
         packed = write_batch(requests.pack_batches(rows), out, "packed", batch_id)
         asked = write_batch(requests.batch_requests(packed), out, "requests", batch_id)
         answered = asked.select("request_id", "org_id", "batch_no", "n").join(extract(asked), "request_id")
@@ -127,23 +150,37 @@ def drain_backfill(
         verdicts = replies.critic_verdicts(criticise(stored)).select("seq", "approved", "confidence_score", "critic_reason")
         scored = stored.join(verdicts, "seq")
         # Own rows of an earlier attempt at this batch do not count as stored.
-        earlier = read_table(spark, out, "entities", ENTITY_ROWS).filter(F.col("batch_id") < batch_id)
-        # Only names of this batch matter; where they are few, the big table is filtered as it is read.
-        names = as_lookup(stored.select(*routing.IDENTITY).distinct())
+        earlier = read_table(spark, out, "entities", ENTITY_ROWS).filter(other)
+        # Only names of this batch matter.
+        names = stored.select(*routing.IDENTITY).distinct()
         known = entities.select("id", "org_id", "entity_type", "name", "status").unionByName(
             earlier.select("id", "org_id", "entity_type", "name", "status")).join(names, routing.IDENTITY, "left_semi")
         ingest.write(ingest.store_backfill(scored, known, id_base=0), out, batch_id)
         write_batch(found.select("id").distinct(), out, "processed", batch_id)
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        process(batch.sparkSession, requests.backlog(batch).select(*BACKLOG_ROWS.names), batch_id)
+
+    spark = sources.sparkSession
+    seen = read_table(spark, out, "seen", BACKLOG_ROWS)
+    if not seen.join(read_table(spark, out, "processed", DONE_ROWS).select("id"), "id", "left_anti").isEmpty():
+        # Batches of the stream count up from 0, retries count down from -1.
+        last = seen.agg(F.least(F.min("batch_id"), F.lit(0))).first()[0]
+        process(spark, spark.createDataFrame([], BACKLOG_ROWS), last - 1)
     return start(sources, handle, checkpoint, every)
 
 
-def meter_tokens(events: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Running totals per organisation and month; each batch writes the totals it changed."""
+def meter_tokens(
+    events: DataFrame, out: str, checkpoint: str, every: str | None = None, limits: Callable[[], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Running totals per organisation and month; each batch writes the totals it changed.
+
+    ``limits`` gives the stored ``org_id, month, budget_limit``; others have the default.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         over = F.col("tokens_used") >= F.col("budget_limit")
-        write_batch(metering.with_budget(batch).withColumn("over_budget", over), out, "usage", batch_id)
+        write_batch(metering.with_budget(batch, limits and limits()).withColumn("over_budget", over), out, "usage", batch_id)
 
     return start(metering.usage(events), handle, checkpoint, every, mode="update")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factlake.operators import context, messages
-from factlake.operators.grouping import as_lookup, first_k, fresh_keys, group_ordinal, id_slice, small_rows, split_parts
+from factlake.operators.grouping import first_k, fresh_keys, group_ordinal, id_slice, ordered_texts
 
 
 @pytest.fixture(scope="module")
@@ -38,25 +38,17 @@ def test_group_ordinal_descending_slices(hot):
         assert [r.ordinal for r in rows] == list(range(1, len(rows) + 1))
 
 
-@pytest.mark.parametrize("max_rows", [20, 100, 1000])
-def test_split_parts(hot, max_rows):
-    width = 10
-    for key, rows in by_key(split_parts(hot, ["k"], [id_slice("id", width)], max_rows)).items():
-        rows = sorted(rows, key=lambda r: r.id)
-        parts = [r.part for r in rows]
-        assert parts == sorted(parts) and parts[0] == 0
-        if len(rows) <= max_rows:
-            assert set(parts) == {0}
-        else:
-            assert max(parts.count(p) for p in set(parts)) <= max_rows + width
-
-
-def test_split_parts_without_broadcast(hot, monkeypatch):
-    from factlake.operators import grouping
-
-    plain = {(r.id, r.part) for r in split_parts(hot, ["k"], [id_slice("id", 10)], 20).collect()}
-    monkeypatch.setattr(grouping, "small_rows", lambda df, max_rows=0: None)
-    assert {(r.id, r.part) for r in split_parts(hot, ["k"], [id_slice("id", 10)], 20).collect()} == plain
+@pytest.mark.parametrize("width", [3, 50, 100_000])
+def test_ordered_texts(hot, width):
+    """The same text whatever the slices."""
+    lines = hot.withColumn("line", F.when(F.col("id") % 5 > 0, F.concat(F.lit("l"), F.col("id").cast("string"))))
+    got = ordered_texts(lines, ["k"], [("slice_no", F.floor(F.col("id") / width), False)], "id DESC", {"text": ("line", "|")},
+                        [("n", F.count("*"), F.sum("n"))])
+    rows = by_key(hot)
+    for r in got.collect():
+        ids = sorted((x.id for x in rows[r.k]), reverse=True)
+        assert (r.text or "") == "|".join(f"l{i}" for i in ids if i % 5 > 0)
+        assert r.n == len(ids)
 
 
 def test_first_k(hot):
@@ -65,13 +57,6 @@ def test_first_k(hot):
         assert sorted(r.id for r in got[key]) == sorted(r.id for r in rows)[:4]
 
 
-def test_small_rows(spark):
-    assert small_rows(spark.range(5), 4) is None
-    assert len(small_rows(spark.range(4), 4)) == 4
-    assert as_lookup(spark.range(3)).count() == 3
-    assert as_lookup(spark.range(9), 2).count() == 9
-
-
 def test_hot_key_of_a_lookup_is_split(spark):
     """The join to an aggregated lookup is split by AQE, and its rows stay right."""
     conf = {
@@ -105,17 +90,13 @@ def thread(spark, n):
                                        "user_id string, subtype string, ts string, thread_ts string, content string")
 
 
-def test_large_thread_continues_in_parts(spark):
+def test_thread_is_one_row_at_any_size(spark):
     msgs = thread(spark, 50)
     whole = {r.channel_id: r for r in messages.bundle_threads(msgs).filter("replies > 0").collect()}
     assert whole["C1"].content == "[Thread]\n" + "\n---\n".join(f"reply {i}" for i in range(1, 51))
-    assert whole["C1"].user_id == "U1" and whole["C1"].replies == 50
-    cut = messages.bundle_threads(msgs, max_rows=10, slice_width=5).filter("replies > 0").orderBy("channel_id", "part").collect()
-    parts = [r for r in cut if r.channel_id == "C1"]
-    assert len(parts) > 3 and max(r.replies for r in parts) <= 15
-    assert "\n---\n".join(r.content for r in parts) == whole["C1"].content
-    assert [r.content for r in cut if r.channel_id == "C2"] == [whole["C2"].content]
-    assert messages.bundle_threads(msgs, max_rows=10, slice_width=5).filter("replies = 0").count() == 3
+    assert whole["C1"].user_id == "U1" and whole["C1"].replies == 50 and whole["C1"].msg_id == 1
+    for width in (1, 5, 17):
+        assert sorted(messages.bundle_threads(msgs, slice_width=width).collect(), key=repr) == sorted(messages.bundle_threads(msgs).collect(), key=repr)
 
 
 def test_clean_chain_order(spark):
@@ -129,7 +110,7 @@ def test_clean_chain_order(spark):
     assert got == {1: "", 3: "[Thread]\nthe first reply of the thread\n---\nthe later reply of the thread"}
 
 
-def test_large_snapshot_continues_in_parts(spark):
+def test_snapshot_is_one_row(spark):
     facts = spark.sql("""SELECT id, 'o' AS org_id, CASE id % 2 WHEN 0 THEN 'Client' ELSE 'Belief' END AS entity_type, 'n' || id AS name, 'c' AS content,
       CAST(NULL AS TIMESTAMP) AS superseded_at, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT), 0, 0) AS created_at FROM range(60)""")
     profiles = spark.createDataFrame([("o", "B", None, "s", "w", 3)], "org_id string, business_name string, industry string, core_services string, what_they_dont_do string, team_size int")
@@ -137,9 +118,8 @@ def test_large_snapshot_continues_in_parts(spark):
     whole = {r.org_id: r.context for r in context.snapshots(orgs, profiles, facts).collect()}
     assert whole["x"] == context.NO_PROFILE
     assert whole["o"].startswith("Business: B\nIndustry: None\nCore services: s\nWhat they don't do: w\nTeam size: 3\n\n== Known facts ==\n[Belief] n59: c\n[Belief] n57: c")
-    parts = [r.context for r in context.snapshots(orgs, profiles, facts, max_lines=7).filter("org_id = 'o'").orderBy("part").collect()]
-    assert len(parts) > 5
-    assert "\n".join(parts) == whole["o"]
+    lines = whole["o"].split("== Known facts ==\n")[1].split("\n")
+    assert lines == [f"[{t}] n{i}: c" for t, odd in (("Belief", 1), ("Client", 0)) for i in range(59, -1, -1) if i % 2 == odd]
 
 
 def test_snapshot_without_facts(spark):

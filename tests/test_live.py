@@ -49,7 +49,8 @@ def test_replies_to_sinks(spark, folder):
     sinks = live.store_replies(extractions, verdicts, entities, queue, notes=notes, keep=keep)
     assert sorted(r.id for r in sinks.entities.collect()) == [1000, 1001, 2002, 4000]
     assert sorted((r.from_id, r.to_id, r.relationship_type) for r in sinks.edges.collect()) == [(1001, 1000, "owns")]
-    assert [r.seq for r in sinks.pending.collect()] == [2001]
+    # Bob and the note on the fact that contradicts an older one.
+    assert sorted((r.seq, r.review_type) for r in sinks.pending.collect()) == [(2001, "standard"), (2002, "contradiction")]
     assert sinks.paused.count() == 0
 
 

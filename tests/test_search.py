@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from factlake.operators import search
-from factlake.operators.grouping import small_rows
 
 N, DIM = 240, 8
 
@@ -68,14 +67,6 @@ def test_many_queries(spark, data, fact_block, query_block, earlier):
     assert ranked(hits) == brute(data, 5, earlier)
 
 
-def test_grid_without_broadcast(spark, data, monkeypatch):
-    from factlake.operators import search as module
-
-    monkeypatch.setattr(module, "as_lookup", lambda df: df)
-    facts, queries = frames(spark, data)
-    assert ranked(search.top_k_many(queries, search.searchable(facts), ["org_id"], 3, fact_block=20, query_block=9)) == brute(data, 3)
-
-
 def test_one_query_equals_many(spark, data):
     facts, queries = frames(spark, data)
     sources = spark.createDataFrame([], "id bigint, permalink string, source_type string")
@@ -107,4 +98,18 @@ def test_access_rules(spark):
     members = spark.createDataFrame([("o", "C2", "U"), ("o", "C2", "U"), ("p", "C3", "U"), ("o", "C3", "V")], "org_id string, channel_id string, user_id string")
     assert sorted(r.id for r in visible_to(rows, members, "o", "U").collect()) == [1, 2, 4, 5, 8]
     assert sorted(r.id for r in rows.filter(is_open()).collect()) == [1, 4, 7, 8]
-    assert small_rows(visible_to(rows, members, "o", "nobody")) is not None
+
+
+def test_channel_without_a_name_stays_closed(spark):
+    facts = spark.createDataFrame([(1, "o", [1.0, 0.0], 1, None), (2, "o", [1.0, 0.1], 2, None)],
+                                  "id bigint, org_id string, embedding array<float>, source_id bigint, superseded_at timestamp")
+    sources = spark.createDataFrame([(1, "", True), (2, "open", False)], "id bigint, channel_id string, channel_is_private boolean")
+    asked = spark.createDataFrame([(7, "o", "nobody", [1.0, 0.0]), (8, "o", "member", [1.0, 0.0])], "query_id bigint, org_id string, user_id string, vector array<float>")
+    members = spark.createDataFrame([("o", "", "member")], "org_id string, channel_id string, user_id string")
+    assert ranked(search.top_k_many_visible(asked, facts, sources, members)) == {7: [2], 8: [1, 2]}
+
+
+def test_vectors_of_other_lengths_do_not_meet(spark):
+    facts = spark.createDataFrame([(1, "o", [1.0, 0.0]), (2, "o", [1.0]), (3, "o", [0.5, 0.5])], "id bigint, org_id string, embedding array<float>")
+    asked = spark.createDataFrame([(7, "o", [1.0, 0.0]), (8, "o", [2.0]), (9, "o", [1.0, 2.0, 3.0])], "query_id bigint, org_id string, vector array<float>")
+    assert ranked(search.top_k_many(asked, facts, ["org_id"])) == {7: [1, 3], 8: [2]}

@@ -35,7 +35,7 @@ def test_csv_row_numbers_survive_splits(spark, folder):
     try:
         rows = tables.read_csv(spark, folder, multi_line=False)
         assert rows.count() == 4010
-        assert rows.filter(F.col("row_no") != F.col("id").cast("bigint")).count() == 0
+        assert rows.filter(F.col(tables.ROW_NO) != F.col("id").cast("bigint")).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
@@ -127,12 +127,11 @@ def test_documents(spark):
     assert got[6].error.startswith("Unsupported file type: ''.")
 
 
-def test_large_document_continues_in_parts(spark):
+def test_document_is_one_row_at_any_size(spark):
     rows = [(1, "c.xlsx", s, f"S{s}", r, 0, f"v{s}.{r}") for s in range(4) for r in range(30)]
     df = spark.createDataFrame(rows, fragments(spark).schema)
     whole = documents.assemble_text(df).first().raw_content
-    parts = [r.raw_content for r in documents.assemble_text(df, max_rows=20).orderBy("part").collect()]
-    assert len(parts) > 2 and "\n".join(parts) == whole
+    assert [r.raw_content for r in documents.assemble_text(df, slice_rows=7).collect()] == [whole]
     assert whole.startswith("Sheet: S0\nv0.0\nv0.1")
 
 

@@ -67,6 +67,75 @@ def test_backfill_knows_earlier_batches(spark, folder):
     assert jobs.read_table(spark, f"{folder}/out", "requests").agg(F.max("n")).first()[0] == 10
 
 
+def chat_stream(spark, folder):
+    return spark.readStream.schema("org_id string, channel_id string, type string, text string, user string, subtype string, ts string, thread_ts string").option(
+        "maxFilesPerTrigger", 1).json(f"{folder}/in")
+
+
+def drop(folder, name, messages):
+    os.makedirs(f"{folder}/in", exist_ok=True)
+    with open(f"{folder}/in/{name}.json", "w") as f:
+        f.write("\n".join(json.dumps({"org_id": "o", "channel_id": "C", "type": "message", "text": f"a message that is long enough to keep {ts}", "user": "U", "ts": ts}) for ts in messages))
+
+
+def test_late_messages_and_bad_rows(spark, folder):
+    """Three triggers, the third days behind; a message comes twice, another has no time."""
+    channels = spark.createDataFrame([("o", "C", "c", False)], "org_id string, id string, name string, is_private boolean")
+    profiles = spark.createDataFrame([("o", None)], "org_id string, slack_workspace_domain string")
+    for name, messages in (("1", ["1700400000.000100"]), ("2", ["1700400100.000100", "x.1"]), ("3", ["1700000000.000100", "1700400000.000100"])):
+        drop(folder, name, messages)
+        jobs.ingest_messages(chat_stream(spark, folder), channels, profiles, f"{folder}/out", f"{folder}/ck", unique=True).awaitTermination()
+    stored = [r.id for r in jobs.read_table(spark, f"{folder}/out", "sources").collect()]
+    assert sorted(stored) == [1700000000000100, 1700400000000100, 1700400100000100]
+
+
+def test_requests_over_budget_wait(spark, folder):
+    channels = spark.createDataFrame([("o", "C", "c", False)], "org_id string, id string, name string, is_private boolean")
+    profiles = spark.createDataFrame([("o", None)], "org_id string, slack_workspace_domain string")
+    seen = []
+    for name, over in (("1", True), ("2", True), ("3", False)):
+        drop(folder, name, [f"170040000{name}.000100"])
+        budgets = lambda over=over: spark.createDataFrame([("o", over)], "org_id string, over_budget boolean")
+        jobs.ingest_messages(chat_stream(spark, folder), channels, profiles, f"{folder}/out", f"{folder}/ck", budgets=budgets).awaitTermination()
+        seen.append(jobs.read_table(spark, f"{folder}/out", "requests").count())
+    assert seen == [0, 0, 3]
+
+
+def test_unanswered_history_is_retried(spark, folder):
+    """The first run gets no reply; the second has no new source and finds all of them."""
+    schema = "id bigint, org_id string, source_type string, raw_content string, processed_at timestamp"
+    spark.createDataFrame([(i, "o", "slack_history", f"fact{i} text", None) for i in range(13)], schema).write.parquet(f"{folder}/in")
+    entities = spark.createDataFrame([], "id bigint, org_id string, entity_type string, name string, status string")
+    item = F.struct(F.col("idx").alias("message_index"), F.array(F.struct(
+        F.lit("Client").alias("entity_type"), F.col("raw_content").alias("name"), F.lit("c").alias("content"))).alias("entities"))
+
+    def answer(asked):
+        packed = jobs.read_table(spark, f"{folder}/out", "packed").drop("batch_id")
+        rows = asked.select("request_id", "org_id", "batch_no").join(packed.distinct(), ["org_id", "batch_no"])
+        return rows.groupBy("request_id").agg(F.to_json(F.collect_list(item)).alias("reply"))
+
+    def criticise(c):
+        return c.select("seq", F.lit('{"approved": true, "confidence_score": 0.9}').alias("reply"))
+
+    def run(extract):
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        jobs.drain_backfill(stream, entities, f"{folder}/out", f"{folder}/ck", extract=extract, criticise=criticise).awaitTermination()
+        return jobs.read_table(spark, f"{folder}/out", "processed").count(), jobs.read_table(spark, f"{folder}/out", "entities").count()
+
+    assert run(lambda asked: asked.filter("false").select("request_id", F.lit("").alias("reply"))) == (0, 0)
+    assert run(answer) == (13, 13)
+    assert run(answer) == (13, 13)
+
+
+def test_meter_keeps_own_limits(spark, folder):
+    events = spark.createDataFrame([("a", "2024-01", 600_000), ("b", "2024-01", 600_000)], "org_id string, month string, tokens bigint")
+    events.write.parquet(f"{folder}/in")
+    limits = spark.createDataFrame([("a", "2024-01", 1_000_000)], "org_id string, month string, budget_limit bigint")
+    jobs.meter_tokens(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/ck", limits=lambda: limits).awaitTermination()
+    assert {r.org_id: (r.budget_limit, r.over_budget) for r in jobs.current_usage(spark, f"{folder}/out").collect()} == {
+        "a": (1_000_000, False), "b": (500_000, True)}
+
+
 def beats(spark, src, rows):
     spark.createDataFrame(rows, "event_id bigint, process_name string, beat_at timestamp, status string, error string").write.mode("append").parquet(src)
 
