@@ -6,7 +6,7 @@ lower-cased. All Python here runs inside tasks on Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SIEVE_BITS = 1 << 25
+
+
+def sieved(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose integer ``key`` may be among ``wanted`` (one column), and those whose key surely isn't.
+
+    The first has all that are, and some that aren't. A bitmap of hashed keys, of 4 MB whatever their number, is all that is
+    collected and broadcast. It only spares a join rows; with very many wanted
+    keys it lets most rows pass, and the result of the join stays the same.
+    """
+    at = F.pmod(F.xxhash64(wanted.columns[0]), F.lit(SIEVE_BITS))
+    found = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(at % 32 AS INT))")).alias("bits")).toArrow()
+    bitmap = np.zeros(SIEVE_BITS >> 5, dtype=np.uint32)
+    bitmap[np.asarray(found["word"])] = np.asarray(found["bits"])
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    columns = df.columns
+
+    def side(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.asarray(batch.column(len(columns)))
+                found = shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1
+                yield batch.select(range(len(columns))).filter(pa.array(found == hit))
+
+        return df.withColumn("sieve_at", F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))).mapInArrow(run, df.schema)
+
+    return side(True), side(False)
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of an id's text, modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
@@ -125,7 +155,22 @@ def _long_text(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(hashes)]), hashes
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The session with Arrow batches of at most 1,000 rows, so that batches of long texts stay small."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return df
+def with_values(docs: DataFrame, keep: list[str], text: str, schema: str, of: Callable[[pa.Array], list[pa.Array]],
+                rows: int = 256) -> DataFrame:
+    """``keep`` columns with what ``of`` makes of the texts, ``rows`` at a time; ``schema`` names what it makes.
+
+    A kept text travels once. A name that is kept and made is refused.
+    """
+    columns = keep if text in keep else [*keep, text]
+    at, made = columns.index(text), [part.split()[0] for part in schema.split(", ")]
+    if clash := set(keep) & set(made):
+        raise ValueError(f"kept columns with the name of a result: {sorted(clash)}")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                yield pa.RecordBatch.from_arrays(part.columns[:len(keep)] + of(part.column(at)), names=[*keep, *made])
+
+    return docs.select(*columns).mapInArrow(run, fields + schema)

@@ -13,6 +13,9 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+EDGES_PER_FILE = 1_000_000
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for every node of ``edges`` (``a``, ``b``).
 
@@ -27,13 +30,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("hub")).agg(F.least(F.first("a"), F.min("b")).alias("least"))
         large = (both.join(least, both["a"] == least["hub"]).filter("b > a AND b != least")
-                 .select(F.col("b").alias("a"), F.col("least").alias("b")).distinct())
-        large = stored(large, name)
+                 .select(F.col("b").alias("a"), F.col("least").alias("b")))
         least = large.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("least"))
         joined = large.join(least, large["a"] == least["hub"])
         small = joined.select("a", F.col("least").alias("b")).unionByName(
             joined.filter("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct()
-        current = stored(small, name)
+        # Few files for few edges: a round reads them several times.
+        current = stored(small.coalesce(8 + before[0] // EDGES_PER_FILE), name)
         after = _digest(current)
         if after == before:
             break

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, stored, word_hashes
+from .common import mix, sieved, stored, word_hashes
 from .components import components
 
 WORDS = 5
@@ -171,37 +171,32 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-
 def _link(names: np.ndarray, sets: list[np.ndarray], guests: np.ndarray, label: np.ndarray, similarity: int) -> list[tuple[int, int]]:
     """Links that connect what isn't connected yet; with guests, only pairs of a guest and another.
 
-    ``label`` tells which are connected to begin with.
+    ``label`` tells which are connected to begin with. For each set, the sizes of
+    its intersections with all others are counted at once from the holders of its hashes.
     """
-    union, links, first = _Union(len(names)), [], {}
-    for i, name in enumerate(label.tolist()):
-        union.up[union.find(i)] = union.find(first.setdefault(name, i))
-    asking = np.flatnonzero(guests).tolist() if guests.any() else range(len(names))
-    for i in asking:
-        for j in range(len(names)) if guests.any() else range(i + 1, len(names)):
-            if i == j:
-                continue
-            low, high = sorted((len(sets[i]), len(sets[j])))
-            if 100 * low < similarity * high or union.find(i) == union.find(j):
-                continue
-            place = np.minimum(np.searchsorted(sets[j], sets[i]), len(sets[j]) - 1)
-            shared = int((sets[j][place] == sets[i]).sum())
-            if 100 * shared >= similarity * (low + high - shared):
-                union.up[union.find(i)] = union.find(j)
+    n, links = len(names), []
+    if not n:
+        return links
+    sizes = np.array([len(s) for s in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(at, kind="stable")]
+    held = np.bincount(at)
+    first, ends = np.cumsum(held) - held, np.cumsum(sizes)
+    joined = np.unique(label, return_inverse=True)[1]
+    for i in np.flatnonzero(guests) if guests.any() else range(n):
+        apart = joined != joined[i]
+        if not apart.any():
+            continue
+        own = at[ends[i] - sizes[i]:ends[i]]
+        many = held[own]
+        places = np.repeat(first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        shared = np.bincount(holders[places], minlength=n)
+        for j in np.flatnonzero(apart & (100 * shared >= similarity * (sizes[i] + sizes - shared))):
+            if joined[j] != joined[i]:
+                joined[joined == joined[j]] = joined[i]
                 links.append((int(names[i]), int(names[j])))
     return links
 
@@ -250,16 +245,19 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = WORDS, sim
         .join(classes.select(F.col("class").alias("named"), F.col("first_id")), F.col("class") == F.col("named")).drop("named")
     )
     members = stored(members, "minhash-members")
-    texts = stored(members.join(docs, members["first_id"] == docs["id"]).drop("id", "first_id", "held"), "minhash-texts")
+    # Few texts are in a cluster; only those, and what the sieve lets through by chance, are shuffled.
+    asked, _ = sieved(docs, "id", members.select("first_id"))
+    texts = stored(members.join(asked, members["first_id"] == asked["id"]).drop("id", "first_id", "held"), "minhash-texts")
     fresh = texts.withColumns({"guest": F.lit(False), "label": F.col("class")})
     # Each chunk meets the next one; a cluster of one chunk is tested as it is.
     parts = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(
         F.array_distinct(F.array(F.col("chunk"), F.pmod(F.col("chunk") + F.col("chunks") - 1, F.col("chunks")))))
-    links = stored(_confirm(fresh.withColumn("part", F.explode(parts)), size, similarity), "minhash-links")
+    joined = components(_confirm(fresh.withColumn("part", F.explode(parts)), size, similarity), "minhash-components")
     large = texts.filter("chunks > 1")
     if not large.isEmpty():
-        links = links.unionByName(_rest(large, links, size, similarity, chunk))
-    joined = components(links, "minhash-components")
+        more = stored(_rest(large, joined, size, similarity, chunk), "minhash-links")
+        if not more.isEmpty():
+            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "minhash-components")
     owner = (
         classes.select("class", "first_id").join(joined, F.col("class") == F.col("node"), "left")
         .select("class", "first_id", F.coalesce("component", "class").alias("component"))
@@ -272,9 +270,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, size: int = WORDS, sim
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _rest(large: DataFrame, links: DataFrame, size: int, similarity: int, chunk: int) -> DataFrame:
+def _rest(large: DataFrame, so_far: DataFrame, size: int, similarity: int, chunk: int) -> DataFrame:
     """Links of what is outside the largest component of a cut cluster, against all its chunks."""
-    so_far = components(links, "minhash-so-far")
     labelled = large.join(so_far, large["class"] == so_far["node"], "left").withColumn("label", F.coalesce("component", "class")).drop("node", "component")
     labelled = stored(labelled, "minhash-labelled")
     held = labelled.groupBy("cluster", "label").agg(F.count("*").alias("held"))
