@@ -86,9 +86,9 @@ def citations(hits: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def relationship_blocks(edges: DataFrame) -> DataFrame:
-    """Edge lines per organisation; ``edges`` is the limited edge list with its ``rank``."""
-    return edges.withColumn("line", edge_line()).groupBy("org_id").agg(joined_lines("line", "rank", name="edge_block"))
+def relationship_blocks(edges: DataFrame, key: str = "org_id") -> DataFrame:
+    """Edge lines per organisation, or per ``key``; ``edges`` is the limited edge list with its ``rank``."""
+    return edges.withColumn("line", edge_line()).groupBy(key).agg(joined_lines("line", "rank", name="edge_block"))
 
 
 def answer_contexts(
@@ -96,14 +96,18 @@ def answer_contexts(
 ) -> DataFrame:
     """Profile and memory section of each question.
 
-    The relationship part appears only for questions that ask for it.
+    The relationship part appears only for questions that ask for it;
+    ``edge_block`` is by ``query_id`` (what its user may see) or by ``org_id``.
     """
+    by = "query_id" if "query_id" in edge_block.columns else "org_id"
+    if by == "org_id":
+        edge_block = fresh_keys(edge_block, by)
     heads = profiles.select("org_id", F.concat(profile_header(), F.lit("\n")).alias("profile"))
     graph = F.when(X.asks_for_relationships(F.col("question")), F.concat(
         F.lit("\n\n== Entity Relationships ==\n"), F.coalesce("edge_block", F.lit(NO_EDGES)))).otherwise("")
     return (
         questions.join(fact_block.select("query_id", "fact_block"), "query_id")
-        .join(fresh_keys(edge_block, "org_id"), "org_id", "left").join(heads, "org_id", "left")
+        .join(edge_block, by, "left").join(heads, "org_id", "left")
         .select(
             "query_id", "org_id", "question", F.coalesce("profile", F.lit("")).alias("profile"),
             F.concat(F.lit("== Verified Facts ==\n"), "fact_block", graph).alias("memory"),

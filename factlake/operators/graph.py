@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .access import visible_to, with_source
+from .access import access_class, visible_to, with_access_classes, with_source
 from .grouping import first_k
 
 # fixed values
@@ -94,6 +94,24 @@ def list_edges_visible(
     return _shown(_with_to(kept, nodes), "rank")
 
 
+def list_edges_for(
+    questions: DataFrame, edges: DataFrame, nodes: DataFrame, facts: DataFrame, sources: DataFrame, memberships: DataFrame,
+    limit: int = EDGE_LIMIT,
+) -> DataFrame:
+    """First ``limit`` edges for each question (``query_id, org_id, user_id``) whose start its user may see.
+
+    Edges are limited per audience first: what one user sees first lies in the
+    first of each of their audiences. Questions then meet their audiences by an equi join.
+    """
+    placed = with_source(facts.select(F.col("id").alias("from_id"), "source_id"), sources, "channel_id", "channel_is_private")
+    classed = _with_from(edges, nodes).join(placed.select("from_id", access_class().alias("access_class")), "from_id")
+    order = [F.col(c) for c in EDGE_ORDER]
+    kept = first_k(classed, ["org_id", "access_class"], order, limit).drop("rank")
+    asked = with_access_classes(questions.select("query_id", "org_id", "user_id"), memberships).drop("user_id")
+    met = first_k(kept.join(asked, ["org_id", "access_class"]), ["query_id"], order, limit)
+    return _shown(_with_to(met, nodes), "query_id", "rank")
+
+
 def neighbourhood(edges: DataFrame, nodes: DataFrame, org_id: str, name: str, limit: int = NEIGHBOUR_LIMIT) -> DataFrame:
     """First ``limit`` edges of an organisation that touch a node whose name contains ``name``."""
     starts = nodes.filter(F.col("org_id") == org_id).select(

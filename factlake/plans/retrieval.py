@@ -122,6 +122,21 @@ def edges_acl(t):
     return graph.list_edges_visible(t("fx_edges"), t("fx_nodes"), t.sql(NODE_FACTS), t("fx_sources"), t("fx_memberships"), "org3", "U3")
 
 
+# Edges whose start the user of a question may see, first 30 of each.
+SEEN_EDGES = f"""{MATCHED}, seen_edges AS (SELECT q.query_id, m.*, row_number() OVER (PARTITION BY q.query_id ORDER BY m.from_id, m.to_id, m.relationship) AS rank
+  FROM fx_questions q JOIN matched m ON m.org_id = q.org_id JOIN ({NODE_FACTS}) nf ON nf.id = m.from_id LEFT JOIN fx_sources s ON s.id = nf.source_id
+  WHERE s.channel_is_private = false OR s.channel_id IS NULL OR EXISTS (SELECT 1 FROM fx_memberships u WHERE u.org_id = q.org_id AND u.user_id = q.user_id AND u.channel_id = s.channel_id))"""
+
+
+def edges_for(t, questions):
+    return graph.list_edges_for(questions, t("fx_edges"), t("fx_nodes"), t.sql(NODE_FACTS), t("fx_sources"), t("fx_memberships"))
+
+
+@query("J4 G3", f"WITH {SEEN_EDGES} SELECT query_id, CAST(rank AS INTEGER) AS rank, {SHOWN} FROM seen_edges WHERE rank <= 30")
+def edges_acl_many(t):
+    return edges_for(t, t("fx_questions"))
+
+
 @query("G4", f"WITH {MATCHED} SELECT {SHOWN} FROM matched WHERE org_id = 'org2' AND (contains(from_name, 'NATION_1') OR contains(to_name, 'NATION_1')) ORDER BY from_id, to_id, relationship LIMIT 20")
 def neighbourhood(t):
     return graph.neighbourhood(t("fx_edges"), t("fx_nodes"), "org2", "NATION_1")
@@ -206,16 +221,17 @@ def relationship_block(t):
 
 
 ASKS = " OR ".join(f"contains(lower(question), '{p}')" for p in X.RELATIONSHIP_PHRASES)
-ANSWERS = f"""{MANY_ACL}, {FACT_BLOCK}, {EDGE_BLOCK}, ctx AS (SELECT q.query_id, q.org_id, q.question, coalesce({HEADER} || chr(10), '') AS profile,
+ANSWERS = f"""{MANY_ACL}, {FACT_BLOCK}, {SEEN_EDGES}, edge_block AS (SELECT query_id, string_agg({EDGE_LINE}, chr(10) ORDER BY rank) AS edge_block FROM seen_edges WHERE rank <= 30 GROUP BY query_id), ctx AS (SELECT q.query_id, q.org_id, q.question, coalesce({HEADER} || chr(10), '') AS profile,
     '== Verified Facts ==' || chr(10) || coalesce(b.block, '{context.NO_HITS}') || CASE WHEN {ASKS} THEN chr(10) || chr(10) || '== Entity Relationships ==' || chr(10) || coalesce(e.edge_block, '{context.NO_EDGES}') ELSE '' END AS memory
-  FROM fx_questions q LEFT JOIN fact_block b ON b.query_id = q.query_id LEFT JOIN edge_block e ON e.org_id = q.org_id LEFT JOIN fx_profiles p ON p.org_id = q.org_id)"""
+  FROM fx_questions q LEFT JOIN fact_block b ON b.query_id = q.query_id LEFT JOIN edge_block e ON e.query_id = q.query_id LEFT JOIN fx_profiles p ON p.org_id = q.org_id)"""
 
 
 @query("C6 C2 C3 T6 V3", f"WITH {ANSWERS} SELECT * FROM ctx")
 def answer_context(t):
-    """From question to model request: visible facts, relationships where asked for, profile."""
+    """From question to model request: visible facts, visible relationships where asked for, profile."""
     facts = context.fact_blocks(t("fx_questions").select("query_id"), hit_facts(t, many_visible(t)))
-    rels = context.relationship_blocks(graph.list_edges(t("fx_edges"), t("fx_nodes")))
+    asking = t("fx_questions").filter(X.asks_for_relationships(F.col("question")))
+    rels = context.relationship_blocks(edges_for(t, asking), "query_id")
     return context.answer_contexts(t("fx_questions"), facts, rels, t("fx_profiles"))
 
 
