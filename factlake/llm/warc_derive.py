@@ -27,20 +27,25 @@ CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
 # Elements whose content isn't text, elements that end a line, and entities (& itself last).
-UNSEEN = (r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
-          r"|<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)|<!--.*?(?:-->|\z)")
+UNSEEN = (r"(?is)<(?:script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z)"
+          r"|noscript\b[^>]*>.*?(?:</noscript\s*>|\z)|!--.*?(?:-->|\z))")
 LINE_ENDS = (r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option"
              r"|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>")
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&reg;": "®",
             "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&amp;": "&"}
 
 
-def plain_text(html: Column) -> Column:
+def without_tags(html: Column) -> Column:
     seen = F.regexp_replace(html, UNSEEN, " ")
-    text = F.regexp_replace(F.regexp_replace(seen, LINE_ENDS, "\n"), r"<[a-zA-Z/!?][^>]*>", "")
-    decoded = reduce(lambda t, e: F.replace(t, F.lit(e), F.lit(ENTITIES[e])), ENTITIES, text)
-    text = F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
-    text = F.regexp_replace(text, r"[ \t\r\x0b\x0c\x{a0}]+", " ")
+    return F.regexp_replace(F.regexp_replace(seen, LINE_ENDS, "\n"), r"<[a-zA-Z/!?][^>]*>", "")
+
+
+def readable(bare: Column) -> Column:
+    """Entities decoded, white space collapsed. ``bare`` should be a column: it is read twice."""
+    decoded = reduce(lambda t, e: F.replace(t, F.lit(e), F.lit(ENTITIES[e])), ENTITIES, bare)
+    text = F.when(F.contains(bare, F.lit("&")), decoded).otherwise(bare)
+    # Single spaces stay as they are; only longer or other white space is rewritten.
+    text = F.regexp_replace(text, r"(?: ?[\t\r\x0b\x0c\x{a0}]|  )[ \t\r\x0b\x0c\x{a0}]*", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^\n|\n\z", ""))
 
 
@@ -74,19 +79,24 @@ def _lines(*fields: tuple[str, Column]) -> Column:
 def derive(records: DataFrame) -> DataFrame:
     """Two rows per response: ``source_key``, ``warc_type``, ``record_id``, ``refers_to``, digests, ``headers`` and ``block``."""
     page = F.col("payload")
-    flat = F.regexp_replace(F.regexp_extract(page, r"(?is)<title\b[^>]*>([^<]*)", 1), r"\s+", " ")
+    title = F.regexp_extract(page, r"(?is)<title\b[^>]*>([^<]*)", 1)
+    # Facts are columns of their own first: a header line looks at its value twice.
+    known = records.withColumns({
+        "fact_title": F.trim(F.regexp_replace(title, r"\s+", " ")),
+        "fact_language": F.regexp_extract(page, r'(?i)<html\b[^>]*?\blang="?([\w-]*)', 1),
+        "fact_charset": F.regexp_extract(page, r'(?i)<meta\b[^>]*?\bcharset="?([\w-]*)', 1),
+        "fact_outlinks": F.regexp_count(page, F.lit(r"(?i)<a\s[^>]*?\bhref=")).cast("string"),
+        "fact_headers": F.trim(F.replace("http_headers", F.lit(CRLF), F.lit("; "))),
+        "bare": without_tags(page),
+    })
     facts = _lines(
-        ("title", F.trim(flat)),
-        ("language", F.regexp_extract(page, r'(?i)<html\b[^>]*?\blang="?([\w-]*)', 1)),
-        ("charset", F.regexp_extract(page, r'(?i)<meta\b[^>]*?\bcharset="?([\w-]*)', 1)),
-        ("outlinks", F.regexp_count(page, F.lit(r"(?i)<a\s[^>]*?\bhref=")).cast("string")),
-        ("sourcePayloadDigest", F.col("payload_digest")),
-        ("sourceBlockDigest", F.col("block_digest")),
-        ("sourceHttpHeaders", F.trim(F.replace("http_headers", F.lit(CRLF), F.lit("; ")))),
+        ("title", F.col("fact_title")), ("language", F.col("fact_language")), ("charset", F.col("fact_charset")),
+        ("outlinks", F.col("fact_outlinks")), ("sourcePayloadDigest", F.col("payload_digest")),
+        ("sourceBlockDigest", F.col("block_digest")), ("sourceHttpHeaders", F.col("fact_headers")),
     )
-    both = records.select("*", F.explode(F.array(
-        F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), facts.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(page).alias("block")),
+    both = known.withColumns({"facts": facts, "text": readable(F.col("bare"))}).select("*", F.explode(F.array(
+        F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), F.col("facts").alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )).alias("made"))
     both = both.select("source_key", "made.*", "target_uri", "warc_date", F.col("record_id").alias("refers_to"),
                        F.col("payload_digest").alias("source_payload_digest"), "http_headers")
