@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm import bpe, language, minhash_forest, mixing, toxicity
-from factlake.llm.common import fold, stored
+from factlake.llm.common import fold, sieved, stored
 from factlake.llm.queries import RANK_FILE
 from factlake.session import tune
 
@@ -42,9 +42,15 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates."""
     tune(spark)
-    found = minhash_forest.near_duplicates(docs, "doc_id", "text")
-    staying = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(staying, "doc_id", "left_semi").distinct().unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    found = stored(minhash_forest.near_duplicates(docs, "doc_id", "text").filter("doc_id IS NOT NULL"), "pipeline-groups")
+    by_id = found.groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count("*").alias("rows"))
+    # Most documents are the only ones of their group: they stay where they are.
+    looked_at = by_id.filter("NOT stays OR rows > 1")
+    maybe, alone = sieved(docs, "doc_id", looked_at.select("doc_id"))
+    leaving = looked_at.filter("NOT stays").select("doc_id")
+    once = (maybe.filter("doc_id IS NOT NULL").join(leaving, "doc_id", "left_anti")
+            .withColumn("row_hash", F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", "row_hash"]))
+    return alone.unionByName(once.select(*docs.columns)).unionByName(maybe.filter("doc_id IS NULL"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_values
 from .sampling import labelled_sample
 
 CELLS = 8192
@@ -186,19 +187,13 @@ def learn(docs: DataFrame, key: str, text: str, lang: str, per_language: int = P
 def predict(docs: DataFrame, keep: list[str], text: str, model: Model) -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score``, from the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = part.column(len(keep)).to_pylist()
-                known = [i for i, t in enumerate(texts) if has_letter(t)]
-                found = [(UNKNOWN, 0.0)] * len(texts)
-                for i, row in zip(known, margins(own, [texts[i] for i in known]), strict=True):
-                    found[i] = own.predict(row)
-                columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(part.columns[:-1] + columns, names=[*keep, "lang_pred", "score"])
-
-    return docs.select(*keep, text).mapInArrow(run, f"{fields}, lang_pred string, score double")
+
+    def of(column: pa.Array) -> list[pa.Array]:
+        texts = column.to_pylist()
+        known = [i for i, t in enumerate(texts) if has_letter(t)]
+        found = [(UNKNOWN, 0.0)] * len(texts)
+        for i, row in zip(known, margins(shared.value, [texts[i] for i in known]), strict=True):
+            found[i] = shared.value.predict(row)
+        return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+
+    return with_values(docs, keep, text, "lang_pred string, score double", of, rows=128)
