@@ -1,18 +1,18 @@
 """Toxicity from two Kneser-Ney models, one of toxic and one of ordinary texts.
 
-Both are interpolated word models: the pair of a word and the one before it,
-then the word's continuation count (how many different words it follows) in the
-class, then its continuation count in both classes together. The last level is
-shared, so an expression that is rare in both classes backs off to the same
-share and says nothing. A pair counts by the different words before it, so that
-copies and repeated passages count once, and a class speaks for itself only
-with counts above the discount, which is chosen on labelled rows that the
-counts have not seen.
+Each model counts a word by its continuations: how many different words it
+follows in the texts of its class, so that copies and repeated passages count
+once. Counts are discounted, and what is taken off goes to the continuation
+counts of both classes together. This level is shared, so an expression that is
+rare in both classes backs off to the same share and says nothing; a class
+speaks for itself only with counts above the discount, which is chosen on
+labelled rows that the counts have not seen. (A level of word pairs above this
+one was tried and left out: pairs of common words told the classes apart by chance.)
 
 A text is judged by the difference of its two log-likelihoods per word, of
 which each word gives what it has above ``CALM``: the many common words differ a
 little with the languages in each class, and ordinary words must not make up
-for toxic ones. The same unseen rows turn the difference into a probability.
+for toxic ones. The same unseen rows turn the log of the difference into a probability.
 
 The models are fitted on a bounded sample: at most ``PER_CLASS`` documents of
 each class, whole texts; the tables hold only what is counted above the discount.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, word_hashes
+from .common import with_values, word_hashes
 from .sampling import labelled_sample
 
 PER_CLASS = 2000
@@ -41,7 +41,8 @@ CALIBRATION = 4
 DISCOUNTS = (0.75, 2.0, 4.0, 8.0, 12.0)
 CALM = 1.0
 BEGIN = np.uint64(0x5851F42D4C957F2D)
-_SALT = np.uint64(0x9E3779B97F4A7C15)
+# A difference of half a thousandth per word is as good as none.
+NONE = 5e-4
 
 
 def _previous(words: np.ndarray, per_row: np.ndarray) -> np.ndarray:
@@ -53,11 +54,6 @@ def _previous(words: np.ndarray, per_row: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(before * _SALT + words)
-
-
 @dataclass
 class Table:
     """A toxic and an ordinary value by sorted key."""
@@ -82,36 +78,31 @@ class Table:
 
 @dataclass
 class Model:
-    """``words``, ``pairs`` and ``contexts`` name what a class counts above the discount.
+    """``words`` names what a class counts above the discount.
 
     Any other word has its shared probability times ``spare`` in each class, so
     its difference does not depend on the probability, and 1 stands for it.
     """
 
     words: Table
-    pairs: Table
-    contexts: Table
     spare: tuple[float, float]
     slope: float = 1.0
     bias: float = 0.0
     constant: float | None = None
 
-    def word_differences(self, words: np.ndarray, per_row: np.ndarray) -> np.ndarray:
-        before = _previous(words, per_row)
-        p = (self.pairs.get(_pair(before, words), (0.0, 0.0))
-             + self.contexts.get(before, (1.0, 1.0)) * self.words.get(words, self.spare))
-        gain = np.log(p[0] / p[1])
-        return np.maximum(gain - CALM, 0)
+    def word_differences(self, words: np.ndarray) -> np.ndarray:
+        p = self.words.get(words, self.spare)
+        return np.maximum(np.log(p[0] / p[1]) - CALM, 0)
 
     def differences(self, texts: pa.Array) -> np.ndarray:
         """Toxic minus ordinary log-likelihood above ``CALM``, per word of each text."""
         out = np.zeros(len(texts))
         for first, per_row, words in word_hashes(texts):
-            out[first:first + len(per_row)] = _means(self.word_differences(words, per_row), per_row)
+            out[first:first + len(per_row)] = _means(self.word_differences(words), per_row)
         return out
 
     def probability(self, differences: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * differences + self.bias, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.log(differences + NONE) + self.bias, -40, 40)))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None:
@@ -126,33 +117,18 @@ def _means(values: np.ndarray, per_row: np.ndarray) -> np.ndarray:
 
 
 def constant(share: float) -> Model:
-    return Model(Table(), Table(), Table(), (1.0, 1.0), constant=share)
+    return Model(Table(), (1.0, 1.0), constant=share)
 
 
-def fit(before: np.ndarray, words: np.ndarray, counts: np.ndarray, d: float) -> Model:
-    """Levels from distinct pairs with their toxic and ordinary counts (two rows), discounted by ``d``."""
-    names, at = np.unique(words, return_inverse=True)
-    # Continuation counts: of each class, and of both together.
-    own = np.array([np.bincount(at[c > 0], minlength=len(names)) for c in counts], dtype=float)
-    both = np.bincount(at[counts.sum(axis=0) > 0], minlength=len(names)).astype(float)
+def fit(names: np.ndarray, own: np.ndarray, both: np.ndarray, d: float) -> Model:
+    """From each word's toxic and ordinary continuation counts (two rows) and that of both, discounted by ``d``."""
     e = _discount(both)
     shared = (np.maximum(both - e, 0) + e * (both > 0).sum() / (len(names) + 1)) / max(1.0, both.sum())
     totals = np.maximum(own.sum(axis=1), 1)
     spare = np.minimum(own, d).sum(axis=1) / totals
     p = np.maximum(own - d, 0) / totals[:, None] + spare[:, None] * shared
-    heads, of = np.unique(before, return_inverse=True)
-    sums = np.array([np.bincount(of, c, minlength=len(heads)) for c in counts])
-    left = np.array([np.bincount(of, np.minimum(c, d), minlength=len(heads)) for c in counts])
-    left = np.where(sums > 0, left / np.maximum(sums, 1), 1.0)
-    above = np.maximum(counts - d, 0) / np.maximum(sums[:, of], 1)
-    loud = above.max(axis=0) > 0
-    named = (own.max(axis=0) > d)
-    named[at[loud]] = True
-    # Words that are not named must be in the same terms as named ones in the mixture with pairs;
-    # without a pair's share the probability cancels, so their value is the spare share alone.
-    strict = (left < 1).any(axis=0)
-    return Model(Table.of(names[named], p[:, named]), Table.of(_pair(before[loud], words[loud]), above[:, loud]),
-                 Table.of(heads[strict], left[:, strict]), (float(spare[0]), float(spare[1])))
+    named = own.max(axis=0) > d
+    return Model(Table.of(names[named], p[:, named]), (float(spare[0]), float(spare[1])))
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -196,21 +172,21 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p
     later = F.pmod(F.xxhash64(F.lit("calibration"), F.col("picked").cast("string")), F.lit(CALIBRATION)) == 0
     rows = rows.select("mark", later.alias("later"), text)
 
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.asarray(batch.column(0))
             for first, per_row, words in word_hashes(batch.column(1)):
-                before = _previous(words, per_row)
                 yield pa.RecordBatch.from_pydict({
                     "mark": np.repeat(marks[first:first + len(per_row)], per_row),
-                    "far": _previous(before, per_row).view(np.int64), "before": before.view(np.int64), "word": words.view(np.int64)})
+                    "before": _previous(words, per_row).view(np.int64), "word": words.view(np.int64)})
 
-    pairs = (
-        rows.filter("NOT later").select("mark", text)
-        .mapInArrow(triples, "mark int, far bigint, before bigint, word bigint").distinct()
-        .groupBy("before", "word").agg(F.sum("mark").alias("toxic"), F.sum(1 - F.col("mark")).alias("ordinary"))
+    counted = (
+        rows.filter("NOT later").select("mark", text).mapInArrow(pairs, "mark int, before bigint, word bigint")
+        .groupBy("before", "word").agg(F.max("mark").alias("toxic"), F.max(1 - F.col("mark")).alias("ordinary"))
+        .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("both"))
     ).toArrow()
-    counts = np.array([np.asarray(pairs["toxic"]), np.asarray(pairs["ordinary"])], dtype=float)
+    names, both = np.asarray(counted["word"]).view(np.uint64), np.asarray(counted["both"]).astype(float)
+    own = np.array([np.asarray(counted["toxic"]), np.asarray(counted["ordinary"])], dtype=float)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,17 +201,15 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p
     listed = held["words"].combine_chunks() if len(held) else pa.array([], pa.list_(pa.int64()))
     per_row = np.asarray(listed.value_lengths()).astype(np.int64)
     words = np.asarray(listed.flatten()).view(np.uint64)
-    before = np.asarray(pairs["before"]).view(np.uint64)
-    names = np.asarray(pairs["word"]).view(np.uint64)
     if not 0 < truth.sum() < len(truth):
-        model = fit(before, names, counts, DISCOUNTS[0])
+        model = fit(names, own, both, DISCOUNTS[0])
         model.bias = float(np.log(share / (1 - share)))
         return model
     best = None
     for d in DISCOUNTS:
-        model = fit(before, names, counts, d)
-        x = _means(model.word_differences(words, per_row), per_row)
-        model.slope, model.bias = _logistic(x, truth, share)
+        model = fit(names, own, both, d)
+        x = _means(model.word_differences(words), per_row)
+        model.slope, model.bias = _logistic(np.log(x + NONE), truth, share)
         p = np.clip(model.probability(x), 1e-6, 1 - 1e-6)
         loss = -(np.log(p[truth > 0]).mean() * share + np.log(1 - p[truth == 0]).mean() * (1 - share))
         if best is None or loss < best[0]:
@@ -246,14 +220,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p
 def score(docs: DataFrame, keep: list[str], text: str, model: Model) -> DataFrame:
     """``keep`` columns with ``score`` and ``predicted``, from the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                scores = shared.value.scores(part.column(len(keep)))
-                made = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(part.columns[:-1] + made, names=[*keep, "score", "predicted"])
+    def of(column: pa.Array) -> list[pa.Array]:
+        scores = shared.value.scores(column)
+        return [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
 
-    return docs.select(*keep, text).mapInArrow(run, f"{fields}, score double, predicted int")
+    return with_values(docs, keep, text, "score double, predicted int", of)
