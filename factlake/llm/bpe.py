@@ -16,16 +16,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Callable, Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import with_values
+
 # Distinct pre-tokens that a worker keeps, about 100 MB.
 CACHE_ENTRIES = 400_000
 CACHED_PIECE = 64
+# Longer texts are split piece by piece, and decoded in parts.
+LONG_TEXT = 1_000_000
+DECODED_AT_ONCE = 1 << 18
 
 
 class RankQueue:
@@ -73,10 +79,15 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        # All tokens end to end, with the place and size of each id.
+        self.sizes = np.full(max(ranks.values(), default=0) + 1, -1, dtype=np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
+        known = np.maximum(self.sizes, 0)
+        self.starts = np.cumsum(known) - known
+        self.flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), dtype=np.uint8)
         self.longest = max(map(len, ranks), default=1)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -127,17 +138,27 @@ class Codec:
         if not text:
             return np.zeros(0, dtype="<u4")
         cache, out = self.cache, []
-        for piece in self.split(text):
+        pieces = self.pattern.findall(text) if len(text) < LONG_TEXT else (m.group() for m in self.pattern.finditer(text))
+        for piece in pieces:
             packed = cache.get(piece)
             if packed is None:
-                packed = np.array(self.merge(piece.encode()), dtype="<u4").tobytes()
+                packed = array("I", self.merge(piece.encode())).tobytes()
                 if len(piece) <= CACHED_PIECE and len(cache) < CACHE_ENTRIES:
                     cache[piece] = packed
             out.append(packed)
         return np.frombuffer(b"".join(out), dtype="<u4")
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: Sequence[int] | np.ndarray) -> bytes:
+        """The bytes of the ids; an id that the vocabulary lacks is an error."""
+        ids = np.asarray(ids, dtype=np.int64)
+        sizes = self.sizes[ids]
+        if len(ids) and (ids.min() < 0 or sizes.min() < 0):
+            raise KeyError("an id outside the vocabulary")
+        out = []
+        for at in range(0, len(ids), DECODED_AT_ONCE):
+            starts, n = self.starts[ids[at:at + DECODED_AT_ONCE]], sizes[at:at + DECODED_AT_ONCE]
+            out.append(self.flat[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+        return b"".join(out)
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -156,29 +177,14 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _mapped(df: DataFrame, keep: list[str], schema: str, row: Callable, text: str) -> DataFrame:
-    fields = df.select(*keep, text).schema[:-1]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    made = [part.split()[0] for part in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [row(t.as_py()) for t in part.column(len(keep))]
-                columns = [pa.array([r[i] for r in rows]) for i in range(len(made))]
-                yield pa.RecordBatch.from_arrays(part.columns[:-1] + columns, names=keep + made)
-
-    return df.select(*keep, text).mapInArrow(run, f"{kept}, {schema}")
-
-
 def encode(df: DataFrame, keep: list[str], text: str, path: str, pattern: str) -> DataFrame:
     """``keep`` columns with ``ids``, the ids of the whole text."""
 
-    def row(value: str | None):
-        return (codec(path, pattern).encode(value).astype("int32"),)
+    def of(texts: pa.Array) -> list[pa.Array]:
+        own = codec(path, pattern)
+        return [pa.array([own.encode(t.as_py()).astype("int32") for t in texts], pa.list_(pa.int32()))]
 
-    return _mapped(df, keep, "ids array<int>", row, text)
+    return with_values(df, keep, text, "ids array<int>", of)
 
 
 def round_trip(df: DataFrame, keep: list[str], text: str, path: str, pattern: str) -> DataFrame:
@@ -188,9 +194,11 @@ def round_trip(df: DataFrame, keep: list[str], text: str, path: str, pattern: st
     numbers, and of the bytes that the ids decode to.
     """
 
-    def row(value: str | None):
-        own = codec(path, pattern)
-        ids = own.encode(value)
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids.tolist())).hexdigest()
+    def of(texts: pa.Array) -> list[pa.Array]:
+        own, made = codec(path, pattern), []
+        for value in texts:
+            ids = own.encode(value.as_py())
+            made.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
+        return [pa.array([m[i] for m in made]) for i in range(3)]
 
-    return _mapped(df, keep, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row, text)
+    return with_values(df, keep, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", of)
