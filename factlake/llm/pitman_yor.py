@@ -1,13 +1,17 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-The model is nested: words are served in one restaurant, whose new tables order
-their dish from a spelling model; the spelling model is a hierarchy of
+The model is nested: each preceding word has a restaurant, whose new tables order
+their dish from one restaurant of all words; new tables there order it from a
+spelling model; the spelling model is a hierarchy of
 restaurants, one for each context of two bytes, with the one-byte contexts and
 then the empty context as shared parents, and all 256 bytes alike at the root.
 A table opened anywhere is a customer of the parent, so a rare word takes part
 of its probability from how it is spelt, and a rare spelling from shorter
 contexts. As in the base score, all words that training has not seen are one
 outcome: its probability is what a new table gives to their spellings together.
+The first word and the end of a text have the end before them, an end the last word.
+A word that training has not seen has an empty restaurant, which gives the parent's
+probabilities.
 
 Seating is sampled by Gibbs sweeps over blocks: all customers of a dish in one
 restaurant are seated anew, one after another, given all other restaurants. The
@@ -19,8 +23,11 @@ the predictions. The chance is a hash of dish, restaurant and sweep, so every
 machine draws the same. Predictive probabilities are averaged over
 the samples after the burn-in, and a text's score is the sum of their logs.
 
-Words and counts stay in a table; their counts are joined to the words of blocks
-of documents. The spelling model has at most 65,536 contexts of 256 bytes, however
+Words and counts stay in a table; they are joined to the words of blocks
+of documents. Pairs stay in a table too, packed by ranges of their 64-bit hash, so a common
+word's pairs are spread over all of it; words are told apart by 64-bit hashes there. A
+sweep joins the words to the pairs of each range, seats these, and sends the new tables back to
+the words. The spelling model has at most 65,536 contexts of 256 bytes, however
 large the corpus, and is the only thing that is collected and broadcast.
 
 Tokens are words with A-Z lower-cased and one end per text, which is the empty word.
@@ -38,10 +45,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import _hash_slice, mix, stored
+from .common import _hash_slice, mix, stored, word_hashes
 
 BURN_IN, SAMPLES = 1, 3
 THETA = 1.0
@@ -50,6 +58,7 @@ SINGLY = 32
 BLOCK_TOKENS = 2_000_000
 FLUSH_WORDS = 300_000
 END = b""
+END_KEY = 0x5851F42D4C957F2D
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,14 +150,18 @@ class Sample:
     tables: float
     sweep: int
     known: float = 0.0
+    customers: float = 0.0
 
 
 @dataclass
 class Model:
+    """``n`` tokens and ``v`` words of training; the samples are those of the restaurant of all words and of spelling."""
+
     n: int
     v: int
     discount: float
     samples: list[Sample]
+    pair_discount: float = 0.5
 
 
 def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +178,7 @@ def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _keys(words: list[bytes]) -> np.ndarray:
     """A number for each word."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    out = np.full(len(words), 0x5851F42D4C957F2D, dtype=np.uint64)
+    out = np.full(len(words), END_KEY, dtype=np.uint64)
     out[sizes > 0] = _hash_slice(np.frombuffer(b" ".join(w for w in words if w), dtype=np.uint8), np.zeros(0, dtype=np.int64))[0]
     return out
 
@@ -182,19 +195,111 @@ def _seated(model: Model, sample: Sample, counts: np.ndarray, spelled: np.ndarra
 
 def log10_p(model: Model, words: list[bytes], counts: np.ndarray) -> np.ndarray:
     """Averaged predictive probability of each word with its count in training, as log10."""
-    word, cells = letters(words)
-    keys, total = _keys(words), np.zeros(len(words))
-    for sample in model.samples:
-        spelled = _spelled(sample, word, cells, len(words))
-        tables = _seated(model, sample, counts, spelled, keys)
-        total += ((counts - model.discount * tables) + (THETA + model.discount * sample.tables) * spelled) / (THETA + model.n)
+    total = sum(_served(model, sample, words, counts) for sample in model.samples)
     return np.log10(np.maximum(total / len(model.samples), 1e-300))
 
 
+def _served(model: Model, sample: Sample, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """Predictive probability of each word in the restaurant of all words, with its customers there."""
+    word, cells = letters(words)
+    spelled = _spelled(sample, word, cells, len(words))
+    tables = _seated(model, sample, counts, spelled, _keys(words))
+    return ((counts - model.discount * tables) + (THETA + model.discount * sample.tables) * spelled) / (THETA + sample.customers)
+
+
+def _unknown(model: Model, sample: Sample) -> float:
+    return (THETA + model.discount * sample.tables) * (1 - sample.known) / (THETA + sample.customers)
+
+
 def log10_unknown(model: Model) -> float:
     """Averaged probability that the next word is one that training has not seen, as log10."""
-    shares = [(THETA + model.discount * s.tables) * (1 - s.known) / (THETA + model.n) for s in model.samples]
-    return float(np.log10(np.mean(shares)))
+    return float(np.log10(np.mean([_unknown(model, s) for s in model.samples])))
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A number for each pair of word numbers."""
+    with np.errstate(over="ignore"):
+        return mix(before * _SALT ^ words)
+
+
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of each pair; it grows with the pair's number."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _streams(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Numbers of the words of runs of texts, with an end before the first text and after each: neighbours are the pairs."""
+    for _, sizes, hashes in word_hashes(texts):
+        out = np.full(len(hashes) + len(sizes) + 1, END_KEY, dtype=np.uint64)
+        inner = np.ones(len(out), dtype=bool)
+        inner[np.append(0, np.cumsum(sizes + 1))] = False
+        out[inner] = hashes
+        yield out
+
+
+def count_pairs(docs: DataFrame, text: str, ranges: int) -> DataFrame:
+    """One row per range of pairs: its words' numbers, the places of each pair's words among them, and counts, packed.
+
+    ``pairs``, ``once`` and ``twice`` are the pairs seen at all, once and twice.
+    """
+
+    def summed(before: np.ndarray, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        keys = pair_keys(before, words)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[first], before[order][first], words[order][first], np.add.reduceat(n[order], first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, before, words, n = summed(np.concatenate([s[:-1] for s in held]), np.concatenate([s[1:] for s in held]), np.ones(size, dtype=np.int64))
+            at = _range_of(keys, ranges)
+            names, first = np.unique(at, return_index=True)
+            cuts = list(zip(first, np.append(first[1:], len(at)), strict=True))
+            return pa.RecordBatch.from_pydict({
+                "range": pa.array(names.astype(np.int32)), **{
+                    name: pa.array([column[a:b].tobytes() for a, b in cuts], pa.binary())
+                    for name, column in (("before", before), ("words", words), ("n", n.astype(np.int32)))}})
+
+        for batch in batches:
+            for stream in _streams(batch.column(0)):
+                held.append(stream)
+                size += len(stream) - 1
+                if size >= BLOCK_TOKENS:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    def merge(table: pa.Table) -> pa.Table:
+        def joined(name: str, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
+
+        _, before, words, n = summed(joined("before", np.uint64), joined("words", np.uint64), joined("n", np.int32).astype(np.int64))
+        names, at = np.unique(np.concatenate([before, words]).view(np.int64), return_inverse=True)
+        at = at.astype(np.int32)
+        return pa.table({
+            "range": table["range"][:1], "names": pa.array([names.tobytes()], pa.binary()), "before": pa.array([at[:len(n)].tobytes()], pa.binary()),
+            "words": pa.array([at[len(n):].tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()),
+            "pairs": [len(n)], "once": [int((n == 1).sum())], "twice": [int((n == 2).sum())]})
+
+    return docs.select(text).mapInArrow(run, "range int, before binary, words binary, n binary").groupBy("range").applyInArrow(
+        merge, "range int, names binary, before binary, words binary, n binary, pairs bigint, once bigint, twice bigint")
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words' numbers, places of both words, counts and number of each pair."""
+    names, n = np.frombuffer(row["names"], dtype=np.int64), np.frombuffer(row["n"], dtype=np.int64)
+    before, words = (np.frombuffer(row[c], dtype=np.int32) for c in ("before", "words"))
+    keys = names.view(np.uint64)
+    return names, before, words, n, pair_keys(keys[before], keys[words])
+
+
+def _seated_pairs(n: np.ndarray, tables: np.ndarray, p: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of pairs, given those in their restaurants and their words' probability among all words."""
+    return seat(n, (THETA + discount * tables) * p, discount, keys, sweep)
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -261,20 +366,32 @@ def _tables(words: DataFrame, model: Model, sample: Sample | None) -> tuple[floa
     return float(n[cells == -1].sum()), float(n[cells == -2].sum()), cells[letter], n[letter]
 
 
+def _discount(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+
+def _totals(words: DataFrame) -> Row:
+    return words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"),
+                     F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()[0]
+
+
+def _spelling_sample(tables: float, cells: np.ndarray, customers: np.ndarray, sweep: int, served: float) -> Sample:
+    """Spelling seated anew, for a restaurant of all words with so many customers."""
+    spelling = Spelling(cells, customers)
+    for inner in range(3):
+        shares = spelling.sweep(sweep * 3 + inner)
+    rows = np.arange(65536) % 256 + len(spelling.used)
+    rows[spelling.used] = np.arange(len(spelling.used))
+    return Sample(rows.astype(np.int32), np.log(shares).astype(np.float32), tables, tables, sweep, customers=served)
+
+
 def learn(words: DataFrame) -> Model:
-    """Samples seatings of a table of ``word`` and ``n``."""
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"),
-                      F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()[0]
-    discount = min(0.95, max(0.05, total.once / (total.once + 2 * total.twice))) if total.once else 0.5
-    model = Model(total.n, total.v, discount, [])
+    """Samples seatings of a table of ``word`` and ``n``, all in one restaurant."""
+    total = _totals(words)
+    model = Model(total.n, total.v, _discount(total.once, total.twice), [])
     tables, _, cells, customers = _tables(words, model, None)
     for sweep in range(BURN_IN + SAMPLES):
-        spelling = Spelling(cells, customers)
-        for inner in range(3):
-            shares = spelling.sweep(sweep * 3 + inner)
-        rows = np.arange(65536) % 256 + len(spelling.used)
-        rows[spelling.used] = np.arange(len(spelling.used))
-        sample = Sample(rows.astype(np.int32), np.log(shares).astype(np.float32), tables, tables, sweep)
+        sample = _spelling_sample(tables, cells, customers, sweep, total.n)
         tables, sample.known, cells, customers = _tables(words, model, sample)
         sample.tables = tables
         if sweep >= BURN_IN:
@@ -282,6 +399,114 @@ def learn(words: DataFrame) -> Model:
     return model
 
 
+def _with_keys(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array(_keys(batch.column(0).to_pylist()).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=["word", "n", "key"])
+
+    return words.select("word", "n").mapInArrow(run, "word binary, n bigint, key bigint")
+
+
+def _opened(names: np.ndarray, before: np.ndarray, words: np.ndarray, tables: np.ndarray) -> dict[str, np.ndarray]:
+    """Tables of each word's restaurant, and the customers it has as a dish of the parent."""
+    return {"key": names, "opened": np.bincount(before, tables, minlength=len(names)),
+            "customers": np.bincount(words, tables, minlength=len(names))}
+
+
+def _one_table_each(pairs: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, before, words, n, _ = _unpacked(row)
+                yield pa.RecordBatch.from_pydict(_opened(names, before, words, np.ones(len(n))))
+
+    return pairs.select("names", "before", "words", "n").mapInArrow(run, "key bigint, opened double, customers double")
+
+
+def _seat_pairs(pairs: DataFrame, words: DataFrame, discount: float, sweep: int) -> DataFrame:
+    """All pairs seated anew; ``words`` has ``key`` with ``t``, the tables of its restaurant, and ``p``, its probability among all words."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                listed = np.frombuffer(row["names"], dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({"range": np.full(len(listed), row["range"], dtype=np.int32), "key": listed})
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        names, before, words, n, keys = _unpacked(table.to_pylist()[0])
+        at = np.searchsorted(names, np.asarray(found["key"]))
+        tables, p = np.zeros(len(names)), np.zeros(len(names))
+        tables[at], p[at] = np.asarray(found["t"]), np.asarray(found["p"])
+        return pa.table(_opened(names, before, words, _seated_pairs(n, tables[before], p[words], discount, keys, sweep)))
+
+    asked = pairs.select("range", "names").mapInArrow(names, "range int, key bigint")
+    found = asked.join(words, "key").select("range", "key", "t", "p")
+    return pairs.groupBy("range").cogroup(found.groupBy("range")).applyInArrow(run, "key bigint, opened double, customers double")
+
+
+def learn_pairs(words: DataFrame, pairs: DataFrame) -> tuple[Model, DataFrame]:
+    """Samples seatings of pairs, of the words that their tables order, and of the spelling of these.
+
+    Gives the model, and the words with ``n``, and with ``t`` and ``p`` after each sweep from the last of the burn-in on.
+    """
+    total = _totals(words)
+    kinds = pairs.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).collect()[0]
+    model = Model(total.n, total.v, 0.5, [], _discount(kinds.once or 0, kinds.twice or 0))
+    state, opened = _with_keys(words), _one_table_each(pairs)
+    history = ["word", "n", "key"]
+    for sweep in range(BURN_IN + SAMPLES + 1):
+        # The tables of the pairs, summed, are the customers of their words.
+        sums = opened.groupBy("key").agg(F.sum("opened").alias(f"t{sweep}"), F.sum("customers").cast("bigint").alias("customers"))
+        state = stored(state.select(*history).join(sums, "key").select(*history, f"t{sweep}", "customers"), "lm-seated")
+        served = state.select("word", F.col("customers").alias("n"))
+        now = _totals(served)
+        if sweep == 0:
+            model.discount = _discount(now.once, now.twice)
+            tables, _, cells, customers = _tables(served, model, None)
+            # The first seating starts from the shares of the customers.
+            state = state.withColumn("p0", F.col("customers") / F.lit(float(max(now.n, 1))))
+        else:
+            sample = _spelling_sample(tables, cells, customers, sweep - 1, now.n)
+            tables, sample.known, cells, customers = _tables(served, model, sample)
+            sample.tables = tables
+            if sweep > BURN_IN:
+                model.samples.append(sample)
+            state = _priced(state, model, sample, f"p{sweep}")
+        if sweep < BURN_IN + SAMPLES:
+            asked = state.select("key", F.col(f"t{sweep}").alias("t"), F.col(f"p{sweep}").alias("p"))
+            opened = _seat_pairs(pairs, asked, model.pair_discount, sweep)
+        history = [*history, f"t{sweep}", f"p{sweep}"] if sweep >= BURN_IN else history
+    return model, state.select(*history)
+
+
+def _priced(state: DataFrame, model: Model, sample: Sample, name: str) -> DataFrame:
+    shared = state.sparkSession.sparkContext.broadcast((model.discount, sample))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema) + f", {name} double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        discount, sample = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                p = _served(Model(0, 0, discount, []), sample, batch.column("word").to_pylist(), np.asarray(batch.column("customers")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
+
+    return state.mapInArrow(run, schema)
+
+
+def log10_pairs(model: Model, n: np.ndarray, keys: np.ndarray, held: np.ndarray, tables: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Averaged predictive probability of each pair with its count ``n`` in training, as log10.
+
+    ``held`` is the count of the word before; ``tables`` (of its restaurant) and ``p`` (of the word among all words) have a
+    row for the state before the first sample and one for each sample.
+    """
+    d, total = model.pair_discount, np.zeros(len(n))
+    for i, sample in enumerate(model.samples, 1):
+        seated = _seated_pairs(n, tables[i - 1], p[i - 1], d, keys, sample.sweep)
+        total += (n - d * seated + (THETA + d * tables[i]) * p[i]) / (THETA + held)
+    return np.log10(np.maximum(total / len(model.samples), 1e-300))
+
+
 def score(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
     """Learns from the rows that aren't ``held_out`` and scores all rows.
 
@@ -289,17 +514,16 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
     """
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = stored(count_words(docs.filter("NOT held_out"), "text"), "lm-words")
-    model = learn(words)
+    learned = docs.filter("NOT held_out")
+    words = stored(count_words(learned, "text"), "lm-words")
+    tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    ranges = max(1, -(-tokens // BLOCK_TOKENS))
+    pairs = stored(count_pairs(learned, "text", ranges), "lm-pairs")
+    model, priced = learn_pairs(words, pairs)
     shared = words.sparkSession.sparkContext.broadcast(model)
+    states = range(BURN_IN, BURN_IN + SAMPLES + 1)
+    columns = [f"{c}{i}" for c in "tp" for i in states]
 
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                p = log10_p(shared.value, batch.column(0).to_pylist(), np.asarray(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=["word", "n", "p"])
-
-    priced = words.select("word", "n").mapInArrow(price, "word binary, n bigint, p double")
     blocks = max(1, -(-model.n * 7 // 6 // BLOCK_TOKENS))
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
@@ -316,23 +540,60 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
                          "place": pa.array(np.arange(len(found), dtype=np.int32)), "asked": pa.array(found, pa.binary())})
 
     asked = blocked.groupBy("block").applyInArrow(ask, "block int, place int, asked binary")
-    answers = asked.join(priced, asked["asked"] == priced["word"]).select("block", "place", "n", "p")
+    words_found = asked.join(priced, asked["asked"] == priced["word"]).select("block", "place", "n", *columns)
+
+    def ask_pairs(table: pa.Table) -> pa.Table:
+        streams = [s for chunk in table["text"].chunks for s in _streams(chunk)]
+        keys = np.unique(np.concatenate([np.unique(pair_keys(s[:-1], s[1:])) for s in streams]))
+        names, first = np.unique(_range_of(keys, ranges), return_index=True)
+        return pa.table({"block": pa.array(np.full(len(names), table["block"][0].as_py(), dtype=np.int32)), "range": pa.array(names.astype(np.int32)),
+                         "asked": pa.array([k.tobytes() for k in np.split(keys, first[1:])], pa.binary())})
+
+    def look_up(table: pa.Table, found: pa.Table) -> pa.Table:
+        """Counts of the asked pairs, in the fewest bytes that hold them."""
+        keys, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        if len(found):
+            *_, n, keys = _unpacked(found.to_pylist()[0])
+        out = []
+        for value in table["asked"]:
+            asked = np.frombuffer(value.as_py(), dtype=np.uint64)
+            at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+            counts = np.where(keys[at] == asked, n[at], 0) if len(keys) else np.zeros(len(asked), dtype=np.int64)
+            out.append(counts.astype(np.min_scalar_type(int(counts.max()))).tobytes())
+        return pa.table({"block": table["block"], "place": table["range"], "counts": pa.array(out, pa.binary())})
+
+    pairs_asked = blocked.groupBy("block").applyInArrow(ask_pairs, "block int, range int, asked binary")
+    pairs_found = pairs_asked.groupBy("range").cogroup(pairs.groupBy("range")).applyInArrow(look_up, "block int, place int, counts binary")
+    # One table answers both: rows with counts are of a range of pairs, the others of a word.
+    answers = words_found.unionByName(pairs_found.filter("block IS NOT NULL"), allowMissingColumns=True)
 
     def add_up(table: pa.Table, answer: pa.Table) -> pa.Table:
         model = shared.value
         found = vocabulary(table)
-        counts, p = np.zeros(len(found), dtype=np.int64), np.zeros(len(found))
-        places = np.asarray(answer["place"])
-        counts[places], p[places] = np.asarray(answer["n"]), np.asarray(answer["p"])
-        p[counts == 0] = log10_unknown(model)
+        of_pairs = answer.filter(pc.is_valid(answer["counts"])).sort_by("place")
+        answer = answer.filter(pc.is_null(answer["counts"]))
+        counts, places = np.zeros(len(found), dtype=np.int64), np.asarray(answer["place"])
+        counts[places] = np.asarray(answer["n"])
+        tables, p = np.zeros((len(states), len(found))), np.zeros((len(states), len(found)))
+        # No pair with an unknown word has tables, so its probability before the first sample is not used.
+        p[1:] = np.array([[_unknown(model, s)] for s in model.samples])
+        for row, i in enumerate(states):
+            tables[row, places], p[row, places] = np.asarray(answer[f"t{i}"]), np.asarray(answer[f"p{i}"])
         base = np.log10((counts + 1) / (model.n + model.v + 1))
         number = {w: i for i, w in enumerate(found)}.__getitem__
-        out = np.zeros((len(table), 4))
-        for row, value in zip(out, table["text"], strict=True):
-            listed = words_of(value.as_py())
-            at = np.fromiter(map(number, listed), dtype=np.int64, count=len(listed))
-            at = np.append(at, number(END))
-            row[:] = len(at), (counts[at] > 0).sum(), base[at].sum(), p[at].sum()
+        listed = [np.fromiter(map(number, [*words_of(v.as_py()), END]), dtype=np.int64) for v in table["text"]]
+        at, sizes = np.concatenate(listed), np.array([len(x) for x in listed])
+        before, keys = np.roll(at, 1), _keys(found)
+        before[0] = number(END)
+        keys, first, pair = np.unique(pair_keys(keys[before], keys[at]), return_index=True, return_inverse=True)
+        before, words = before[first], at[first]
+        seen, asked = np.zeros(len(keys), dtype=np.int64), _range_of(keys, ranges)
+        for place, value in zip(of_pairs["place"].to_pylist(), of_pairs["counts"].to_pylist(), strict=True):
+            lo, hi = np.searchsorted(asked, [place, place + 1])
+            seen[lo:hi] = np.frombuffer(value, dtype=f"u{len(value) // (hi - lo)}")
+        score = log10_pairs(model, seen, keys, counts[before], tables[:, before], p[:, words])
+        starts = np.cumsum(sizes) - sizes
+        out = np.stack([sizes, *(np.add.reduceat(x, starts) for x in ((counts > 0)[at].astype(np.int64), base[at], score[pair]))], axis=1)
         return pa.table({
             "doc_id": table["doc_id"], "held_out": table["held_out"], "n_tokens": pa.array(out[:, 0].astype(np.int64)),
             "n_known": pa.array(out[:, 1].astype(np.int64)), "train_tokens": pa.array(np.full(len(table), model.n)),

@@ -82,3 +82,42 @@ def test_cases(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and math.isfinite(r.score) for r in untaught)
     names = py.perplexity(py.score(df, "doc_id", "text", fold("doc_id", 7) == 2)).columns
     assert names == ["held_out", "perplexity", "base_perplexity"]
+
+
+def test_order_of_words_counts(spark):
+    """Shuffled texts score less; probabilities after each word add up, also after one never seen."""
+    rng = np.random.default_rng(5)
+    chain = {i: rng.permutation(40)[:3] for i in range(40)}
+    texts = []
+    for _ in range(300):
+        at = [int(rng.integers(40))]
+        for _ in range(30):
+            at.append(int(rng.choice(chain[at[-1]])))
+        texts.append([f"w{i}" for i in at])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join(rng.permutation(t))) for i, t in enumerate(texts[:100])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in py.score(df, "doc_id", "text", py.F.col("doc_id").between(0, 99) | (py.F.col("doc_id") >= 1000)).collect()}
+    assert all(got[i].base_score == pytest.approx(got[1000 + i].base_score) for i in range(100))
+    assert np.mean([got[i].score - got[1000 + i].score for i in range(100)]) > 10
+
+    docs = df.filter("doc_id >= 100 AND doc_id < 1000")
+    words, pairs = py.count_words(docs, "text"), py.count_pairs(docs, "text", 3)
+    model, state = py.learn_pairs(words, pairs)
+    state = state.orderBy("word").collect()
+    counts = Counter()
+    for t in texts[100:]:
+        counts.update(zip(["", *t], [*t, ""], strict=True))
+    found = [bytes(r.word) for r in state]
+    keys = py._keys(found)
+    states = range(py.BURN_IN, py.BURN_IN + py.SAMPLES + 1)
+    p = np.array([[r[f"p{i}"] for r in state] for i in states])
+    unknown = np.array([py._unknown(model, s) for s in model.samples])
+    assert p[1:].sum(axis=1) + unknown == pytest.approx(1, abs=1e-6)
+    for r, key in zip(state, keys, strict=True):
+        n = np.array([counts[bytes(r.word).decode(), w.decode()] for w in found])
+        assert n.sum() == r.n
+        t = np.array([[r[f"t{i}"]] * len(found) for i in states])
+        total = 10 ** py.log10_pairs(model, n, py.pair_keys(np.full(len(found), key), keys), np.full(len(found), r.n), t, p)
+        back = np.mean([(py.THETA + model.pair_discount * t[i, 0]) * u / (py.THETA + r.n) for i, u in enumerate(unknown, 1)])
+        assert total.sum() + back == pytest.approx(1, abs=1e-6)
