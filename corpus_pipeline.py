@@ -19,7 +19,7 @@ from factlake.llm.common import fold, sieved, stored
 from factlake.llm.queries import RANK_FILE
 from factlake.session import tune
 
-#: Below this, the text is taken to be in none of the learned languages.
+#: Below this, no learned language stands out from the others; whether the text is in any of them is judged by its trigrams.
 LEAST_LANGUAGE_SCORE = 0.2
 
 
@@ -27,7 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents in which no language is recognised."""
     tune(spark)
     model = language.learn(docs.filter(fold("doc_id", 4) != 2), "doc_id", "text", "lang")
-    judged = language.predict(docs, docs.columns, "text", model)
+    judged = language.predict(docs, docs.columns, "text", model, reject=True)
     return judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import string
 
 import corpus_pipeline as cp
 import tiktoken
@@ -60,3 +62,21 @@ def test_cases(spark):
                 assert ids == [0, 1, 2, 3, 5]
             if one is not docs:
                 assert not ids
+
+
+def test_other_languages_are_dropped(spark):
+    """Texts in no learned language go, held-out ones of the learned languages stay."""
+    rng = random.Random(3)
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "for (int i = 0; i < n; ++i) { if (buf[i] != NULL && buf[i]->len > 0x7f) { memcpy(dst + off, buf[i]->p, sizeof(*q)); } }",
+        *(" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(30)) for _ in range(5)),
+        "".join(rng.choices(string.ascii_lowercase, k=200)),
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    kept = {r.doc_id for r in cp.known_language(spark, docs.unionByName(more, allowMissingColumns=True), SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if language.has_letter(r.text)}
