@@ -57,7 +57,7 @@ def store_batch(
 
     ``candidates`` has ``seq, org_id, source_id, entity_type, name, content,
     approved, confidence_score, critic_reason``; ``seq`` grows with
-    ``source_id``. ``queue`` has the items already waiting per organisation.
+    ``source_id``, or ``pos`` is the place in it. ``queue`` has the items already waiting per organisation.
     ``contradictions`` are review rows (``org_id, source_id, …``) found for the
     stored facts; they fill the queue too, and with the ``id`` of their fact they
     are put in it. ``keep`` stores a table under a name

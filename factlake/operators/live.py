@@ -4,36 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import context, ingest, replies, routing, search
+from .grouping import group_ordinal, id_slice
 
 PER_SOURCE = 1000
 
 
+def item_number() -> Column:
+    """Number of an item from ``org_id, source_id, pos``, unlike that of any other of its organisation.
+
+    The first items of a source have a range of numbers; the others have a negative
+    hash, which says nothing about their order: ``source_id, pos`` does.
+    """
+    hashed = F.xxhash64("org_id", "source_id", "pos").bitwiseAND(F.lit((1 << 62) - 1))
+    return F.when(F.col("pos") < PER_SOURCE, F.col("source_id") * PER_SOURCE + F.col("pos")).otherwise(-hashed - 2)
+
+
 def proposals(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates and edges of extraction replies (``org_id, source_id, reply``).
 
-    ``seq`` numbers the candidates in the order of their sources.
+    ``seq`` names a candidate in its organisation; their order is ``source_id, pos``.
     """
     parsed = replies.parse_extractions(extractions)
     candidates = replies.explode_entities(parsed, "org_id", "source_id").select(
-        (F.col("source_id") * PER_SOURCE + F.col("pos")).alias("seq"), "org_id", "source_id", "entity_type", "name", "content")
+        item_number().alias("seq"), "org_id", "source_id", "pos", "entity_type", "name", "content")
     return candidates, replies.explode_edges(parsed, "source_id").drop("pos")
 
 
 def scored(candidates: DataFrame, critic_replies: DataFrame) -> DataFrame:
-    """Candidates with their verdicts; ``critic_replies`` has ``seq, reply``."""
-    verdicts = replies.critic_verdicts(critic_replies).select("seq", "approved", "confidence_score", "critic_reason")
-    return candidates.join(verdicts, "seq")
+    """Candidates with their verdicts; ``critic_replies`` has ``seq, reply``, and ``org_id`` where organisations may share source ids."""
+    on = [c for c in ("org_id", "seq") if c in critic_replies.columns]
+    verdicts = replies.critic_verdicts(critic_replies).select(*on, "approved", "confidence_score", "critic_reason")
+    return candidates.join(verdicts, on)
 
 
 def resembling(new: DataFrame, entities: DataFrame, k: int = 5, include_self: bool = False) -> DataFrame:
     """Nearest facts of each new one among those stored before it, with their text.
 
-    ``new`` and ``entities`` carry ``embedding``; new facts have ``id, seq``.
+    ``new`` and ``entities`` carry ``embedding``; new facts have ``id, seq``, and
+    ``pos`` where their order is ``source_id, pos``.
     """
+    if "pos" in new.columns:
+        new = group_ordinal(new, ["org_id"], [id_slice("source_id")], routing.arrival(new), "seq_").withColumn("seq", F.col("seq_")).drop("seq_")
     cols = ["id", "org_id", "entity_type", "name", "content", "source_id", "embedding"]
     old = search.searchable(entities).select(*cols, F.lit(-1).cast("bigint").alias("seq"))
     pool = old.unionByName(new.select(*cols, "seq"))

@@ -76,6 +76,11 @@ def active_names(entities: DataFrame) -> DataFrame:
     )
 
 
+def arrival(rows: DataFrame) -> list[Column]:
+    """Order of candidates: their place in their source where they have one, else ``seq``."""
+    return [F.col("source_id"), F.col("pos")] if "pos" in rows.columns else [F.col("seq")]
+
+
 def first_of_name(approved: DataFrame) -> DataFrame:
     """First candidate of each identity in arrival order; nameless ones are all kept.
 
@@ -86,7 +91,7 @@ def first_of_name(approved: DataFrame) -> DataFrame:
 
 
 def _first_named(approved: DataFrame) -> DataFrame:
-    return first_k(approved.filter(_named()), IDENTITY, [F.col("seq")], 1).drop("rank")
+    return first_k(approved.filter(_named()), IDENTITY, arrival(approved), 1).drop("rank")
 
 
 def _unknown(named: DataFrame, entities: DataFrame) -> DataFrame:
@@ -119,7 +124,7 @@ def resolve_edges(
     # The last candidate of a name in a source is chosen before its identity is looked up.
     last = (
         approved.filter(_named()).groupBy("source_id", "name")
-        .agg(F.max_by(F.struct("org_id", "entity_type"), "seq").alias("last"))
+        .agg(F.max_by(F.struct("org_id", "entity_type"), F.struct(*arrival(approved))).alias("last"))
         .select("source_id", "name", "last.*")
     )
     ids = last.join(known, IDENTITY).select("source_id", "org_id", "name", "entity_id")

@@ -164,7 +164,7 @@ def live_ingest(t):
     found = t("fx_replies").join(t("fx_sources").select(F.col("id").alias("source_id"), "org_id"), "source_id")
     candidates, _ = live.proposals(found)
     # The critic answered once per source here, for all of its candidates.
-    verdicts = candidates.select("seq", "source_id").join(t("fx_critic").withColumnRenamed("seq", "source_id"), "source_id").select("seq", "reply")
+    verdicts = candidates.select("org_id", "seq", "source_id").join(t("fx_critic").withColumnRenamed("seq", "source_id"), "source_id").select("org_id", "seq", "reply")
     queue = t.spark.createDataFrame([], "org_id string, waiting bigint")
     sinks = live.store_replies(found, verdicts, t("fx_entities"), queue, id_base=1000000000,
                                keep=ingest.keep_under(fresh_path(t.spark, "live")))

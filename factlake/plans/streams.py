@@ -69,7 +69,7 @@ def stream_backfill(t):
 
     def criticise(candidates):
         score = (F.col("source_id") * 37 % 101 / 100).cast("double")
-        return candidates.select("seq", F.to_json(F.struct(F.lit(True).alias("approved"), score.alias("confidence_score"))).alias("reply"))
+        return candidates.select("org_id", "seq", F.to_json(F.struct(F.lit(True).alias("approved"), score.alias("confidence_score"))).alias("reply"))
 
     sources = StreamTables(t.spark, t.sf_dir).sql(HISTORY)
     drained(jobs.drain_backfill(sources, t("fx_entities"), f"{out}/tables", f"{out}/checkpoint", extract=extract, criticise=criticise))

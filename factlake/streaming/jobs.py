@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import ingest, messages, metering, replies, requests, routing
+from ..operators import ingest, live, messages, metering, replies, requests, routing
 from ..sources import chat
 
 MICRO_BATCH = "30 minutes"
@@ -109,7 +109,6 @@ ENTITY_ROWS = T.StructType([
     T.StructField("approved_by", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("seq", T.LongType()),
 ])
-PER_SOURCE = 1000
 BACKLOG_ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("org_id", T.StringType()), T.StructField("raw_content", T.StringType())])
 DONE_ROWS = T.StructType([T.StructField("id", T.LongType())])
 
@@ -122,7 +121,8 @@ def drain_backfill(
     """Unprocessed history in batches through extraction, review and storing.
 
     ``extract`` turns batch requests into ``request_id, reply`` and ``criticise``
-    turns candidates into the same with ``seq, reply``; both stand for the model.
+    turns candidates into the same with ``seq, reply`` (and ``org_id`` where organisations
+    may share source ids); both stand for the model.
     Sources whose batch got a reply are listed in ``processed``. All others that
     were ever ``seen`` come again: with each batch, and once when the job
     starts, so that they need no new source to be retried.
@@ -142,13 +142,11 @@ def drain_backfill(
         unpacked = replies.unpack_batches(answered.withColumn("batch_id", F.struct("org_id", "batch_no")))
         places = unpacked.select("batch_id.org_id", "batch_id.batch_no", "idx", "entities")
         found = replies.attach_sources(places, packed)
-        proposed = replies.explode_entities(found, "org_id", "id").select(
-            "org_id", F.col("id").alias("source_id"), (F.col("id") * PER_SOURCE + F.col("pos")).alias("seq"),
-            "entity_type", "name", "content",
+        proposed = replies.explode_entities(found.withColumnRenamed("id", "source_id"), "org_id", "source_id").select(
+            "org_id", "source_id", live.item_number().alias("seq"), "pos", "entity_type", "name", "content",
         )
         stored = write_batch(proposed, out, "proposed", batch_id)
-        verdicts = replies.critic_verdicts(criticise(stored)).select("seq", "approved", "confidence_score", "critic_reason")
-        scored = stored.join(verdicts, "seq")
+        scored = live.scored(stored, criticise(stored))
         # Own rows of an earlier attempt at this batch do not count as stored.
         earlier = read_table(spark, out, "entities", ENTITY_ROWS).filter(other)
         # Only names of this batch matter.

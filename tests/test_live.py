@@ -59,3 +59,27 @@ def test_include_self(spark):
     none = spark.createDataFrame([], "id bigint, org_id string, entity_type string, name string, content string, source_id bigint, embedding array<float>, superseded_at timestamp")
     assert live.resembling(new, none).count() == 0
     assert [r.id for r in live.resembling(new, none, include_self=True).collect()] == [5]
+
+
+def test_replies_of_any_length(spark):
+    """The items after the first thousand of a source have numbers of their own and keep their order."""
+    def reply(names):
+        return json.dumps({"entities": [dict(entity_type="Client", name=n, content=f"{n} {i}") for i, n in enumerate(names)]})
+
+    long = [f"a{i}" for i in range(1000)] + ["late", "both", "late"] + [f"b{i}" for i in range(500)]
+    found = spark.createDataFrame([(1, "o", reply(long)), (2, "o", reply(["both", "own"])), (1, "p", reply(["other"]))], "source_id bigint, org_id string, reply string")
+    candidates, edges = live.proposals(found)
+    verdicts = candidates.select("org_id", "seq", F.to_json(F.struct(F.lit(True).alias("approved"), F.lit(0.9).alias("confidence_score"))).alias("reply"))
+    scored = live.scored(candidates, verdicts)
+    assert scored.count() == len(long) + 3
+    assert scored.filter("org_id = 'o'").select("seq").distinct().count() == len(long) + 2
+    none = spark.createDataFrame([], "id bigint, org_id string, entity_type string, name string, content string, status string, source_id bigint, superseded_at timestamp, embedding array<float>")
+    queue = spark.createDataFrame([], "org_id string, waiting bigint")
+    stored = live.store_replies(found, verdicts, none, queue).entities.filter("org_id = 'o'").collect()
+    assert len({r.id for r in stored}) == len(stored) == len(set(long)) + 1
+    assert {r.content for r in stored if r.name in ("late", "both")} == {"late 1000", "both 1001"}
+    # A late item meets those before it in its source, not those of the next.
+    few = scored.filter("org_id = 'o' AND name IN ('a0', 'late', 'own') AND (name != 'late' OR pos = 1000)").withColumn("id", F.col("seq"))
+    near = live.resembling(few.withColumn("embedding", F.array(F.lit(1.0).cast("float"))), none)
+    names = {r.seq: r.name for r in few.collect()}
+    assert sorted((names[r.query_id], names[r.id]) for r in near.collect()) == [("late", "a0"), ("own", "a0"), ("own", "late")]
