@@ -92,10 +92,11 @@ class Forest:
         self.order = np.argsort(strings, axis=1, kind="stable")
         self.sorted = np.take_along_axis(strings, self.order, axis=1)
 
-    def candidates(self, query: np.ndarray, share: float) -> Iterator[np.ndarray]:
-        """For each query the rows of the shard to rank."""
-        wanted = min(self.n, int(np.ceil(share * self.n)))
-        for strings in self.planes.strings(query).T:
+    def candidates(self, query: np.ndarray, share: float, least: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """For each query the rows of the shard to rank: its share, and at least ``least`` rows if there are as many."""
+        floors = np.zeros(len(query), dtype=np.int64) if least is None else least
+        for strings, floor in zip(self.planes.strings(query).T, floors, strict=True):
+            wanted = min(self.n, max(int(np.ceil(share * self.n)), int(floor)))
             # Descend: the longest match stands next to where the query would be.
             deepest = 0
             for t, s in enumerate(strings):
@@ -154,7 +155,10 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int =
             ids, vectors = np.asarray(index["id"]), matrix(index["v"])
             forest = Forest(planes.value, vectors)
             asking, query = np.asarray(ask["id"]), matrix(ask["v"])
-            for name, q, found in zip(asking, query, forest.candidates(query, share), strict=True):
+            # A query's own rows are not among its neighbours.
+            names = np.sort(ids)
+            own = np.searchsorted(names, asking, "right") - np.searchsorted(names, asking, "left")
+            for name, q, found in zip(asking, query, forest.candidates(query, share, k + own), strict=True):
                 found = found[ids[found] != name]
                 far = np.sqrt(((vectors[found] - q) ** 2).sum(axis=1))
                 best = np.lexsort((ids[found], far))[:k]

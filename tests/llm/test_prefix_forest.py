@@ -74,3 +74,14 @@ def test_descent_and_ascent():
         common = pf._common(strings, q[:, None])
         depth = next(d for d in range(64, -1, -1) if (common >= d).any(axis=0).sum() >= 80)
         assert found.tolist() == np.flatnonzero((common >= depth).any(axis=0)).tolist()
+
+
+@pytest.mark.parametrize("n", [2, 8, 12, 20])
+def test_small_tables_give_k_rows(spark, n):
+    """With the default share, all others of a small table or k of them, however many rows a query has itself."""
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(n)] + [(0, rng.normal(size=8).tolist())] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame(rows[:n], df.schema)
+    got = pf.nearest(asked, df, "vec_id", "embedding").groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {i: min(10, n - 1 if i == 0 else n + 2) for i in range(n)}
