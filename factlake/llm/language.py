@@ -36,7 +36,7 @@ UNKNOWN = "und"
 PER_LANGUAGE = 400
 SLICE = 1 << 18
 KNOWN_CELLS = 1 << 18
-#: Held-out texts of check data have 0.81 or more, Dutch against English and German 0.61, other languages and random letters less.
+#: Held-out texts of sf0.01 and sf0.1 have 0.81 or more, a Dutch one 0.60, the other languages tried and random letters less.
 LEAST_KNOWN = 0.65
 _LETTERS = re.compile(r"[^\W\d_]+")
 
