@@ -45,9 +45,9 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers of a cluster, once per application."""
+    """Sends this package to the Python workers, once per application; local workers don't have the driver's path either."""
     context = spark.sparkContext
-    if context.master.startswith("local[") or getattr(context, "_factlake_shipped", False):
+    if getattr(context, "_factlake_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     zipped = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "factlake"), "zip", root, "factlake")
