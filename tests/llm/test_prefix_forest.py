@@ -17,12 +17,18 @@ def brute(rows, queries, k=10):
     return out
 
 
-@pytest.mark.parametrize("table", ["sf0.1", "check_s"])
-def test_recall(spark, table):
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet").collect()]
+@pytest.mark.parametrize("copies", [1, 4])
+def test_recall(spark, folder, copies):
+    """Also on a table four times as large, whose further rows lie near the given ones."""
+    given = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    noise = np.random.default_rng(5).normal(0, 0.08, (copies, len(given), len(given[0][1]))).astype(np.float32)
+    noise[0] = 0
+    rows = [(i + at * 100_003, (np.float32(v) + step).tolist()) for at, some in enumerate(noise) for (i, v), step in zip(given, some, strict=True)]
+    table = f"{folder}/embeddings.parquet"
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(table)
     want = brute(rows, [r for r in rows if r[0] % 100 == 0])
     got = {}
-    for r in op2_prefix_forest(spark, f"/root/testdata/{table}").collect():
+    for r in op2_prefix_forest(spark, folder).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     assert set(got) == set(want)
     hits = 0
