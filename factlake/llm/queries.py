@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language, minhash_forest, mixing, pitman_yor, prefix_forest, toxicity, url_filter, warc_derive
+from . import (bpe, fingerprint, language, minhash_forest, mixing, pitman_yor, prefix_forest, token_align, toxicity, url_filter,
+               warc_derive)
 from .common import fold
 from .url_filter import Rule
 
@@ -103,3 +104,10 @@ def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document, learned from six sevenths of them."""
     return pitman_yor.score(_table(spark, sf_dir, "documents"), "doc_id", "text", fold("doc_id", 7) == 2)
+
+
+@_query
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens in two vocabularies."""
+    return token_align.align(_table(spark, sf_dir, "documents"), ["doc_id"], "text",
+                             public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
