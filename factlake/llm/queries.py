@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, fingerprint, language, minhash_forest, mixing, pitman_yor, prefix_forest, token_align, toxicity, url_filter,
-               warc_derive)
+from . import (bit_whitening, bpe, fingerprint, language, minhash_forest, mixing, pitman_yor, prefix_forest, token_align, toxicity,
+               url_filter, warc_derive)
 from .common import fold
 from .url_filter import Rule
 
@@ -111,3 +111,10 @@ def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of every document's tokens in two vocabularies."""
     return token_align.align(_table(spark, sf_dir, "documents"), ["doc_id"], "text",
                              public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op13_bit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight strongest components; a deviation beyond 64 bits is only in ``deviation_exact``."""
+    made = bit_whitening.whiten(_table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding")
+    return made.withColumn("deviation_exact", F.col("deviation")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
