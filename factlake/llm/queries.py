@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bit_whitening, bpe, fingerprint, language, minhash_forest, mixing, pitman_yor, prefix_forest, token_align, toxicity,
-               url_filter, warc_derive)
+from . import (bit_whitening, bpe, fingerprint, language, minhash_forest, mixing, pair_ranking, pitman_yor, prefix_forest,
+               token_align, toxicity, url_filter, warc_derive)
 from .common import fold
 from .url_filter import Rule
 
@@ -118,3 +118,11 @@ def op13_bit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the eight strongest components; a deviation beyond 64 bits is only in ``deviation_exact``."""
     made = bit_whitening.whiten(_table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding")
     return made.withColumn("deviation_exact", F.col("deviation")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@_query
+def op11_pair_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from four fifths of the labels."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = pair_ranking.learn(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "quality", may_learn=fold("doc_id", 5) != 0)
+    return pair_ranking.score(docs, ["doc_id", "held_out"], "text", model)
