@@ -135,23 +135,26 @@ def inbound_address(t):
     return t("fx_profiles").select("org_id", X.inbound_address(F.col("org_uuid"), "in.example.com").alias("address"))
 
 
-CSV_ROWS = """SELECT CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'A "quoted", ' || p_name ELSE p_name END AS name,
-  CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS Company, p_type AS kind, CAST(p_size AS STRING) AS size FROM part"""
+# Each upload is one file; with more parts there are more uploads.
+CSV_NAME = """CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'A "quoted", ' || p_name WHEN p_partkey % 5 = 0 THEN p_name || chr(10) || 'second "line"' ELSE p_name END"""
+CSV_ROWS = f"""SELECT floor(p_partkey / 700) AS upload, {CSV_NAME} AS name,
+  CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS Company, p_type AS kind, CAST(p_size AS STRING) AS size, p_partkey FROM part"""
 
 
-@query("S9", """WITH raw AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'A "quoted", ' || p_name ELSE p_name END AS name,
+@query("S9", f"""WITH raw AS (SELECT CAST(floor(p_partkey / 700) AS BIGINT) AS upload, {CSV_NAME} AS name,
     CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS company, p_type AS kind, CAST(p_size AS VARCHAR) AS size, p_partkey FROM part),
-  numbered AS (SELECT *, CAST(row_number() OVER (ORDER BY p_partkey) AS BIGINT) AS row_no FROM raw)
-  SELECT row_no, 'org0' AS org_id, 'Client' AS entity_type, CASE WHEN name <> '' THEN name WHEN company <> '' THEN company ELSE 'Row ' || row_no END AS name,
+  numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY upload ORDER BY p_partkey) AS BIGINT) AS row_no FROM raw)
+  SELECT upload, row_no, 'org0' AS org_id, 'Client' AS entity_type, CASE WHEN name <> '' THEN name WHEN company <> '' THEN company ELSE 'Row ' || row_no END AS name,
     concat_ws(', ', CASE WHEN name <> '' THEN 'name: ' || name END, CASE WHEN company <> '' THEN 'Company: ' || company END,
       CASE WHEN kind <> '' THEN 'kind: ' || kind END, CASE WHEN size <> '' THEN 'size: ' || size END) AS content,
     'csv_import' AS source_type, 'csv_import' AS approved_by FROM numbered""")
 def csv_import(t):
-    # The upload is one file, written here from the part table in key order.
+    # The uploads are written here from the part table, each in key order by one task.
     path = fresh_path(t.spark, "csv")
-    rows = t.sql(CSV_ROWS.replace("FROM part", "FROM (SELECT * FROM part ORDER BY p_partkey) p"))
-    rows.coalesce(1).write.csv(path, header=True, escape='"')
-    return tables.csv_facts(tables.read_csv(t.spark, path), "org0", "Client").drop("file")
+    rows = t.sql(CSV_ROWS).repartition("upload").sortWithinPartitions("upload", "p_partkey").drop("p_partkey")
+    rows.write.partitionBy("upload").csv(path, header=True, escape='"')
+    facts = tables.csv_facts(tables.read_csv(t.spark, path), "org0", "Client")
+    return facts.select(F.regexp_extract("file", "upload=([0-9]+)", 1).cast("bigint").alias("upload"), *[c for c in facts.columns if c != "file"])
 
 
 CONTACTS = """SELECT id, org_id, 'Person' AS entity_type, trim(coalesce(firstName, '') || ' ' || coalesce(lastName, '')) AS name,

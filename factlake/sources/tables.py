@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.grouping import group_ordinal
+from . import csv_lines
 
 # fixed values
 # Names that stay free for the headers of a file: any but these.
@@ -16,21 +16,20 @@ FILE, ROW_NO = "__file__", "__row_no__"
 NAME_COLUMNS = ["name", "Name", "company", "Company"]
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV rows as text after ``FILE`` and ``ROW_NO``, counted from 1 in each file.
 
-    ``multi_line`` allows line breaks in quotes but reads a file in one task;
-    without it a large file is split, and the row numbers stay exact because
-    they are counted per split.
+    Files are split; line breaks in quotes may lie anywhere. Columns come in the
+    order in which the files, by name, first have them.
     """
-    rows = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', encoding="UTF-8")
-    cells = rows.columns
-    placed = rows.select(
-        "*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias("block_"),
-        F.monotonically_increasing_id().alias("at_"),
-    )
-    numbered = group_ordinal(placed, [FILE], [("slice_no", F.col("block_"), True)], [F.col("at_")], ROW_NO)
-    return numbered.select(FILE, ROW_NO, *[F.col(f"`{c}`") for c in cells])
+    rows = csv_lines.read_rows(spark, path)
+    headers = rows.filter("row_no = 0").select("file", F.col("cells").alias("header"))
+    found = headers.select("file", F.posexplode("header").alias("at", "name")).groupBy("name").agg(
+        F.min(F.struct("file", "at")).alias("first")).orderBy("first").collect()
+    last = {r.name: F.size("header") - F.array_position(F.reverse("header"), r.name) for r in found}
+    cell = [F.when(F.array_contains("header", name), F.get("cells", at)).alias(name) for name, at in last.items()]
+    placed = rows.filter("row_no > 0").join(headers, "file")
+    return placed.select(F.col("file").alias(FILE), F.col("row_no").alias(ROW_NO), *cell)
 
 
 def csv_facts(rows: DataFrame, org_id: str, entity_type: str) -> DataFrame:

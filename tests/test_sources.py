@@ -33,7 +33,7 @@ def test_csv_row_numbers_survive_splits(spark, folder):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        rows = tables.read_csv(spark, folder, multi_line=False)
+        rows = tables.read_csv(spark, folder)
         assert rows.count() == 4010
         assert rows.filter(F.col(tables.ROW_NO) != F.col("id").cast("bigint")).count() == 0
     finally:
