@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 MAX_ROWS = 100_000
 
 
@@ -58,6 +60,29 @@ def group_ordinal(
     )
 
 
+def range_ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """1-based row number inside ``keys`` in ``order``, whatever the values and however many rows a key has.
+
+    Rows are dealt into ranges of ``(keys, order)`` of about equal size and
+    sorted there, so each row's place in its range is known without a window.
+    How many rows a key has in each range, one number per pair, gives the rows
+    before it. Ranges come from a sample and differ from run to run, so the
+    placed rows are written to the shared folder once; the numbers don't differ
+    as long as ``order`` is total. Equal rows lie in one range.
+    """
+    at, part, first, n, before = (f"__{c}__" for c in ("at", "part", "first", "n", "before"))
+    place = [*keys, *order]
+    placed = stored(df.repartitionByRange(*place).sortWithinPartitions(*place).withColumn(at, F.monotonically_increasing_id()), "ranges")
+    # The upper bits of the id are the range.
+    placed = placed.withColumn(part, F.shiftright(at, 33))
+    pieces = placed.groupBy(part, *keys).agg(F.min(at).alias(first), F.count("*").alias(n))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(F.col(part).alias("__in__"), *[F.col(f"`{k}`").alias(f"__{k}") for k in keys], first,
+                           F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col(part) == F.col("__in__"))
+    return placed.join(pieces, on).withColumn(name, F.col(before) + F.col(at) - F.col(first) + 1).select(*df.columns, name)
+
+
 def id_slice(col: str, width: int = MAX_ROWS) -> tuple[str, Column, bool]:
     """Slice on an integer column; ``width`` is the range of values it spans."""
     return ("slice_no", F.floor(F.col(col) / width), True)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .grouping import MAX_ROWS, fresh_keys, group_ordinal, id_slice
+from .grouping import fresh_keys, range_ordinal
 
 # fixed values
 ENTITY_TYPES = ["Client", "Project", "Decision", "Person", "Process", "Belief"]
@@ -128,9 +128,9 @@ def backlog(sources: DataFrame) -> DataFrame:
     return sources.filter((F.col("source_type") == HISTORY) & F.col("processed_at").isNull())
 
 
-def pack_batches(sources: DataFrame, size: int = BATCH_SIZE, slice_width: int = MAX_ROWS) -> DataFrame:
-    """Places each source in a batch of its organisation, in id order."""
-    numbered = group_ordinal(sources, ["org_id"], [id_slice("id", slice_width)], [F.col("id")])
+def pack_batches(sources: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """Places each source in a batch of its organisation, in id order; ids may be any numbers."""
+    numbered = range_ordinal(sources, ["org_id"], ["id"])
     place = F.col("ordinal") - 1
     return numbered.withColumns({
         "batch_no": F.floor(place / size), "idx": F.pmod(place, F.lit(size)).cast("int")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factlake.operators import context, messages
-from factlake.operators.grouping import first_k, fresh_keys, group_ordinal, id_slice, ordered_texts
+from factlake.operators import requests
+from factlake.operators.grouping import first_k, fresh_keys, group_ordinal, id_slice, ordered_texts, range_ordinal
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +39,33 @@ def test_group_ordinal_descending_slices(hot):
         assert [r.ordinal for r in rows] == list(range(1, len(rows) + 1))
 
 
+def test_range_ordinal(spark, hot):
+    """Ids far apart, a hot key, a null key, columns with names of helpers; no window takes rows."""
+    wide = hot.select((F.col("id") * 1_000_003 + 1_700_000_000_000_000).alias("id"), "k", F.lit("x").alias("part"), F.lit(1).alias("n"))
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = range_ordinal(wide, ["k"], ["id"])
+            assert got.columns == ["id", "k", "part", "n", "ordinal"]
+            for rows in by_key(got).values():
+                assert [r.ordinal for r in sorted(rows, key=lambda r: r.id)] == list(range(1, len(rows) + 1))
+            assert got.count() == 300
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert range_ordinal(wide.filter("false"), ["k"], ["id"]).count() == 0
+
+
+def test_batches_of_scattered_ids(spark):
+    rows = [(i * i * 7_919_000_000 + i, "hot" if i % 4 else "cold") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id bigint, org_id string").repartition(6)
+    got = requests.pack_batches(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
+    for org in ("hot", "cold"):
+        mine = sorted((r for r in got.collect() if r.org_id == org), key=lambda r: r.id)
+        assert [(r.batch_no, r.idx) for r in mine] == [(i // 10, i % 10) for i in range(len(mine))]
+
+
 @pytest.mark.parametrize("width", [3, 50, 100_000])
 def test_ordered_texts(hot, width):
     """The same text whatever the slices."""
