@@ -60,27 +60,66 @@ def group_ordinal(
     )
 
 
-def range_ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
-    """1-based row number inside ``keys`` in ``order``, whatever the values and however many rows a key has.
+AT, PART = "__at__", "__part__"
+
 
-    Rows are dealt into ranges of ``(keys, order)`` of about equal size and
-    sorted there, so each row's place in its range is known without a window.
-    How many rows a key has in each range, one number per pair, gives the rows
-    before it. Ranges come from a sample and differ from run to run, so the
-    placed rows are written to the shared folder once; the numbers don't differ
-    as long as ``order`` is total. Equal rows lie in one range.
+def in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows dealt into ranges of ``(keys, order)`` of about equal size and sorted there, with their ``PART`` and place ``AT``.
+
+    A key may span any number of ranges. Ranges come from a sample and differ
+    from run to run, so the placed rows are written to the shared folder once.
+    Rows equal in all of ``keys`` and ``order`` lie in one range.
     """
-    at, part, first, n, before = (f"__{c}__" for c in ("at", "part", "first", "n", "before"))
     place = [*keys, *order]
-    placed = stored(df.repartitionByRange(*place).sortWithinPartitions(*place).withColumn(at, F.monotonically_increasing_id()), "ranges")
+    placed = stored(df.repartitionByRange(*place).sortWithinPartitions(*place).withColumn(AT, F.monotonically_increasing_id()), "ranges")
     # The upper bits of the id are the range.
-    placed = placed.withColumn(part, F.shiftright(at, 33))
-    pieces = placed.groupBy(part, *keys).agg(F.min(at).alias(first), F.count("*").alias(n))
-    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(F.col(part).alias("__in__"), *[F.col(f"`{k}`").alias(f"__{k}") for k in keys], first,
-                           F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col(part) == F.col("__in__"))
-    return placed.join(pieces, on).withColumn(name, F.col(before) + F.col(at) - F.col(first) + 1).select(*df.columns, name)
+    return placed.withColumn(PART, F.shiftright(AT, 33))
+
+
+def with_pieces(placed: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
+    """``placed`` with what ``pieces`` says of its range and keys."""
+    named = pieces.select(F.col(PART).alias("__in__"), *[F.col(f"`{k}`").alias(f"__key_{k}") for k in keys],
+                          *[c for c in pieces.columns if c not in (PART, *keys)])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys], F.col(PART) == F.col("__in__"))
+    return placed.join(named, on, "left").drop("__in__", *[f"__key_{k}" for k in keys])
+
+
+def range_ordinal(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+    """1-based row number inside ``keys`` in ``order``, whatever the values and however many rows a key has.
+
+    A row's place in its range is known without a window; how many rows a key
+    has in each range, one number per pair, gives the rows before it. The
+    numbers don't depend on the ranges as long as ``order`` is total.
+    """
+    first, n, before = "__first__", "__n__", "__before__"
+    placed = in_ranges(df, keys, order)
+    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = placed.groupBy(PART, *keys).agg(F.min(AT).alias(first), F.count("*").alias(n)).withColumn(
+        before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
+    return with_pieces(placed, keys, pieces).withColumn(name, F.col(before) + F.col(AT) - F.col(first) + 1).select(*df.columns, name)
+
+
+def range_sum_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the same keys; no task sees more of a key than a range."""
+    before = "__before__"
+    placed = in_ranges(df, keys, order)
+    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = placed.groupBy(PART, *keys).agg(F.sum(value).alias("__n__")).withColumn(
+        before, F.coalesce(F.sum("__n__").over(earlier), F.lit(0))).drop("__n__")
+    here = Window.partitionBy(PART, *keys).orderBy(AT).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("__here__", F.coalesce(F.sum(value).over(here), F.lit(0)))
+    return with_pieces(local, keys, pieces).withColumn(name, F.col(before) + F.col("__here__")).select(*df.columns, name)
+
+
+def range_least_after(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Least ``value`` over this and the later rows of the same keys (null: none); no task sees more of a key than a range."""
+    after = "__after__"
+    placed = in_ranges(df, keys, order)
+    later = Window.partitionBy(*keys).orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
+    pieces = placed.groupBy(PART, *keys).agg(F.min(value).alias("__n__")).withColumn(after, F.min("__n__").over(later)).drop("__n__")
+    here = Window.partitionBy(PART, *keys).orderBy(AT).rowsBetween(0, Window.unboundedFollowing)
+    local = placed.withColumn("__here__", F.min(value).over(here))
+    return with_pieces(local, keys, pieces).withColumn(name, F.least("__here__", after)).select(*df.columns, name)
 
 
 def id_slice(col: str, width: int = MAX_ROWS) -> tuple[str, Column, bool]:

@@ -114,6 +114,8 @@ def as_rows(sinks: Sinks) -> DataFrame:
     ]
     if sinks.edges is not None:
         out.append(rows(sinks.edges, "edge", F.col("from_id"), F.col("to_id"), "relationship_type"))
+    if sinks.held is not None:
+        out.append(rows(sinks.held, "held", F.col("source_id"), F.col("seq"), "content"))
     if sinks.paused is not None:
         out.append(rows(sinks.paused, "log", F.col("source_id"), none, "content"))
     whole = out[0]

@@ -10,17 +10,12 @@ from pyspark.sql import functions as F
 from . import context, ingest, replies, routing, search
 from .grouping import group_ordinal, id_slice
 
-PER_SOURCE = 1000
-
-
 def item_number() -> Column:
-    """Number of an item from ``org_id, source_id, pos``, unlike that of any other of its organisation.
+    """60 bits of a hash of ``org_id, source_id, pos``: one rule for all items, and no two organisations share numbers.
 
-    The first items of a source have a range of numbers; the others have a negative
-    hash, which says nothing about their order: ``source_id, pos`` does.
+    It says nothing about order: ``source_id, pos`` does.
     """
-    hashed = F.xxhash64("org_id", "source_id", "pos").bitwiseAND(F.lit((1 << 62) - 1))
-    return F.when(F.col("pos") < PER_SOURCE, F.col("source_id") * PER_SOURCE + F.col("pos")).otherwise(-hashed - 2)
+    return F.conv(F.substring(F.md5(F.concat_ws("/", "org_id", "source_id", "pos")), 1, 15), 16, 10).cast("bigint")
 
 
 def proposals(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:

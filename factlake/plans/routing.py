@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import context, ingest, live, replies, review, routing, search
+from ..operators import context, held, ingest, live, replies, review, routing, search
 from ..session import fresh_path
 from .registry import query
 from .replies import CHECKS, CRITIC, PARSED
@@ -119,6 +119,7 @@ STORE = f"""WITH {ADMITTED.format(routed=f'r AS ({routed_sql(0.7)})', queue=QUEU
   UNION ALL SELECT 'edge', org_id, from_id, to_id, relationship_type FROM linked
   UNION ALL SELECT 'pending', org_id, source_id, seq, content FROM ok WHERE route = 'pending'
   UNION ALL SELECT 'log', org_id, source_id, seq, 'REJECTED: ' || coalesce(name, 'None') || ' — ' || coalesce(content, 'None') || ' — Reason: ' || coalesce(critic_reason, 'None') FROM ok WHERE route = 'rejected'
+  UNION ALL SELECT 'held', r.org_id, r.source_id, r.seq, r.content FROM r JOIN run ON run.org_id = r.org_id AND run.source_id = r.source_id WHERE NOT run.admitted
   UNION ALL SELECT 'log', org_id, source_id, NULL, '{routing.PAUSED}' FROM run WHERE NOT admitted"""
 
 
@@ -142,7 +143,7 @@ def backfill_batch(t):
 
 LIVE = f"""{PARSED}, c AS ({CRITIC}),
   items AS (SELECT source_id, unnest(CAST(json_extract(obj, '$.entities') AS JSON[])) AS item, generate_subscripts(CAST(json_extract(obj, '$.entities') AS JSON[]), 1) - 1 AS pos FROM o WHERE json_type(obj, '$.entities') = 'ARRAY'),
-  cand AS (SELECT i.source_id * 1000 + i.pos AS seq, s.org_id, i.source_id, i.item->>'$.entity_type' AS entity_type, i.item->>'$.name' AS name, i.item->>'$.content' AS content, c.approved, c.confidence_score, c.critic_reason
+  cand AS (SELECT CAST('0x' || substr(md5(s.org_id || '/' || i.source_id || '/' || i.pos), 1, 15) AS BIGINT) AS seq, s.org_id, i.source_id, i.item->>'$.entity_type' AS entity_type, i.item->>'$.name' AS name, i.item->>'$.content' AS content, c.approved, c.confidence_score, c.critic_reason
     FROM items i JOIN fx_sources s ON s.id = i.source_id JOIN c ON c.seq = i.source_id),
   links AS (SELECT source_id, unnest(CAST(json_extract(obj, '$.relationships') AS JSON[])) AS item FROM o WHERE json_type(obj, '$.relationships') = 'ARRAY'),
   r AS (SELECT *, CASE WHEN approved AND confidence_score >= 0.7 THEN 'approved' WHEN confidence_score >= 0.5 THEN 'pending' ELSE 'rejected' END AS route FROM cand),
@@ -155,6 +156,7 @@ LIVE = f"""{PARSED}, c AS ({CRITIC}),
     JOIN appr f ON f.source_id = l.source_id AND f.name = l.item->>'$.from_name' JOIN appr t ON t.source_id = l.source_id AND t.name = l.item->>'$.to_name'
   UNION ALL SELECT 'pending', org_id, source_id, seq, content FROM ok WHERE route = 'pending'
   UNION ALL SELECT 'log', org_id, source_id, seq, 'REJECTED: ' || coalesce(name, 'None') || ' — ' || coalesce(content, 'None') || ' — Reason: ' || coalesce(critic_reason, 'None') FROM ok WHERE route = 'rejected'
+  UNION ALL SELECT 'held', r.org_id, r.source_id, r.seq, r.content FROM r JOIN run ON run.org_id = r.org_id AND run.source_id = r.source_id WHERE NOT run.admitted
   UNION ALL SELECT 'log', org_id, source_id, NULL, '{routing.PAUSED}' FROM run WHERE NOT admitted"""
 
 
@@ -171,6 +173,28 @@ def live_ingest(t):
     return ingest.as_rows(sinks)
 
 
+# Reviews of the same organisations, each taking a few items out of the queue, some none.
+REVIEWS = "SELECT 'org' || (user_id % 4) AS org_id, event_id AS review_no, CAST(event_id % 3 AS BIGINT) AS taken FROM events"
+
+
+@query("W2", f"""WITH {ADMITTED.format(routed=f'r AS ({routed_sql(0.7)})', queue=QUEUE_ORGS)},
+  waits AS (SELECT p.* FROM per p JOIN run USING (org_id, source_id) WHERE NOT run.admitted),
+  now AS (SELECT run.org_id, coalesce(max(q.waiting), 0) + sum(CASE WHEN run.admitted THEN per.pending ELSE 0 END) AS waiting FROM run JOIN per USING (org_id, source_id) LEFT JOIN q ON q.org_id = run.org_id GROUP BY run.org_id),
+  needs AS (SELECT w.org_id, w.source_id, w.pending, greatest(0, n.waiting - 19 + coalesce(sum(w.pending) OVER (PARTITION BY w.org_id ORDER BY w.source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS needs
+    FROM waits w JOIN now n ON n.org_id = w.org_id),
+  taken AS (SELECT org_id, review_no, sum(taken) OVER (PARTITION BY org_id ORDER BY review_no) AS total FROM ({REVIEWS}) WHERE taken > 0)
+  SELECT n.org_id, n.source_id, n.pending, CASE WHEN needs = 0 THEN 0 ELSE t.review_no END AS released_by
+  FROM needs n ASOF LEFT JOIN taken t ON n.org_id = t.org_id AND n.needs <= t.total""")
+def held_replay(t):
+    """Which review lets each held source in."""
+    routed = routing.route(t("fx_candidates"))
+    queue = t.sql(QUEUE_ORGS)
+    flagged = routing.admit(routed, routing.queue_cutoffs(routing.pending_per_source(routed), queue))
+    added = flagged.filter("admitted AND route = 'pending'").groupBy("org_id").agg(F.count("*").alias("waiting"))
+    now = queue.unionByName(added)
+    return held.released(flagged.filter("NOT admitted"), now, t.sql(REVIEWS))
+
+
 # --- review ------------------------------------------------------------------
 
 ASKED = "SELECT doc_id AS id, 'user ' || quality AS approved_by FROM labels"

@@ -78,7 +78,7 @@ def backfill_run(t):
 
 RAW_MAIL = """SELECT doc_id AS id, 'org' || (doc_id % 4) AS org_id,
   CASE doc_id % 11 WHEN 0 THEN array('INBOX', 'SPAM') WHEN 1 THEN array('TRASH') WHEN 2 THEN NULL ELSE array('INBOX') END AS labels,
-  1706659200000 - doc_id * 60000 AS internalDate,
+  1706659200000 - doc_id * 7919 % 43200 * 60000 AS internalDate,
   named_struct('mimeType', CASE WHEN doc_id % 2 = 0 THEN 'text/plain' ELSE 'multipart/alternative' END,
     'headers', CASE doc_id % 3 WHEN 0 THEN array(named_struct('name', 'Subject', 'value', 'old'), named_struct('name', 'From', 'value', source || '@example.com'), named_struct('name', 'Subject', 'value', 'Mail ' || doc_id))
       WHEN 1 THEN array(named_struct('name', 'From', 'value', source || '@example.com')) ELSE array(named_struct('name', 'Subject', 'value', 'Only subject')) END,
@@ -90,10 +90,10 @@ RAW_MAIL = """SELECT doc_id AS id, 'org' || (doc_id % 4) AS org_id,
   FROM documents"""
 
 MAILBOX = f"""WITH listed AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS rn FROM documents
-    WHERE doc_id % 11 > 1 AND 1706659200000 - doc_id * 60000 >= (1706659200 - 360 * 3600) * CAST(1000 AS BIGINT)),
+    WHERE doc_id % 11 > 1 AND 1706659200000 - doc_id * 7919 % 43200 * 60000 >= (1706659200 - 360 * 3600) * CAST(1000 AS BIGINT)),
   mails AS (SELECT doc_id AS id, 'org' || (doc_id % 4) AS org_id, CASE doc_id % 3 WHEN 0 THEN 'Mail ' || doc_id WHEN 1 THEN '(no subject)' ELSE 'Only subject' END AS subject,
     CASE WHEN doc_id % 3 < 2 THEN source || '@example.com' ELSE '' END AS sender, CASE WHEN doc_id % 10 = 0 THEN '' ELSE {sql_strip('text')} END AS body,
-    epoch_ms(1706659200000 - doc_id * 60000) AS timestamp FROM listed)"""
+    epoch_ms(1706659200000 - doc_id * 7919 % 43200 * 60000) AS timestamp FROM listed)"""
 
 
 def mailbox(t):

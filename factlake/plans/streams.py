@@ -53,7 +53,7 @@ HISTORY = """SELECT doc_id AS id, 'org' || (doc_id % 4) AS org_id, 'slack_histor
 
 @query("ST3", f"""WITH s AS ({HISTORY}), e AS (SELECT id, org_id, 'Client' AS entity_type, md5(raw_content) AS name, raw_content AS content, (id * 37) % 101 / 100.0::DOUBLE AS score FROM s WHERE processed_at IS NULL),
   f AS (SELECT *, row_number() OVER (PARTITION BY org_id, name ORDER BY id) AS rn FROM e WHERE score >= 0.8)
-  SELECT id * 1000 AS id, org_id, name, content, id AS source_id FROM f WHERE (rn = 1 OR name = '')
+  SELECT CAST('0x' || substr(md5(org_id || '/' || id || '/0'), 1, 15) AS BIGINT) AS id, org_id, name, content, id AS source_id FROM f WHERE (rn = 1 OR name = '')
     AND NOT EXISTS (SELECT 1 FROM fx_entities x WHERE x.status = 'active' AND x.org_id = f.org_id AND x.entity_type = 'Client' AND x.name = f.name)""")
 def stream_backfill(t):
     """Backlog drained with a stand-in model: each text is a fact, named by its hash, so copies are stored once."""

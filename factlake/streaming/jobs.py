@@ -110,7 +110,8 @@ ENTITY_ROWS = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 BACKLOG_ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("org_id", T.StringType()), T.StructField("raw_content", T.StringType())])
-DONE_ROWS = T.StructType([T.StructField("id", T.LongType())])
+DONE_ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("org_id", T.StringType())])
+SOURCE = ["org_id", "id"]
 
 
 def drain_backfill(
@@ -131,9 +132,9 @@ def drain_backfill(
     def process(spark: SparkSession, fresh: DataFrame, batch_id: int) -> None:
         fresh = write_batch(fresh, out, "seen", batch_id)
         other = F.col("batch_id") != batch_id
-        done = read_table(spark, out, "processed", DONE_ROWS).filter(other).select("id")
+        done = read_table(spark, out, "processed", DONE_ROWS).filter(other).select(*SOURCE)
         seen = read_table(spark, out, "seen", BACKLOG_ROWS).filter(other).drop("batch_id")
-        rows = fresh.unionByName(seen).dropDuplicates(["org_id", "id"]).join(done, "id", "left_anti").select(*BACKLOG_ROWS.names)
+        rows = fresh.unionByName(seen).dropDuplicates(SOURCE).join(done, SOURCE, "left_anti").select(*BACKLOG_ROWS.names)
         if budgets is not None:
             rows = requests.within_budget(rows, budgets()).select(*BACKLOG_ROWS.names)
         packed = write_batch(requests.pack_batches(rows), out, "packed", batch_id)
@@ -154,14 +155,14 @@ def drain_backfill(
         known = entities.select("id", "org_id", "entity_type", "name", "status").unionByName(
             earlier.select("id", "org_id", "entity_type", "name", "status")).join(names, routing.IDENTITY, "left_semi")
         ingest.write(ingest.store_backfill(scored, known, id_base=0), out, batch_id)
-        write_batch(found.select("id").distinct(), out, "processed", batch_id)
+        write_batch(found.select(*DONE_ROWS.names).distinct(), out, "processed", batch_id)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         process(batch.sparkSession, requests.backlog(batch).select(*BACKLOG_ROWS.names), batch_id)
 
     spark = sources.sparkSession
     seen = read_table(spark, out, "seen", BACKLOG_ROWS)
-    if not seen.join(read_table(spark, out, "processed", DONE_ROWS).select("id"), "id", "left_anti").isEmpty():
+    if not seen.join(read_table(spark, out, "processed", DONE_ROWS).select(*SOURCE), SOURCE, "left_anti").isEmpty():
         # Batches of the stream count up from 0, retries count down from -1.
         last = seen.agg(F.least(F.min("batch_id"), F.lit(0))).first()[0]
         process(spark, spark.createDataFrame([], BACKLOG_ROWS), last - 1)

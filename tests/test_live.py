@@ -1,5 +1,6 @@
 """Replies to stored facts, with contradictions looked up among earlier facts."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -7,6 +8,10 @@ from pyspark.sql import functions as F
 from factlake.operators import ingest, live, requests, search
 
 
+def number(org, source, pos):
+    return int(hashlib.md5(f"{org}/{source}/{pos}".encode()).hexdigest()[:15], 16)
+
+
 def test_replies_to_sinks(spark, folder):
     keep = ingest.keep_under(folder)
 
@@ -19,8 +24,10 @@ def test_replies_to_sinks(spark, folder):
         (2, "o", reply(("Client", "Acme", "red car not sold"), ("Person", "Bob", "Bob helps"), ("Person", None, "red car sold"), edges=[("Bob", "Acme", None)])),
         (3, "o", "no json"), (4, "p", reply(("Client", "Acme", "red car sold")))], "source_id bigint, org_id string, reply string")
     candidates, edges = live.proposals(extractions)
-    assert [r.seq for r in candidates.orderBy("seq").collect()] == [1000, 1001, 2000, 2001, 2002, 4000]
-    verdicts = candidates.select("seq", F.when(F.col("seq") == 2001, '{"confidence_score": 0.6}').otherwise('{"approved": true, "confidence_score": 0.9}').alias("reply"))
+    own = {(o, s, p): number(o, s, p) for o, s, p in (("o", 1, 0), ("o", 1, 1), ("o", 2, 0), ("o", 2, 1), ("o", 2, 2), ("p", 4, 0))}
+    assert {(r.org_id, r.source_id, r.pos): r.seq for r in candidates.collect()} == own
+    acme, ann, bob, again = (own["o", s, p] for s, p in ((1, 0), (1, 1), (2, 1), (2, 2)))
+    verdicts = candidates.select("seq", F.when(F.col("seq") == bob, '{"confidence_score": 0.6}').otherwise('{"approved": true, "confidence_score": 0.9}').alias("reply"))
     entities = spark.createDataFrame(
         [(7, "o", "Client", "Old", "red car sold", "active", 1, None)],
         "id bigint, org_id string, entity_type string, name string, content string, status string, source_id bigint, superseded_at timestamp")
@@ -32,25 +39,25 @@ def test_replies_to_sinks(spark, folder):
 
     def check(blocks):
         seen.extend(requests.contradiction_requests(blocks).collect())
-        return blocks.select("query_id", F.when(F.col("query_id") == 2002, '{"contradiction": true, "reason": "again"}').otherwise("?").alias("reply"))
+        return blocks.select("query_id", F.when(F.col("query_id") == again, '{"contradiction": true, "reason": "again"}').otherwise("?").alias("reply"))
 
     stored = keep(embed(entities), "stored")
     scored = keep(live.scored(candidates, verdicts), "scored")
     notes = live.contradictions(scored, stored, embed, check, keep=keep)
     # The second Acme is a repeat; Bob waits for review; every other new fact but the one of p has an older one.
-    assert {r.request_id for r in seen} == {"1000", "1001", "2002"}
+    assert {r.request_id for r in seen} == {str(acme), str(ann), str(again)}
     note = notes.collect()
-    assert len(note) == 1 and note[0].id == 2002 and note[0].review_type == "contradiction" and note[0].critic_reason == "again"
+    assert len(note) == 1 and note[0].id == again and note[0].review_type == "contradiction" and note[0].critic_reason == "again"
     listed = json.loads(note[0].content.split("CONFLICTS WITH: ")[1].split("\n\nREASON")[0])
     assert [e["content"] for e in listed][:2] == ["red car sold", "red car sold"] and listed[0]["name"] == "Old"
     assert note[0].content.startswith("NEW: red car sold\n\n") and note[0].content.endswith("REASON: again")
 
     queue = spark.createDataFrame([("o", 18)], "org_id string, waiting bigint")
     sinks = live.store_replies(extractions, verdicts, entities, queue, notes=notes, keep=keep)
-    assert sorted(r.id for r in sinks.entities.collect()) == [1000, 1001, 2002, 4000]
-    assert sorted((r.from_id, r.to_id, r.relationship_type) for r in sinks.edges.collect()) == [(1001, 1000, "owns")]
+    assert sorted(r.id for r in sinks.entities.collect()) == sorted([acme, ann, again, own["p", 4, 0]])
+    assert sorted((r.from_id, r.to_id, r.relationship_type) for r in sinks.edges.collect()) == [(ann, acme, "owns")]
     # Bob and the note on the fact that contradicts an older one.
-    assert sorted((r.seq, r.review_type) for r in sinks.pending.collect()) == [(2001, "standard"), (2002, "contradiction")]
+    assert sorted((r.seq, r.review_type) for r in sinks.pending.collect()) == sorted([(bob, "standard"), (again, "contradiction")])
     assert sinks.paused.count() == 0
 
 

@@ -1,11 +1,12 @@
 """Cases that once lost rows, leaked or failed."""
 
 import base64
+import random
 
 from pyspark.sql import functions as F
 
 from factlake.functions.text import decode_base64url
-from factlake.operators import evals, ingest, memory, review, tasks
+from factlake.operators import evals, held, ingest, memory, review, routing, tasks
 from factlake.sources import mail, tables
 
 CANDIDATE = ("seq bigint, org_id string, source_id bigint, entity_type string, name string, content string, approved boolean, "
@@ -33,6 +34,34 @@ def test_sources_at_a_full_queue_are_held(spark):
     assert free.entities.count() + free.pending.count() == 80 and free.held.count() == 0
 
 
+def test_held_sources_come_in_as_a_fold_would_let_them(spark):
+    """Against one source and one review after another; one organisation has nearly everything."""
+    rng = random.Random(3)
+    waiting = {"hot": 25, "cold": 3, "full": 40}
+    sources = [("hot", i * 11) for i in range(300)] + [("cold", i) for i in range(4)] + [("full", 7)]
+    rows = [(org, s, rng.choice(["pending", "pending", "approved"])) for org, s in sources for _ in range(rng.randrange(1, 4))]
+    reviews = [("hot", n, rng.randrange(0, 5)) for n in range(1, 160)] + [("cold", 1, 2), ("full", 9, 5)]
+    want = {}
+    for org in waiting:
+        line = sorted({s for o, s, _ in rows if o == org})
+        now = waiting[org]
+        for no, taken in [(0, 0), *sorted((n, t) for o, n, t in reviews if o == org)]:
+            now -= taken
+            while line and now < routing.QUEUE_CAP and (taken or not no):
+                s = line.pop(0)
+                pending = sum(1 for o, x, r in rows if (o, x, r) == (org, s, "pending"))
+                now += pending
+                want[org, s] = (pending, no)
+        want |= {(org, s): (sum(1 for o, x, r in rows if (o, x, r) == (org, s, "pending")), None) for s in line}
+    df = spark.createDataFrame(rows, "org_id string, source_id bigint, route string")
+    queue = spark.createDataFrame(list(waiting.items()), "org_id string, waiting bigint")
+    found = held.released(df, queue, spark.createDataFrame(reviews, "org_id string, review_no bigint, taken bigint"))
+    assert {(r.org_id, r.source_id): (r.pending, r.released_by) for r in found.collect()} == want
+    assert {b for _, b in want.values()} >= {0, None} and len({b for _, b in want.values()}) > 20
+    free, still = held.replay(df, found)
+    assert free.count() + still.count() == len(rows) and still.select("source_id").distinct().count() == sum(b is None for _, b in want.values())
+
+
 def test_contradictions_are_queued(spark):
     candidates, edges, entities, queue = batch(spark)
     notes = spark.createDataFrame([(i, "o", i // 2, "Client", f"n{i}", f"NEW: {i}", "why", 0.5, "contradiction") for i in (0, 2, 78)],

@@ -127,6 +127,29 @@ def test_unanswered_history_is_retried(spark, folder):
     assert run(answer) == (13, 13)
 
 
+def test_organisations_may_share_source_ids(spark, folder):
+    """Source 5 of one organisation is answered, then source 5 of another comes: both are stored, under ids of their own."""
+    schema = "id bigint, org_id string, source_type string, raw_content string, processed_at timestamp"
+    entities = spark.createDataFrame([], "id bigint, org_id string, entity_type string, name string, status string")
+
+    def extract(asked):
+        reply = F.to_json(F.array(F.struct(F.lit(0).alias("message_index"), F.array(F.struct(
+            F.lit("Client").alias("entity_type"), F.col("org_id").alias("name"), F.lit("c").alias("content"))).alias("entities"))))
+        return asked.select("request_id", reply.alias("reply"))
+
+    def criticise(found):
+        return found.select("org_id", "seq", F.lit('{"approved": true, "confidence_score": 0.9}').alias("reply"))
+
+    for org in ("a", "b"):
+        spark.createDataFrame([(5, org, "slack_history", f"text of {org}", None)], schema).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        jobs.drain_backfill(stream, entities, f"{folder}/out", f"{folder}/ck", extract=extract, criticise=criticise).awaitTermination()
+    got = jobs.read_table(spark, f"{folder}/out", "entities").collect()
+    assert sorted((r.org_id, r.name, r.source_id) for r in got) == [("a", "a", 5), ("b", "b", 5)]
+    assert len({r.id for r in got}) == 2
+    assert jobs.read_table(spark, f"{folder}/out", "processed").count() == 2
+
+
 def test_meter_keeps_own_limits(spark, folder):
     events = spark.createDataFrame([("a", "2024-01", 600_000), ("b", "2024-01", 600_000)], "org_id string, month string, tokens bigint")
     events.write.parquet(f"{folder}/in")
