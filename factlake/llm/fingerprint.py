@@ -6,7 +6,8 @@ sketch: a count, the xor of digests and the xor of their checksums. Taking one
 sketch from another leaves exactly the digests in which the two texts differ,
 and peeling reads them out: a cell with one digest names it, removing that
 digest from its other cells uncovers more. If peeling gets stuck, both sketches
-are made again four times as large.
+are made again four times as large. Many pairs are peeled at once, round by
+round; the first size follows an estimate from the smallest digests of both.
 
 A fingerprint is the number of digests and the cells of the smallest sketch, so
 equal texts have equal fingerprints. The likeness of two texts is their shared
@@ -39,6 +40,10 @@ PIECE = 24
 CELLS = 12
 GROWTH = 4
 ROWS_PER_RANGE = 2048
+ROWS_AT_ONCE = 256
+CELLS_AT_ONCE = 1 << 19
+SAMPLED = 8
+ROUNDS = 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 Sketch = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -117,38 +122,120 @@ def peel(difference: Sketch) -> tuple[np.ndarray, np.ndarray] | None:
     return every[sides > 0], every[sides < 0]
 
 
+def _first_cells(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Cells to begin with: by the digests below a bound, an eighth of all, that only one side has."""
+    bound = np.uint64((1 << 64) // SAMPLED)
+    few = [(a[:np.searchsorted(a, bound)], b[:np.searchsorted(b, bound)]) for a, b in pairs]
+    owner = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in few])
+    keys = np.concatenate([part for pair in few for part in pair]) if few else np.zeros(0, dtype=np.uint64)
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    same = (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1])
+    alone = ~np.append(same, False) & ~np.append(False, same)
+    about = np.bincount(owner[alone], minlength=len(pairs)) * SAMPLED
+    # Sketches smaller than the known difference in number can't be peeled.
+    least = np.maximum(1.6 * about, [abs(len(a) - len(b)) for a, b in pairs])
+    cells = np.full(len(pairs), CELLS, dtype=np.int64)
+    while (small := cells < least).any():
+        cells[small] *= GROWTH
+    return cells
+
+
+def _peel_all(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """``peel`` for many pairs, whose sketches of one size lie one after another."""
+    n = len(pairs)
+    sizes = np.array([[len(a), len(b)] for a, b in pairs])
+    keys = np.concatenate([part for pair in pairs for part in pair])
+    owner = np.repeat(np.arange(n), sizes.sum(axis=1))
+    sign = np.repeat(np.tile(np.array([1, -1]), n), sizes.ravel())
+    counts = np.zeros(n * cells, dtype=np.int64)
+    xors, checks = np.zeros(n * cells, dtype=np.uint64), np.zeros(n * cells, dtype=np.uint16)
+
+    def add(keys: np.ndarray, owner: np.ndarray, sign: np.ndarray) -> None:
+        at = (_places(keys, cells) + owner * cells).ravel()
+        np.add.at(counts, at, np.tile(sign, 3))
+        np.bitwise_xor.at(xors, at, np.tile(keys, 3))
+        np.bitwise_xor.at(checks, at, np.tile(_checks(keys), 3))
+        touched.append(at)
+
+    touched: list[np.ndarray] = []
+    add(keys, owner, sign)
+    found = []
+    for _ in range(ROUNDS):
+        # Only cells that changed can have become pure.
+        look = np.unique(np.concatenate(touched))
+        touched.clear()
+        look = look[np.abs(counts[look]) == 1]
+        look = look[_checks(xors[look]) == checks[look]]
+        keys, owner = xors[look], look // cells
+        # A false match would stand in a cell that isn't its own.
+        own = (_places(keys, cells) == look % cells).any(axis=0)
+        keys, owner, look = keys[own], owner[own], look[own]
+        order = np.lexsort((keys, owner))
+        keys, owner, look = keys[order], owner[order], look[order]
+        if len(keys):
+            first = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))
+            keys, owner, look = keys[first], owner[first], look[first]
+        if not len(keys):
+            break
+        sign = counts[look]
+        add(keys, owner, -sign)
+        found.append((owner, keys, sign))
+    stuck = (counts.reshape(n, cells) != 0).any(axis=1) | (xors.reshape(n, cells) != 0).any(axis=1)
+    owner, keys, sign = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in range(3))
+    order = np.argsort(owner, kind="stable")
+    keys, sign = keys[order].astype(np.uint64), sign[order]
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    out: list[tuple[np.ndarray, np.ndarray] | None] = []
+    for i, end in enumerate(ends.tolist()):
+        mine = slice(int(ends[i - 1]) if i else 0, end)
+        out.append(None if stuck[i] else (keys[mine][sign[mine] > 0], keys[mine][sign[mine] < 0]))
+    return out
+
+
+def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair of sorted digests what only the one and only the other has, from sketches as large as needed."""
+    out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(pairs)
+    cells = _first_cells(pairs)
+    waiting = np.arange(len(pairs))
+    while len(waiting):
+        for size in np.unique(cells[waiting]).tolist():
+            group = waiting[cells[waiting] == size]
+            step = max(1, CELLS_AT_ONCE // size)
+            for at in range(0, len(group), step):
+                some = group[at:at + step]
+                for i, found in zip(some.tolist(), _peel_all([pairs[i] for i in some], size), strict=True):
+                    out[i] = found
+        waiting = np.array([i for i in waiting if out[i] is None], dtype=np.int64)
+        cells[waiting] *= GROWTH
+    return out
+
+
 class Printed:
-    """The digests of one text and its sketches, made as they are asked for."""
+    """The digests of one text."""
 
     def __init__(self, text: str):
         self.keys = digests(text)
-        self.made: dict[int, Sketch] = {}
-
-    def sketch(self, cells: int) -> Sketch:
-        if cells not in self.made:
-            self.made[cells] = sketch(self.keys, cells)
-        return self.made[cells]
 
     def fingerprint(self) -> str:
-        counts, xors, checks = self.sketch(CELLS)
+        counts, xors, checks = sketch(self.keys)
         return f"{len(self.keys):x}:" + counts.astype("<i4").tobytes().hex() + xors.astype("<u8").tobytes().hex() + checks.astype("<u2").tobytes().hex()
 
     def difference(self, other: Printed) -> tuple[np.ndarray, np.ndarray]:
-        """What only this and only the other text has, from sketches as large as needed."""
-        cells = CELLS
-        # Sketches smaller than the known difference in number can't be peeled.
-        while cells < abs(len(self.keys) - len(other.keys)):
-            cells *= GROWTH
-        while (found := peel(subtract(self.sketch(cells), other.sketch(cells)))) is None:
-            cells *= GROWTH
-        return found
+        """What only this and only the other text has."""
+        return differences([(self.keys, other.keys)])[0]
 
     def likeness(self, other: Printed) -> float:
-        both = len(self.keys) + len(other.keys)
-        if not both:
-            return 1.0
-        apart = sum(map(len, self.difference(other)))
-        return (both - apart) / (both + apart)
+        return likenesses([(self, other)])[0]
+
+
+def likenesses(pairs: list[tuple[Printed, Printed]]) -> list[float]:
+    """Shared digests over all digests of each pair."""
+    out = []
+    for (a, b), (mine, its) in zip(pairs, differences([(a.keys, b.keys) for a, b in pairs]), strict=True):
+        both, apart = len(a.keys) + len(b.keys), len(mine) + len(its)
+        out.append((both - apart) / (both + apart) if both else 1.0)
+    return out
 
 
 def neighbours(docs: DataFrame, key: str, text: str, made: Callable[[list[tuple[int | None, str, str]]], pa.Table], schema: str,
@@ -219,13 +306,16 @@ def compare_edits(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def made(rows: list[tuple[int | None, str, str]]) -> pa.Table:
         out, ready = [], None
-        for i, own, following in rows:
-            mine = ready or Printed(own)
-            ready = Printed(following)
-            changed = edited(own, following)
-            other = Printed(changed)
-            out.append((i, len(own), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), mine.fingerprint(),
-                        other.fingerprint(), mine.likeness(other), mine.likeness(ready)))
+        for at in range(0, len(rows), ROWS_AT_ONCE):
+            part, prints = rows[at:at + ROWS_AT_ONCE], []
+            for _, own, following in part:
+                mine = ready or Printed(own)
+                ready = Printed(following)
+                changed = edited(own, following)
+                prints.append((mine, Printed(changed), ready, hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()))
+            near = likenesses([pair for mine, other, following, _ in prints for pair in ((mine, other), (mine, following))])
+            out += [(i, len(own), digest, mine.fingerprint(), other.fingerprint(), near[2 * j], near[2 * j + 1])
+                    for j, ((i, own, _), (mine, other, _, digest)) in enumerate(zip(part, prints, strict=True))]
         columns = list(zip(*out, strict=True)) or [()] * 7
         return pa.table([pa.array(c, t) for c, t in zip(
             columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)],

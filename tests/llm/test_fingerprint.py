@@ -16,12 +16,28 @@ def test_peeling_recovers_the_difference(shared, left, right):
     keys = np.unique(rng.integers(0, 1 << 63, shared + left + right).astype(np.uint64))
     rng.shuffle(keys)
     a, b = fp.Printed(""), fp.Printed("")
-    a.keys, b.keys = keys[:shared + left], np.concatenate([keys[:shared], keys[shared + left:]])
+    a.keys, b.keys = np.sort(keys[:shared + left]), np.sort(np.concatenate([keys[:shared], keys[shared + left:]]))
     found = a.difference(b)
     assert set(found[0].tolist()) == set(keys[shared:shared + left].tolist())
     assert set(found[1].tolist()) == set(keys[shared + left:].tolist())
     if left + right > 40:
-        assert fp.peel(fp.subtract(a.sketch(12), b.sketch(12))) is None
+        assert fp.peel(fp.subtract(fp.sketch(a.keys), fp.sketch(b.keys))) is None
+
+
+def test_many_pairs_at_once():
+    """Whatever sizes lie side by side, each pair's difference is exact; so is peeling one pair with a sketch that is large enough."""
+    rng = np.random.default_rng(5)
+    pairs = []
+    for i in range(300):
+        both, left, right = rng.integers(0, (300, 1 + i, 40))
+        keys = np.unique(rng.integers(0, 1 << 63, both + left + right).astype(np.uint64))
+        rng.shuffle(keys)
+        pairs.append((np.sort(keys[:both + left]), np.sort(np.concatenate([keys[:both], keys[both + left:]]))))
+    for (a, b), (mine, its) in zip(pairs, fp.differences(pairs), strict=True):
+        assert np.sort(mine).tolist() == np.setdiff1d(a, b).tolist() and np.sort(its).tolist() == np.setdiff1d(b, a).tolist()
+    alone = fp.peel(fp.subtract(fp.sketch(pairs[9][0], 12 * 4 ** 5), fp.sketch(pairs[9][1], 12 * 4 ** 5)))
+    assert np.sort(alone[0]).tolist() == np.setdiff1d(*pairs[9]).tolist()
+    assert fp.differences([]) == []
 
 
 def test_query(spark):
