@@ -131,7 +131,9 @@ def _first_cells(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     order = np.lexsort((keys, owner))
     keys, owner = keys[order], owner[order]
     same = (keys[1:] == keys[:-1]) & (owner[1:] == owner[:-1])
-    alone = ~np.append(same, False) & ~np.append(False, same)
+    alone = np.ones(len(keys), dtype=bool)
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
     about = np.bincount(owner[alone], minlength=len(pairs)) * SAMPLED
     # Sketches smaller than the known difference in number can't be peeled.
     least = np.maximum(1.6 * about, [abs(len(a) - len(b)) for a, b in pairs])
@@ -195,6 +197,8 @@ def _peel_all(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int) -> list[tu
 
 def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each pair of sorted digests what only the one and only the other has, from sketches as large as needed."""
+    if not pairs:
+        return []
     out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(pairs)
     cells = _first_cells(pairs)
     waiting = np.arange(len(pairs))
