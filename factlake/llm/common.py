@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.session import fresh_path
@@ -33,6 +33,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this application's own under the shared folder, once nothing reads it any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 SIEVE_BITS = 1 << 25
 
 
@@ -58,7 +64,7 @@ def sieved(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataF
                 found = shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1
                 yield batch.select(range(len(columns))).filter(pa.array(found == hit))
 
-        return df.withColumn("sieve_at", F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))).mapInArrow(run, df.schema)
+        return df.select("*", F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS)).alias("__sieve_at__")).mapInArrow(run, df.schema)
 
     return side(True), side(False)
 

@@ -49,7 +49,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import _hash_slice, mix, stored, word_hashes
+from ..session import fresh_path
+from .common import _hash_slice, discard, mix, stored, word_hashes
 
 BURN_IN, SAMPLES = 1, 3
 THETA = 1.0
@@ -282,7 +283,9 @@ def count_pairs(docs: DataFrame, text: str, ranges: int) -> DataFrame:
         at = at.astype(np.int32)
         return pa.table({
             "range": table["range"][:1], "names": pa.array([names.tobytes()], pa.binary()), "before": pa.array([at[:len(n)].tobytes()], pa.binary()),
-            "words": pa.array([at[len(n):].tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()),
+            "words": pa.array([at[len(n):].tobytes()], pa.binary()),
+            # In the fewest bytes that hold the largest.
+            "n": pa.array([n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()], pa.binary()),
             "pairs": [len(n)], "once": [int((n == 1).sum())], "twice": [int((n == 2).sum())]})
 
     return docs.select(text).mapInArrow(run, "range int, before binary, words binary, n binary").groupBy("range").applyInArrow(
@@ -291,8 +294,9 @@ def count_pairs(docs: DataFrame, text: str, ranges: int) -> DataFrame:
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words' numbers, places of both words, counts and number of each pair."""
-    names, n = np.frombuffer(row["names"], dtype=np.int64), np.frombuffer(row["n"], dtype=np.int64)
+    names = np.frombuffer(row["names"], dtype=np.int64)
     before, words = (np.frombuffer(row[c], dtype=np.int32) for c in ("before", "words"))
+    n = np.frombuffer(row["n"], dtype=f"u{len(row['n']) // max(1, len(before)) or 1}").astype(np.int64)
     keys = names.view(np.uint64)
     return names, before, words, n, pair_keys(keys[before], keys[words])
 
@@ -453,12 +457,19 @@ def learn_pairs(words: DataFrame, pairs: DataFrame) -> tuple[Model, DataFrame]:
     total = _totals(words)
     kinds = pairs.agg(F.sum("once").alias("once"), F.sum("twice").alias("twice")).collect()[0]
     model = Model(total.n, total.v, 0.5, [], _discount(kinds.once or 0, kinds.twice or 0))
+    spark, path = words.sparkSession, None
     state, opened = _with_keys(words), _one_table_each(pairs)
     history = ["word", "n", "key"]
     for sweep in range(BURN_IN + SAMPLES + 1):
         # The tables of the pairs, summed, are the customers of their words.
         sums = opened.groupBy("key").agg(F.sum("opened").alias(f"t{sweep}"), F.sum("customers").cast("bigint").alias("customers"))
-        state = stored(state.select(*history).join(sums, "key").select(*history, f"t{sweep}", "customers"), "lm-seated")
+        past, path = path, fresh_path(spark, "lm-seated")
+        seated = state.select(*history).join(sums, "key").select(*history, f"t{sweep}", "customers")
+        seated.write.parquet(path)
+        state = spark.read.schema(seated.schema).parquet(path)
+        # All that the sweep before had is in this one.
+        if past:
+            discard(spark, past)
         served = state.select("word", F.col("customers").alias("n"))
         now = _totals(served)
         if sweep == 0:
@@ -519,7 +530,14 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
     tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
     ranges = max(1, -(-tokens // BLOCK_TOKENS))
     pairs = stored(count_pairs(learned, "text", ranges), "lm-pairs")
-    model, priced = learn_pairs(words, pairs)
+    # Each sweep ends with a written table, so its shuffles can go with it.
+    spark, setting = docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        model, priced = learn_pairs(words, pairs)
+    finally:
+        spark.conf.set(setting, before)
     shared = words.sparkSession.sparkContext.broadcast(model)
     states = range(BURN_IN, BURN_IN + SAMPLES + 1)
     columns = [f"{c}{i}" for c in "tp" for i in states]
