@@ -14,7 +14,9 @@ is put in order.
 
 Defined cases: a document with no member source is never taken; null is a
 source like any other, after the named ones; a text without words has size 0;
-repeated rows are documents of their own; an empty table gives no rows.
+repeated rows are documents of their own, and of rows that share an id the order
+follows size and a hash of the row; an empty table gives no rows. More than
+``MAX_PATTERNS`` patterns are refused: their table is what the driver holds.
 """
 
 from __future__ import annotations
@@ -136,6 +138,14 @@ def flow(patterns: Mapping[Pattern, int], quotas: Mapping[str | None, int], repe
     return out
 
 
+def routed(patterns: Mapping[Pattern, int], quotas: Mapping[str | None, int], repeats: int = REPEATS) -> dict[Pattern, dict[str | None, int]]:
+    """``flow``, in which a source that shares no document needs no network: it gets its quota, or all its text ``repeats`` times."""
+    shared = {s for p in patterns if len(p) > 1 for s in p}
+    alone = {p: {p[0]: min(quotas[p[0]], repeats * n)} for p, n in patterns.items() if len(p) == 1 and p[0] not in shared}
+    others = {p: n for p, n in patterns.items() if p not in alone}
+    return alone | flow(others, {s: q for s, q in quotas.items() if s in shared}, repeats)
+
+
 def pick(docs: DataFrame, key: str, size: Column, members: Column, weights: Sequence[float] = (1, 2, 3),
          repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
     """All rows of ``docs`` with ``mix_times``, ``mix_size``, ``mix_source_size`` and ``mix_target``.
@@ -165,7 +175,7 @@ def pick(docs: DataFrame, key: str, size: Column, members: Column, weights: Sequ
         for source in pattern:
             sizes[source] = sizes.get(source, 0) + held
     target = shares(sizes, weights, repeats)
-    sent = flow(patterns, {s: round(t) for s, t in target.items()}, repeats)
+    sent = routed(patterns, {s: round(t) for s, t in target.items()}, repeats)
     plan = []
     for r in rows:
         total = sum(sent[tuple(r.mix_members)].values())
@@ -174,26 +184,26 @@ def pick(docs: DataFrame, key: str, size: Column, members: Column, weights: Sequ
         known = bool(r.mix_members)
         plan.append((r.mix_pattern, whole, rest, sizes[first] if known else None, target[first] if known else None))
     plan = spark.createDataFrame(
-        plan, "mix_pattern string, whole bigint, rest bigint, mix_source_size bigint, mix_target double")
+        plan, "mix_pattern string, __whole__ bigint, __rest__ bigint, mix_source_size bigint, mix_target double")
     so_far = Window.partitionBy("mix_pattern").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # One row per pattern: the bucket of the seeded order in which its share ends.
     cuts = (
         buckets.withColumn("upto", F.sum("held").over(so_far)).join(F.broadcast(plan), "mix_pattern")
-        .filter("upto >= rest").groupBy("mix_pattern")
-        .agg(F.min_by(F.struct("mix_bucket", (F.col("upto") - F.col("held")).alias("before")), "mix_bucket").alias("cut"))
-        .select("mix_pattern", F.col("cut.mix_bucket").alias("cut"), F.col("cut.before").alias("before"))
+        .filter("upto >= __rest__").groupBy("mix_pattern")
+        .agg(F.min_by(F.struct("mix_bucket", (F.col("upto") - F.col("held")).alias("before")), "mix_bucket").alias("found"))
+        .select("mix_pattern", F.col("found.mix_bucket").alias("__cut__"), F.col("found.before").alias("__before__"))
     )
     # At most MAX_PATTERNS rows, counted above.
     plan = F.broadcast(plan.join(cuts, "mix_pattern", "left"))
     placed = marked.join(plan, "mix_pattern")
-    inside = Window.partitionBy("mix_pattern").orderBy("mix_order", key).rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = placed.filter(F.col("mix_bucket") == F.col("cut")).withColumn(
-        "ahead", F.col("before") + F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("mix_pattern").orderBy("mix_order", key, "mix_size", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).rowsBetween(Window.unboundedPreceding, -1)
+    at_cut = placed.filter(F.col("mix_bucket") == F.col("__cut__")).withColumn(
+        "__ahead__", F.col("__before__") + F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
     # The document on the border is taken if that comes nearer to the share.
-    at_cut = at_cut.withColumn("mix_times", F.col("whole") + F.when(
-        (F.col("rest") > 0) & (F.col("mix_size") > 0) & (2 * (F.col("rest") - F.col("ahead")) >= F.col("mix_size")), 1).otherwise(0)).drop("ahead")
-    others = placed.filter(F.coalesce(F.col("mix_bucket") != F.col("cut"), F.lit(True))).withColumn(
-        "mix_times", F.col("whole") + F.when((F.col("rest") > 0) & (F.col("mix_bucket") < F.col("cut")), 1).otherwise(0))
+    at_cut = at_cut.withColumn("mix_times", F.col("__whole__") + F.when(
+        (F.col("__rest__") > 0) & (F.col("mix_size") > 0) & (2 * (F.col("__rest__") - F.col("__ahead__")) >= F.col("mix_size")), 1).otherwise(0)).drop("__ahead__")
+    others = placed.filter(F.coalesce(F.col("mix_bucket") != F.col("__cut__"), F.lit(True))).withColumn(
+        "mix_times", F.col("__whole__") + F.when((F.col("__rest__") > 0) & (F.col("mix_bucket") < F.col("__cut__")), 1).otherwise(0))
     return at_cut.unionByName(others).select(
         *docs.columns, F.col("mix_times").cast("int").alias("mix_times"), "mix_size", "mix_source_size", "mix_target")
 

@@ -1,3 +1,4 @@
+import random
 import itertools
 import re
 
@@ -88,3 +89,26 @@ def test_overlapping_sources(spark):
         times.setdefault(r.id % 3, []).append(r.mix_times)
     # 30,000 words in memberships: a takes 10,000 and b, which only the shared documents hold, 20,000.
     assert sum(times[0]) == 2000 and sum(times[1]) == 1000 and sum(times[2]) == 0
+
+
+def test_rows_that_share_an_id_are_picked_alike_in_any_order(spark):
+    rows = [(1, " ".join(["w"] * n), "a" if n % 2 else "b", n) for n in range(1, 40)]
+    seen = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, cut long").repartition(1 + seed)
+        seen.add(tuple(sorted(r.cut for r in mixing.mixture(df, "doc_id", "text", "source").collect())))
+    assert len(seen) == 1
+
+
+def test_sources_without_shared_documents_need_no_network(monkeypatch):
+    patterns = {("a",): 10, ("b",): 4, ("c", "d"): 9, ("c",): 3}
+    quotas = {"a": 17, "b": 50, "c": 9, "d": 30}
+    whole = mixing.flow(patterns, quotas)
+    asked = []
+    monkeypatch.setattr(mixing, "flow", lambda p, q, r, own=mixing.flow: asked.append(p) or own(p, q, r))
+    parts = mixing.routed(patterns, quotas)
+    assert list(asked[0]) == [("c", "d"), ("c",)]
+    for source in quotas:
+        assert sum(p.get(source, 0) for p in parts.values()) == sum(p.get(source, 0) for p in whole.values())
+    assert parts["a",] == {"a": 17} and parts["b",] == {"b": 12}

@@ -4,6 +4,7 @@ import string
 
 import corpus_pipeline as cp
 import tiktoken
+from pyspark.sql import functions as F
 
 from factlake.llm import bpe, language, mixing, toxicity
 
@@ -64,6 +65,22 @@ def test_cases(spark):
                 assert not ids
 
 
+CLASHES = ["score", "predicted", "lang_pred", "cut", "rest", "whole", "before", "ahead", "row_hash", "sieve_at", "mix_times", "mix_order", "kept",
+           "component_id", "n_shingles", "picked", "mark", "size", "block", "known share"]
+
+
+def test_columns_of_any_name_pass(spark):
+    """The same documents with and without other columns, whose values stay with their documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = docs.select("*", *[F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")).alias(name) for name in CLASHES])
+    for name, stage in cp.STAGES[:-1]:
+        plain, out = stage(spark, docs, "/root/testdata/sf0.001").collect(), stage(spark, more, "/root/testdata/sf0.001")
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain) and rows, name
+        assert all(r[c] == f"{c} {r.doc_id}" for r in rows for c in CLASHES), name
+
+
 def test_other_languages_are_dropped(spark):
     """Texts in no learned language go, held-out ones of the learned languages stay."""
     rng = random.Random(3)
