@@ -5,11 +5,15 @@ of ``docs``, so that each can be written and read again as the next one's input.
 ``run`` does so in the shared folder.
 
 Defined cases: a stage on an empty table gives an empty one. Rows without an id
-pass the near-duplicate stage; equal rows count as copies there, one stays.
+pass the near-duplicate stage; equal rows count as copies there, one stays. Other
+columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +23,31 @@ from factlake.llm.common import fold, sieved, stored
 from factlake.llm.queries import RANK_FILE
 from factlake.session import tune
 
-#: Below this, no learned language stands out from the others; whether the text is in any of them is judged by its trigrams.
-LEAST_LANGUAGE_SCORE = 0.2
+OWN = ("doc_id", "text", "lang", "source")
+
+
+def hiding(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage on columns with names of their own: no other column of ``docs`` can meet a name that a stage uses."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in OWN else f"__kept_{i}__" for i, c in enumerate(docs.columns)}
+        hidden = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+        return stage(spark, hidden, sf_dir).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    return run
 
 
+@hiding
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is recognised."""
     tune(spark)
     model = language.learn(docs.filter(fold("doc_id", 4) != 2), "doc_id", "text", "lang")
     judged = language.predict(docs, docs.columns, "text", model, reject=True)
-    return judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return judged.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
+@hiding
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are predicted to be toxic."""
     tune(spark)
@@ -39,6 +56,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, docs.columns, "text", model).filter("predicted = 0").select(*docs.columns)
 
 
+@hiding
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates."""
     tune(spark)
@@ -49,10 +67,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     maybe, alone = sieved(docs, "doc_id", looked_at.select("doc_id"))
     leaving = looked_at.filter("NOT stays").select("doc_id")
     once = (maybe.filter("doc_id IS NOT NULL").join(leaving, "doc_id", "left_anti")
-            .withColumn("row_hash", F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", "row_hash"]))
+            .withColumn("__row__", F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", "__row__"]))
     return alone.unionByName(once.select(*docs.columns)).unionByName(maybe.filter("doc_id IS NULL"))
 
 
+@hiding
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes and repeats documents so that the sources come to their target weights."""
     tune(spark)
