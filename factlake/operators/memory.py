@@ -105,25 +105,25 @@ def supersede(facts: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFr
         known("new_id"), ["org_id", "new_id"], "left_semi")
 
     def touch(fact: str, step: Column, to: str, by: Column) -> Column:
-        return F.struct(F.col(fact).alias("t_id"), step.alias("step"), F.lit(to).alias("to"), by.alias("by_id"))
+        return F.struct(F.col("org_id").alias("t_org"), F.col(fact).alias("t_id"), step.alias("step"), F.lit(to).alias("to"), by.alias("by_id"))
 
     step = F.col("seq") * 2
     touches = good.select(F.explode(F.array(
         touch("old_id", step, "superseded", F.col("new_id")),
         touch("new_id", step + 1, "active", F.lit(None).cast("bigint")),
     )).alias("t")).select("t.*")
-    latest = touches.groupBy("t_id").agg(
+    latest = touches.groupBy("t_org", "t_id").agg(
         F.max_by("to", "step").alias("to"),
         F.max_by("by_id", F.when(F.col("to") == "superseded", F.col("step"))).alias("by_id"),
         F.bool_or(F.col("to") == "superseded").alias("retired"),
     )
     old_by = F.col("superseded_by_id") if "superseded_by_id" in facts.columns else F.lit(None).cast("bigint")
     retired = F.coalesce("retired", F.lit(False))
-    table = facts.join(latest, facts["id"] == latest["t_id"], "left").withColumns({
+    table = facts.join(latest, (facts["org_id"] == latest["t_org"]) & (facts["id"] == latest["t_id"]), "left").withColumns({
         "status": F.coalesce("to", "status"),
         "superseded_at": F.when(retired, now).otherwise(F.col("superseded_at")),
         "superseded_by_id": F.when(retired, F.col("by_id")).otherwise(old_by),
-    }).drop("t_id", "to", "by_id", "retired")
+    }).drop("t_org", "t_id", "to", "by_id", "retired")
     flags = good.select("seq", F.lit(True).alias("found"))
     outcome = changes.join(flags, "seq", "left").select(
         "seq", "org_id", "old_id", "new_id",
@@ -135,10 +135,11 @@ def supersede(facts: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFr
 
 
 def mark_processed(sources: DataFrame, done: DataFrame, now: Column) -> DataFrame:
-    """Sets ``processed_at`` of the sources listed in ``done`` (``id``)."""
-    flag = done.select("id").distinct().withColumn("done_", F.lit(True))
-    return sources.join(flag, "id", "left").withColumn(
-        "processed_at", F.when(F.col("done_"), now).otherwise(F.col("processed_at"))).drop("done_")
+    """Sets ``processed_at`` of the sources listed in ``done`` (``id``, and ``org_id`` where organisations may share ids)."""
+    on = [c for c in ("org_id", "id") if c in done.columns]
+    flag = done.select(*on).distinct().withColumn("done_", F.lit(True))
+    return sources.join(flag, on, "left").withColumn(
+        "processed_at", F.when(F.col("done_"), now).otherwise(F.col("processed_at"))).select(*sources.columns)
 
 
 def last_change(changes: DataFrame, key: str) -> DataFrame:

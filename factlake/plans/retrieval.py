@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import access, context, graph, replies, requests, search, tasks
+from ..operators import access, context, graph, parted, replies, requests, search, tasks
 from ..functions import text as X
+from ..session import fresh_path
 from .registry import query
 from .replies import BELIEFS, CHECKS, sql_fill
 from .text import sql_quote
@@ -154,6 +155,21 @@ def node_upsert(t):
     return graph.upsert_nodes(t("fx_nodes"), t.sql(NODE_CHANGES))
 
 
+OWN_CHANGES = NODE_CHANGES.replace("'org' || (o_orderkey % 4) AS org_id", "'org' || (o_orderkey % 2000 % 4) AS org_id")
+
+
+@query("G1 S18", f"""WITH c AS ({OWN_CHANGES}), l AS (SELECT org_id, entity_id, arg_min(entity_type, seq) AS entity_type, arg_min(name, seq) AS name, arg_max(content, seq) AS content FROM c GROUP BY ALL)
+  SELECT coalesce(n.entity_id, l.entity_id) AS entity_id, coalesce(n.org_id, l.org_id) AS org_id, coalesce(n.entity_type, l.entity_type) AS entity_type, coalesce(n.name, l.name) AS name, coalesce(l.content, n.content) AS content
+  FROM fx_nodes n FULL JOIN l ON l.entity_id = n.entity_id AND l.org_id = n.org_id""")
+def nodes_in_place(t):
+    """Three batches of changes, the second given twice, to nodes kept by organisation."""
+    nodes, changes = t("fx_nodes"), t.sql(OWN_CHANGES)
+    table = parted.Parted(fresh_path(t.spark, "nodes"), nodes.schema, "entity_id").create(nodes)
+    for batch in (0, 1, 1, 2):
+        parted.upsert_nodes(table, f"batch-{batch}", changes.filter(F.col("entity_id") % 3 == batch))
+    return table.read(t.spark)
+
+
 EDGE_CHANGES = "SELECT 4000000 + o_custkey AS from_id, 3000000 + o_orderkey % 150 AS to_id, 'manages' AS relationship_type FROM orders"
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.times import age_text
-from ..operators import evals, memory, metering, monitor, requests
+from ..operators import evals, memory, metering, monitor, parted, requests
+from ..session import fresh_path
 from ..sources import chat
 from .registry import query
 from .sources import now
@@ -262,6 +263,31 @@ def mark_processed(t):
     return memory.mark_processed(t("fx_sources"), done, now()).select("id", "processed_at")
 
 
+# --- the same in tables kept by organisation, each change in several batches ---
+
+def kept(t, name: str, rows, key: str) -> parted.Parted:
+    return parted.Parted(fresh_path(t.spark, name), rows.schema, key).create(rows)
+
+
+@query("M1 S18", f"""WITH {SUPERSEDED} SELECT e.id, e.org_id, coalesce(l.st, e.status) AS status, CASE WHEN l.retired THEN {NOW} ELSE e.superseded_at END AS superseded_at, l.by_id AS superseded_by_id FROM fx_entities e LEFT JOIN l ON l.id = e.id""")
+def supersede_in_place(t):
+    facts = t("fx_entities").withColumn("superseded_by_id", F.lit(None).cast("bigint"))
+    table, changes = kept(t, "facts", facts, "id"), t("fx_supersede")
+    # Each organisation's changes come as a batch of its own.
+    for org in ("org0", "org1", "org2", "org3"):
+        parted.supersede(table, org, changes.filter(F.col("org_id") == org), now())
+    return table.read(t.spark).select("id", "org_id", "status", "superseded_at", "superseded_by_id")
+
+
+@query("M9 S18", f"SELECT id, org_id, CASE WHEN id IN (SELECT doc_id FROM labels) THEN {NOW} ELSE processed_at END AS processed_at FROM fx_sources")
+def processed_in_place(t):
+    table = kept(t, "sources", t("fx_sources"), "id")
+    done = t("labels").select(F.concat(F.lit("org"), (F.col("doc_id") % 4).cast("string")).alias("org_id"), F.col("doc_id").alias("id"))
+    for batch in range(2):
+        parted.mark_processed(table, f"batch-{batch}", done.filter(F.col("id") % 2 == batch), now())
+    return table.read(t.spark).select("id", "org_id", "processed_at")
+
+
 NEW_ORGS = "SELECT c_custkey AS id, 'Supplier#' || lpad(CAST(c_custkey % 1200 AS STRING), 9, '0') AS business_name FROM customer"
 
 
