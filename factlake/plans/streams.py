@@ -76,6 +76,28 @@ def stream_backfill(t):
     return jobs.read_table(t.spark, f"{out}/tables", "entities").select("id", "org_id", "name", "content", "source_id")
 
 
+@query("ST3", f"""WITH s AS ({HISTORY}) SELECT id, org_id, CASE org_id WHEN 'org2' THEN 'given up' ELSE 'answered' END AS state,
+  CAST(CASE WHEN org_id IN ('org1', 'org2') THEN 2 ELSE 1 END AS BIGINT) AS tries FROM s WHERE processed_at IS NULL""")
+def stream_backlog(t):
+    """Three runs, the later ones without new sources: one organisation is never answered, one only when asked again."""
+    out = fresh_path(t.spark, "backlog")
+    silent = {0: ["org1", "org2"], 1: ["org2"], 2: ["org2"]}
+
+    def extract(asked):
+        return asked.filter(~F.col("org_id").isin(silent[run])).select("request_id", F.lit("[]").alias("reply"))
+
+    def criticise(candidates):
+        return candidates.select("org_id", "seq", F.lit("{}").alias("reply"))
+
+    for run in silent:
+        sources = StreamTables(t.spark, t.sf_dir).sql(HISTORY)
+        drained(jobs.drain_backfill(sources, t("fx_entities"), f"{out}/tables", f"{out}/checkpoint", extract=extract, criticise=criticise, tries=2, backoff=0))
+    tries = jobs.read_table(t.spark, f"{out}/tables", "packed").groupBy("org_id", "id").agg(F.count("*").alias("tries"))
+    ended = jobs.read_table(t.spark, f"{out}/tables", "processed").select("org_id", "id", F.lit("answered").alias("state")).unionByName(
+        jobs.read_table(t.spark, f"{out}/tables", "dead_letters").select("org_id", "id", F.lit("given up").alias("state")))
+    return tries.join(ended, ["org_id", "id"], "left").select("id", "org_id", "state", "tries")
+
+
 @query("ST4", f"WITH {BEATS} SELECT process_name, last_beat_at, last_status, last_error FROM latest")
 def stream_heartbeat(t):
     out = fresh_path(t.spark, "beats")

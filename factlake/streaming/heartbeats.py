@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.monitor import GRACE, REGISTRY
-from .jobs import start, write_batch
+from .jobs import EMPTY_BATCHES, start, write_batch
 
 BEAT = "process_name string, beat_at timestamp, status string, error string, event_id bigint"
 STATE = "beat_us bigint, event_id bigint, status string, error string"
-EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 OUT = "process_name string, last_beat_at timestamp, last_status string, last_error string, overdue boolean"
 
 

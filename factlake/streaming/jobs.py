@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest, live, messages, metering, replies, requests, routing
 from ..sources import chat
+from . import backlog
 
 MICRO_BATCH = "30 minutes"
 BACKFILL = "2 minutes"
@@ -111,32 +112,34 @@ ENTITY_ROWS = T.StructType([
 ])
 BACKLOG_ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("org_id", T.StringType()), T.StructField("raw_content", T.StringType())])
 DONE_ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("org_id", T.StringType())])
-SOURCE = ["org_id", "id"]
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def drain_backfill(
     sources: DataFrame, entities: DataFrame, out: str, checkpoint: str, *,
     extract: Callable[[DataFrame], DataFrame], criticise: Callable[[DataFrame], DataFrame], every: str | None = None,
-    budgets: Callable[[], DataFrame] | None = None,
+    budgets: Callable[[], DataFrame] | None = None, tries: int = backlog.TRIES, backoff: float = backlog.BACKOFF_SECONDS,
 ) -> StreamingQuery:
     """Unprocessed history in batches through extraction, review and storing.
 
     ``extract`` turns batch requests into ``request_id, reply`` and ``criticise``
     turns candidates into the same with ``seq, reply`` (and ``org_id`` where organisations
     may share source ids); both stand for the model.
-    Sources whose batch got a reply are listed in ``processed``. All others that
-    were ever ``seen`` come again: with each batch, and once when the job
-    starts, so that they need no new source to be retried.
+    Sources that got a reply are listed in ``processed`` and told to the state, see ``backlog``;
+    the others are asked again after ``backoff`` seconds, doubled each time, and after
+    ``tries`` are in ``dead_letters``. Sources of organisations over their
+    budget wait without using up a try.
     """
 
-    def process(spark: SparkSession, fresh: DataFrame, batch_id: int) -> None:
-        fresh = write_batch(fresh, out, "seen", batch_id)
-        other = F.col("batch_id") != batch_id
-        done = read_table(spark, out, "processed", DONE_ROWS).filter(other).select(*SOURCE)
-        seen = read_table(spark, out, "seen", BACKLOG_ROWS).filter(other).drop("batch_id")
-        rows = fresh.unionByName(seen).dropDuplicates(SOURCE).join(done, SOURCE, "left_anti").select(*BACKLOG_ROWS.names)
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark, other = batch.sparkSession, F.col("batch_id") != batch_id
+        turn = write_batch(batch, out, "turns", batch_id)
+        write_batch(turn.filter(F.col("what") == backlog.DEAD).drop("what"), out, "dead_letters", batch_id)
+        rows = turn.filter(F.col("what") == backlog.ASK).select(*BACKLOG_ROWS.names)
+        put_off = rows.limit(0)
         if budgets is not None:
-            rows = requests.within_budget(rows, budgets()).select(*BACKLOG_ROWS.names)
+            now = budgets()
+            put_off, rows = requests.over_budget(rows, now), requests.within_budget(rows, now)
         packed = write_batch(requests.pack_batches(rows), out, "packed", batch_id)
         asked = write_batch(requests.batch_requests(packed), out, "requests", batch_id)
         answered = asked.select("request_id", "org_id", "batch_no", "n").join(extract(asked), "request_id")
@@ -155,18 +158,25 @@ def drain_backfill(
         known = entities.select("id", "org_id", "entity_type", "name", "status").unionByName(
             earlier.select("id", "org_id", "entity_type", "name", "status")).join(names, routing.IDENTITY, "left_semi")
         ingest.write(ingest.store_backfill(scored, known, id_base=0), out, batch_id)
-        write_batch(found.select(*DONE_ROWS.names).distinct(), out, "processed", batch_id)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        process(batch.sparkSession, requests.backlog(batch).select(*BACKLOG_ROWS.names), batch_id)
+        through = write_batch(found.select(*DONE_ROWS.names).distinct(), out, "processed", batch_id)
+        write_batch(_outcomes(through, backlog.ANSWERED).unionByName(_outcomes(put_off, backlog.DEFERRED)), out, "outcomes", batch_id)
 
     spark = sources.sparkSession
-    seen = read_table(spark, out, "seen", BACKLOG_ROWS)
-    if not seen.join(read_table(spark, out, "processed", DONE_ROWS).select(*SOURCE), SOURCE, "left_anti").isEmpty():
-        # Batches of the stream count up from 0, retries count down from -1.
-        last = seen.agg(F.least(F.min("batch_id"), F.lit(0))).first()[0]
-        process(spark, spark.createDataFrame([], BACKLOG_ROWS), last - 1)
-    return start(sources, handle, checkpoint, every)
+    # A row for nobody: the run has a batch, in which timers that ran out are heard, also without new sources.
+    spark.createDataFrame([(None, None, backlog.TICK)], backlog.OUTCOMES).write.mode("append").parquet(f"{out}/outcomes/batch_id=-1")
+    outcomes = spark.readStream.schema(backlog.OUTCOMES).parquet(f"{out}/outcomes/batch_id=*")
+    turns = backlog.waiting(requests.backlog(sources), outcomes, tries, backoff)
+    # Timers keep asking for another batch; a run that is to end takes only batches with data.
+    before = spark.conf.get(EMPTY_BATCHES)
+    spark.conf.set(EMPTY_BATCHES, before if every else "false")
+    try:
+        return start(turns, handle, checkpoint, every, mode="update")
+    finally:
+        spark.conf.set(EMPTY_BATCHES, before)
+
+
+def _outcomes(rows: DataFrame, outcome: str) -> DataFrame:
+    return rows.select("org_id", "id", F.lit(outcome).alias("outcome"))
 
 
 def meter_tokens(

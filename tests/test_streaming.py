@@ -119,7 +119,7 @@ def test_unanswered_history_is_retried(spark, folder):
 
     def run(extract):
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        jobs.drain_backfill(stream, entities, f"{folder}/out", f"{folder}/ck", extract=extract, criticise=criticise).awaitTermination()
+        jobs.drain_backfill(stream, entities, f"{folder}/out", f"{folder}/ck", extract=extract, criticise=criticise, backoff=0).awaitTermination()
         return jobs.read_table(spark, f"{folder}/out", "processed").count(), jobs.read_table(spark, f"{folder}/out", "entities").count()
 
     assert run(lambda asked: asked.filter("false").select("request_id", F.lit("").alias("reply"))) == (0, 0)
@@ -127,6 +127,46 @@ def test_unanswered_history_is_retried(spark, folder):
     assert run(answer) == (13, 13)
 
 
+def test_poison_is_given_up_and_budgets_wait(spark, folder):
+    """One source never gets a usable reply, one organisation is over its budget for a while, a copy comes late."""
+    schema = "id bigint, org_id string, source_type string, raw_content string, processed_at timestamp"
+    entities = spark.createDataFrame([], "id bigint, org_id string, entity_type string, name string, status string")
+
+    def extract(asked):
+        packed = jobs.read_table(spark, f"{folder}/out", "packed")
+        packed = packed.filter(F.col("batch_id") == packed.agg(F.max("batch_id")).first()[0]).drop("batch_id")
+        item = F.struct(F.col("idx").alias("message_index"), F.array(F.struct(
+            F.lit("Client").alias("entity_type"), F.col("raw_content").alias("name"), F.lit("c").alias("content"))).alias("entities"))
+        good = asked.select("request_id", "org_id", "batch_no").join(packed, ["org_id", "batch_no"]).filter("raw_content <> 'poison'").distinct()
+        return good.groupBy("request_id").agg(F.to_json(F.collect_list(item)).alias("reply"))
+
+    def criticise(found):
+        return found.select("org_id", "seq", F.lit('{"approved": true, "confidence_score": 0.9}').alias("reply"))
+
+    def run(rows, over):
+        if rows:
+            spark.createDataFrame([(i, org, "slack_history", text, None) for i, org, text in rows], schema).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        limits = spark.createDataFrame([("poor", over)], "org_id string, over_budget boolean")
+        jobs.drain_backfill(stream, entities, f"{folder}/out", f"{folder}/ck", extract=extract, criticise=criticise, backoff=0, tries=2,
+                            budgets=lambda: limits).awaitTermination()
+
+    def names():
+        return sorted(r.name for r in jobs.read_table(spark, f"{folder}/out", "entities").collect())
+
+    run([(1, "rich", "one"), (2, "bad", "poison"), (3, "poor", "later")], True)
+    assert names() == ["one"]
+    # The answered one comes again: nobody asks it twice.
+    run([(1, "rich", "one"), (4, "rich", "four")], True)
+    assert names() == ["four", "one"]
+    run([], False)
+    assert names() == ["four", "later", "one"]
+    dead = jobs.read_table(spark, f"{folder}/out", "dead_letters").collect()
+    assert [(r.org_id, r.id, r.raw_content, r.tries) for r in dead] == [("bad", 2, "poison", 2)]
+    asked = jobs.read_table(spark, f"{folder}/out", "packed").groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in asked} == {1: 1, 2: 2, 3: 1, 4: 1}
+
+
 def test_organisations_may_share_source_ids(spark, folder):
     """Source 5 of one organisation is answered, then source 5 of another comes: both are stored, under ids of their own."""
     schema = "id bigint, org_id string, source_type string, raw_content string, processed_at timestamp"
