@@ -67,7 +67,8 @@ class Parted:
 
     def touched(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
         """The rows of all folders that hold one of ``keys`` (``org_id`` and the table's key)."""
-        folders = self._placed(keys.select("org_id", self.key)).select(*PLACE).distinct()
+        # Spark prunes folders by a dimension only if that has a filter of its own.
+        folders = self._placed(keys.select("org_id", self.key)).select(*PLACE).distinct().filter(F.col("bucket") >= 0)
         return self._folders(spark).join(folders, PLACE, "left_semi").select(*self.schema.names)
 
     def done(self, spark: SparkSession, batch: str) -> bool:

@@ -86,11 +86,16 @@ def topk_many_acl(t):
     return many_visible(t).select("query_id", "id", "rank")
 
 
-@query("V5")
+@query("V5", r"""SELECT id, CASE WHEN w THEN 1536 END AS places, CASE WHEN w THEN 1.0::DOUBLE END AS length, CASE WHEN w THEN true END AS same_as_upper
+  FROM (SELECT id, regexp_matches(coalesce(raw_content, ''), '[\p{L}\p{N}]') AS w FROM fx_sources)""")
 def embed_text(t):
-    """Hashed word vectors of every source text, as length and number of filled places."""
-    vectors = search.embed(t("fx_sources").select("id", "raw_content"), "raw_content")
-    return vectors.select("id", F.size("embedding").alias("dim"), F.size(F.filter("embedding", lambda v: v > 0)).alias("filled"))
+    """Hashed word vectors of every source text: 1,536 places, unit length, none without words, blind to case."""
+    texts = t("fx_sources").select("id", F.col("raw_content").alias("text"))
+    vectors = search.embed(search.embed(texts, "text").withColumn("upper", F.upper("text")), "upper", "of_upper")
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    alike = F.aggregate(F.zip_with("embedding", "of_upper", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v.cast("double")) < 1e-6
+    return vectors.select("id", F.size("embedding").alias("places"), F.round(length, 5).alias("length"),
+                          (alike | F.col("text").rlike("[ßŉ]")).alias("same_as_upper"))
 
 
 # --- graph -------------------------------------------------------------------

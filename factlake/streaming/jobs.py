@@ -58,14 +58,35 @@ def read_table(spark: SparkSession, out: str, table: str, schema: T.StructType |
 
 
 MESSAGE_KEYS = ["org_id", "channel_id", "ts"]
-MESSAGE_ROWS = T.StructType([T.StructField(c, T.StringType()) for c in MESSAGE_KEYS])
+KEY_ROWS = T.StructType([*[T.StructField(c, T.StringType()) for c in MESSAGE_KEYS], T.StructField("batch_id", T.LongType()), T.StructField("day", T.DateType())])
+
+
+def stored_keys(spark: SparkSession, out: str) -> DataFrame:
+    """Keys of the stored messages, in folders by batch and day of the message; empty before the first batch."""
+    try:
+        return spark.read.schema(KEY_ROWS).parquet(f"{out}/keys")
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], KEY_ROWS)
 
 
 def new_messages(found: DataFrame, out: str, batch_id: int) -> DataFrame:
-    """One copy of each message that no other batch has stored, however late it comes."""
-    stored = read_table(found.sparkSession, out, "messages", MESSAGE_ROWS)
-    stored = stored.filter(F.col("batch_id") != batch_id).select(*MESSAGE_KEYS)
-    return found.dropDuplicates(MESSAGE_KEYS).join(stored, MESSAGE_KEYS, "left_anti").select(*found.columns)
+    """One copy of each message that no other batch has stored, however late it comes.
+
+    A message can only have been stored under its own day, so only the days
+    that the batch has are read: they are a dimension of the scan, with as many rows
+    as there are days. The keys are stored by day at once, for later batches.
+    """
+    spark, day = found.sparkSession, F.to_date("timestamp").alias("day")
+    once = found.dropDuplicates(MESSAGE_KEYS)
+    # Spark prunes folders by a dimension only if that has a filter of its own.
+    days = found.select(day).distinct().filter(F.col("day") > F.lit("0001-01-01").cast("date"))
+    stored = stored_keys(spark, out).filter(F.col("batch_id") != batch_id).join(F.broadcast(days), "day", "left_semi")
+    fresh = write_batch(once.join(stored.select(*MESSAGE_KEYS), MESSAGE_KEYS, "left_anti").select(*found.columns), out, "messages", batch_id)
+    keys = fresh.select(*MESSAGE_KEYS, day).hint("rebalance", "day")
+    keys.write.mode("overwrite").partitionBy("day").parquet(f"{out}/keys/batch_id={batch_id}")
+    return fresh
 
 
 def ingest_messages(
@@ -85,9 +106,7 @@ def ingest_messages(
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Stored first: cleaning reads it more than once, the stream and its state are read once.
         found = chat.import_messages(batch, channels, profiles, now(), hours_back)
-        if unique:
-            found = new_messages(found, out, batch_id)
-        found = write_batch(found, out, "messages", batch_id)
+        found = new_messages(found, out, batch_id) if unique else write_batch(found, out, "messages", batch_id)
         clean = messages.clean_messages(found, slice_width=3_600_000_000)
         stored = write_batch(chat.index_messages(clean, source_type, now()), out, "sources", batch_id)
         asked = requests.extraction_requests(stored)

@@ -77,3 +77,4 @@ def test_listings_read_one_organisation(spark, facts):
     assert page.first().total == sum(1 for i in range(400) if not i % 3 and i % 5 == 1)
     touched = facts.touched(spark, spark.createDataFrame([("o1", 6)], "org_id string, id bigint"))
     assert 0 < touched.count() < page.first().total
+    assert "dynamicpruning" in touched._jdf.queryExecution().executedPlan().toString()

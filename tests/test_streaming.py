@@ -89,6 +89,28 @@ def test_late_messages_and_bad_rows(spark, folder):
     assert sorted(stored) == [1700000000000100, 1700400000000100, 1700400100000100]
 
 
+def test_copies_are_looked_for_in_their_own_days(spark, folder):
+    """Stored keys of ten days; a batch with two of them reads two folders."""
+    schema = "org_id string, channel_id string, ts string, timestamp timestamp"
+    start = 1_700_006_400
+
+    def rows(days, org="o"):
+        df = spark.createDataFrame([(org, "C", f"{start + d * 86400 + i}.0") for d in days for i in range(3)], "org_id string, channel_id string, ts string")
+        return df.withColumn("timestamp", F.timestamp_seconds(F.col("ts").cast("double").cast("bigint")))
+
+    assert jobs.new_messages(rows(range(10)), f"{folder}/out", 0).count() == 30
+    assert jobs.new_messages(rows([2, 7, 7, 11]), f"{folder}/out", 1).count() == 3
+    assert jobs.new_messages(rows([2], "p"), f"{folder}/out", 2).count() == 3
+    # A batch that is repeated doesn't meet its own keys.
+    assert jobs.new_messages(rows([2, 7, 7, 11]), f"{folder}/out", 1).count() == 3
+    days = rows([2, 7]).select(F.to_date("timestamp").alias("day")).distinct().filter("day > DATE'0001-01-01'")
+    read = jobs.stored_keys(spark, f"{folder}/out").join(F.broadcast(days), "day", "left_semi")
+    assert read.count() == 9
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan, plan
+    assert str(rows([0]).schema["timestamp"].dataType.simpleString()) in schema
+
+
 def test_requests_over_budget_wait(spark, folder):
     channels = spark.createDataFrame([("o", "C", "c", False)], "org_id string, id string, name string, is_private boolean")
     profiles = spark.createDataFrame([("o", None)], "org_id string, slack_workspace_domain string")
