@@ -46,6 +46,9 @@ TEMPLATES = {
         "Does the new fact contradict the memory? Answer with JSON: contradiction, reason.\n\n"
         "New: {content}\n\nMemory:\n{context}"
     ),
+    "draft": (
+        "Write what the task asks for, from the memory alone.\n\nTask: {task}\n\nMemory:\n{context}"
+    ),
     "answer": (
         "Answer from the memory below and name the facts you use.\n\n== Business Profile ==\n{profile}\n{memory}\n\n{question}"
     ),
@@ -112,6 +115,19 @@ def contradiction_requests(blocks: DataFrame, template: str = TEMPLATES["contrad
     return _request(blocks, F.col("query_id"), "contradiction", F.lit("full"), text, "org_id")
 
 
+def answer_requests(contexts: DataFrame, template: str = TEMPLATES["answer"]) -> DataFrame:
+    """One request per question; ``contexts`` has ``query_id, org_id, question, profile, memory``."""
+    text = fill(template, profile=F.col("profile"), memory=F.col("memory"), question=F.col("question"))
+    return _request(contexts, F.col("query_id"), "answer", F.lit("full"), text, "org_id")
+
+
+def draft_requests(tasks: DataFrame, blocks: DataFrame, template: str = TEMPLATES["draft"]) -> DataFrame:
+    """One request per drafting task that memory was found for; ``blocks`` has ``query_id, fact_block``."""
+    rows = tasks.filter(F.col("task_type") == "draft").join(blocks.select("query_id", "fact_block"), "query_id")
+    text = fill(template, task=F.col("question"), context=F.col("fact_block"))
+    return _request(rows, F.col("query_id"), "draft", F.lit("full"), text, "org_id")
+
+
 def within_budget(requests: DataFrame, budgets: DataFrame) -> DataFrame:
     """Requests of organisations that have not used up their month; ``budgets`` has ``org_id, over_budget``."""
     return requests.join(fresh_keys(budgets.filter("over_budget").select("org_id"), "org_id"), "org_id", "left_anti").select(

@@ -256,6 +256,35 @@ def answer_context(t):
     return context.answer_contexts(t("fx_questions"), facts, rels, t("fx_profiles"))
 
 
+@query("T15 C6", f"""WITH {ANSWERS} SELECT CAST(query_id AS VARCHAR) AS request_id, 'answer' AS kind, org_id, 'full' AS model_tier,
+  {sql_fill('answer', profile='profile', memory='memory', question='question')} AS text FROM ctx""")
+def answer_requests(t):
+    return requests.answer_requests(answer_context(t))
+
+
+TASK_BLOCK = f"{MANY}, {FACT_BLOCK}"
+
+
+def task_blocks(t):
+    """Facts nearest to each task, of its organisation; only tasks with some."""
+    asked = t("fx_questions").select("query_id", "org_id", F.col("question").alias("content"))
+    return context.fact_blocks(asked, hit_facts(t, many(t))).filter(F.col("fact_block") != context.NO_HITS)
+
+
+@query("T15 V4", f"""WITH {TASK_BLOCK} SELECT CAST(q.query_id AS VARCHAR) AS request_id, 'draft' AS kind, q.org_id, 'full' AS model_tier,
+  {sql_fill('draft', task='q.question', context='b.block')} AS text FROM fx_questions q JOIN fact_block b ON b.query_id = q.query_id WHERE q.task_type = 'draft'""")
+def draft_requests(t):
+    return requests.draft_requests(t("fx_questions"), task_blocks(t))
+
+
+@query("T15 V4", f"""WITH {TASK_BLOCK} SELECT CAST(q.query_id AS VARCHAR) AS request_id, 'contradiction' AS kind, q.org_id, 'full' AS model_tier,
+  {sql_fill('contradiction', content='q.question', context='b.block')} AS text FROM fx_questions q JOIN fact_block b ON b.query_id = q.query_id WHERE q.task_type = 'flag'""")
+def contradiction_requests(t):
+    """Tasks that ask whether their text goes against the memory."""
+    flagged = t("fx_questions").filter("task_type = 'flag'").select("query_id")
+    return requests.contradiction_requests(task_blocks(t).join(flagged, "query_id", "left_semi"))
+
+
 @query("H4 V4 T13 L8", f"""WITH {MANY}, used AS (SELECT query_id, count(*) AS n FROM ranked WHERE rank <= 5 GROUP BY query_id), c AS ({CHECKS}), b AS ({BELIEFS}),
   g AS (SELECT DISTINCT org_id FROM fx_entities WHERE entity_type = 'Belief' AND superseded_at IS NULL),
   j AS (SELECT q.query_id, q.org_id, q.task_type, coalesce(used.n, 0) AS memory_used, CASE WHEN used.n IS NULL THEN {sql_quote([tasks.NO_MEMORY])} WHEN b.conflict AND g.org_id IS NOT NULL THEN 'Action blocked by Belief: ' || b.belief ELSE '' END AS block_reason,
