@@ -127,10 +127,15 @@ def logit(host: Column, path: Column, bias: float, weights: np.ndarray) -> Colum
     table = F.split(F.lit(",".join(f"{w:.6g}" for w in weights)), ",").cast("array<double>")
     text = F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
 
+    # Characters side by side, not substrings, which would count from the start of the URL each time.
+    letters = F.split(text, "")
+
     def total(n: int) -> Column:
-        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts = F.transform(places, lambda i: F.get(
-            table, F.conv(F.substring(F.md5(F.substring(text, i, F.lit(n)).cast("binary")), 1, 3), 16, 10).cast("int")))
+        grams = letters
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(letters, k + 1, F.greatest(F.size(letters) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+        parts = F.transform(F.filter(grams, lambda g: g.isNotNull()), lambda g: F.get(
+            table, F.conv(F.substring(F.md5(g.cast("binary")), 1, 3), 16, 10).cast("int")))
         return F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
 
     n_grams = reduce(lambda a, b: a + b, [F.greatest(F.length(text) - (n - 1), F.lit(0)) for n in SIZES])

@@ -1,3 +1,4 @@
+import time
 import pytest
 
 from factlake.llm import url_filter
@@ -57,3 +58,22 @@ def test_training_bounds():
     assert url_filter.train([])[0] == 0.0
     with pytest.raises(ValueError):
         url_filter.train([("http://a/", True)] * (url_filter.MAX_LABELLED + 1))
+
+
+def test_very_long_urls_take_time_in_proportion(spark):
+    """Without a rule for them; a quadratic form would need minutes for one of these."""
+    path = "".join(f"/{i:x}\U0001f600é" for i in range(90_000))
+    df = spark.createDataFrame([(i, f"https://long.example/{path[i:]}", "x") for i in range(4)], "page_id long, url string, mark string")
+    started = time.monotonic()
+    rows = url_filter.judge(df, ["page_id", "mark"], "url", []).collect()
+    assert time.monotonic() - started < 60
+    assert [r.path for r in sorted(rows)] == ["/" + path[i:] for i in range(4)] and all(r.logit is not None for r in rows)
+
+
+def test_grams_are_those_of_the_model(spark):
+    bias, weights = url_filter.train()
+    urls = ["https://a.b/c", "http://é\U0001f600.x/y", "x://", "https://spam-casino.example/win/now", "none"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.judge(df, ["page_id"], "url", []).collect():
+        cells = url_filter._cells(url_filter._marked(r.host, r.path))
+        assert r.logit == pytest.approx(bias + 10 * weights[cells].sum() / max(1, len(cells)), abs=1e-4)
