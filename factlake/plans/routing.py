@@ -259,3 +259,29 @@ def contradiction_notes(t):
     hits = search.top_k_many(asked, facts.withColumn("seq", F.col("id")), ["org_id"], 5, "seq", "seq")
     verdicts = replies.contradiction_verdicts(t("fx_checks").select("id", "reply"))
     return context.contradiction_notes(facts, context.hits_with_facts(hits, facts), verdicts)
+
+
+LIVE_NEAR = f"""WITH r AS ({routed_sql(0.7)}), a AS (SELECT *, row_number() OVER (PARTITION BY org_id, entity_type, name ORDER BY seq) AS rn FROM r WHERE route = 'approved'),
+  fresh AS (SELECT 1000000000 + a.seq AS id, a.seq, a.org_id, a.source_id, a.entity_type, a.name, a.content, v.embedding FROM a JOIN embeddings v ON v.vec_id = a.seq WHERE (rn = 1 OR coalesce(name, '') = '') AND NOT {KNOWN}),
+  pool AS (SELECT id, org_id, entity_type, name, content, embedding, -1 AS seq FROM fx_entities WHERE superseded_at IS NULL AND embedding IS NOT NULL
+    UNION ALL SELECT id, org_id, entity_type, name, content, embedding, seq FROM fresh),
+  pairs AS (SELECT q.id AS query_id, f.entity_type, f.name, f.content, row_number() OVER (PARTITION BY q.id
+      ORDER BY round(1 - list_cosine_similarity(q.embedding::DOUBLE[], f.embedding::DOUBLE[]), 9), f.id) AS rank
+    FROM fresh q JOIN pool f ON f.org_id = q.org_id AND f.seq < q.seq),
+  near AS (SELECT query_id, to_json(list(struct_pack(entity_type := entity_type, name := coalesce(name, ''), content := content) ORDER BY rank)) AS neighbours FROM pairs WHERE rank <= 5 GROUP BY query_id)"""
+
+
+@query("C5 V4 T13 W1 S18", f"""{LIVE_NEAR}, v AS ({CHECKS})
+  SELECT e.id, e.org_id, e.source_id, e.entity_type, e.name, 'NEW: ' || e.content || chr(10) || chr(10) || 'CONFLICTS WITH: ' || n.neighbours || chr(10) || chr(10) || 'REASON: ' || coalesce(v.reason, 'None') AS content,
+    coalesce(v.reason, 'Contradiction detected.') AS critic_reason, 0.5::DOUBLE AS confidence_score, 'contradiction' AS review_type
+  FROM fresh e JOIN near n ON n.query_id = e.id JOIN v ON v.id = e.seq WHERE v.contradiction""")
+def live_contradictions(t):
+    """Only the facts that a batch stores are checked, against those stored before them."""
+    vectors = t("embeddings").select(F.col("vec_id").alias("seq"), "embedding")
+
+    def check(asked):
+        replies_to = t("fx_checks").select((F.lit(1000000000) + F.col("id")).alias("query_id"), "reply")
+        return asked.select("query_id").join(replies_to, "query_id")
+
+    return live.contradictions(t("fx_candidates"), t("fx_entities"), lambda facts: facts.join(vectors, "seq"), check, id_base=1000000000,
+                               keep=ingest.keep_under(fresh_path(t.spark, "contradictions")))
