@@ -48,8 +48,8 @@ class StreamTables(Tables):
         if name not in BASE:
             return super().__call__(name)
         schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
-        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(self.sf_dir)
+        # A table is one file or a folder of files. As a stream, a single file is only read through a pattern.
+        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
 
 
 @dataclass(frozen=True)
