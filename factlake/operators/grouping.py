@@ -112,12 +112,16 @@ def range_sum_before(df: DataFrame, keys: list[str], order: list[str], value: st
 
 
 def range_least_after(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Least ``value`` over this and the later rows of the same keys (null: none); no task sees more of a key than a range."""
+    """Least ``value`` over this and the later rows of the same keys (null: none); no task sees more of a key than a range.
+
+    Windows run from the last row to the first: Spark carries a sum or a least value
+    along a window of all rows before, but computes one of all rows after anew for each row.
+    """
     after = "__after__"
     placed = in_ranges(df, keys, order)
-    later = Window.partitionBy(*keys).orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*keys).orderBy(F.col(PART).desc()).rowsBetween(Window.unboundedPreceding, -1)
     pieces = placed.groupBy(PART, *keys).agg(F.min(value).alias("__n__")).withColumn(after, F.min("__n__").over(later)).drop("__n__")
-    here = Window.partitionBy(PART, *keys).orderBy(AT).rowsBetween(0, Window.unboundedFollowing)
+    here = Window.partitionBy(PART, *keys).orderBy(F.col(AT).desc()).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumn("__here__", F.min(value).over(here))
     return with_pieces(local, keys, pieces).withColumn(name, F.least("__here__", after)).select(*df.columns, name)
 

@@ -1,5 +1,6 @@
 """Grouping helpers on data where one key holds most rows, against plain Python."""
 
+import time
 from collections import defaultdict
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factlake.operators import context, messages
 from factlake.operators import requests
-from factlake.operators.grouping import first_k, fresh_keys, group_ordinal, id_slice, ordered_texts, range_ordinal
+from factlake.operators.grouping import first_k, fresh_keys, group_ordinal, id_slice, ordered_texts, range_least_after, range_ordinal
 
 
 @pytest.fixture(scope="module")
@@ -154,3 +155,18 @@ def test_snapshot_without_facts(spark):
     facts = spark.createDataFrame([], "id bigint, org_id string, entity_type string, name string, content string, superseded_at timestamp, created_at timestamp")
     profiles = spark.createDataFrame([("o", "B", "i", "s", "w", 3)], "org_id string, business_name string, industry string, core_services string, what_they_dont_do string, team_size int")
     assert context.snapshots(profiles.select("org_id"), profiles, facts).first().context.endswith("== Known facts ==\n" + context.NO_FACTS)
+
+
+def test_least_after_in_time_linear_in_the_rows(spark):
+    """One key of 300,000 rows in one range; every third row has a value."""
+    n, before = 300_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        began = time.time()
+        rows = spark.range(n).select(F.lit("o").alias("k"), "id", F.when(F.col("id") % 3 == 0, F.col("id") * 2).alias("v"))
+        got = range_least_after(rows, ["k"], ["id"], "v", "least")
+        wrong = got.filter(~F.col("least").eqNullSafe(F.when(F.col("id") <= n - 3, F.ceil(F.col("id") / 3) * 6)))
+        assert got.count() == n and wrong.count() == 0
+        assert time.time() - began < 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
