@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .access import access_class, visible_to, with_access_classes, with_source
@@ -101,15 +101,25 @@ def list_edges_for(
     """First ``limit`` edges for each question (``query_id, org_id, user_id``) whose start its user may see.
 
     Edges are limited per audience first: what one user sees first lies in the
-    first of each of their audiences. Questions then meet their audiences by an equi join.
+    first of each of their audiences. They are then ranked once per user, and a question
+    takes the list of its user, so that no task sorts what all questions see. Only
+    questions that share an id are ranked together again.
     """
     placed = with_source(facts.select(F.col("id").alias("from_id"), "source_id"), sources, "channel_id", "channel_is_private")
     classed = _with_from(edges, nodes).join(placed.select("from_id", access_class().alias("access_class")), "from_id")
     order = [F.col(c) for c in EDGE_ORDER]
     kept = first_k(classed, ["org_id", "access_class"], order, limit).drop("rank")
-    asked = with_access_classes(questions.select("query_id", "org_id", "user_id"), memberships).drop("user_id")
-    met = first_k(kept.join(asked, ["org_id", "access_class"]), ["query_id"], order, limit)
-    return _shown(_with_to(met, nodes), "query_id", "rank")
+    users = with_access_classes(questions.select("org_id", "user_id").distinct(), memberships)
+    lists = first_k(kept.join(users, ["org_id", "access_class"]), ["org_id", "user_id"], order, limit).drop("access_class")
+    asked = questions.select("query_id", F.col("org_id").alias("q_org"), F.col("user_id").alias("q_user"),
+                             F.count("*").over(Window.partitionBy("query_id")).alias("times"))
+
+    def taken(some: DataFrame, of: DataFrame) -> DataFrame:
+        return some.join(of, (some["q_org"] == of["org_id"]) & some["q_user"].eqNullSafe(of["user_id"]))
+
+    alone = taken(asked.filter("times = 1"), _with_to(lists, nodes))
+    shared = first_k(taken(asked.filter("times > 1"), lists).drop("rank"), ["query_id"], order, limit)
+    return _shown(alone, "query_id", "rank").unionByName(_shown(_with_to(shared, nodes), "query_id", "rank"))
 
 
 def neighbourhood(edges: DataFrame, nodes: DataFrame, org_id: str, name: str, limit: int = NEIGHBOUR_LIMIT) -> DataFrame:
