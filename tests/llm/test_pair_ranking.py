@@ -103,3 +103,45 @@ def test_quantile():
     assert pr.best_quantile(s, np.array([0, 1, 1, 1])) == 0.25
     assert 0 <= pr.best_quantile(s, np.ones(4)) <= 1
     assert [pr.cut_at(s, q) for q in (0.0, 0.25, 0.5, 1.0)] == [0.5, 1.5, 2.5, 4.5]
+
+
+@pytest.mark.parametrize("rare", [60, 700])
+def test_every_labelled_row_teaches(spark, monkeypatch, rare):
+    """Cells hold all rows of the common label once; the sums over cells are those of their pairs; the cut is that of one process."""
+    monkeypatch.setattr(pr, "CELL", 200)
+    rng = np.random.default_rng(5)
+    n = 5000
+    x, mark = rng.normal(size=(n, len(pr.NAMES))), np.r_[np.zeros(rare, dtype=int), np.ones(n - rare, dtype=int)]
+    x[mark == 0, 0] -= 2
+    rows = spark.createDataFrame([(int(m), i % 4 == 0, i, v.tolist()) for i, (m, v) in enumerate(zip(mark, x))], "mark int, later boolean, id bigint, x array<double>")
+    cells = pr.celled(rows, n - rare, rare).collect()
+    seen = [r.id for c in cells for r in c.rows]
+    assert len(cells) > 10 and set(seen) == set(range(n)), "no labelled row is left out"
+    assert sorted(i for i in seen if mark[i]) == list(range(rare, n))
+    assert all({r.mark for r in c.rows} == {0, 1} for c in cells)
+    model = pr.Model(x.mean(axis=0), x.std(axis=0), np.zeros(0))
+    w = rng.normal(size=2 * len(pr.NAMES)) / 10
+    got = pr.cells_sums(pr.celled(rows, n - rare, rare), model)(w)
+    want = [0.0, 0.0, 0.0]
+    for c in cells:
+        z, m = pr._expanded(np.array([r.x for r in c.rows]), model.middle, model.spread), np.array([r.mark for r in c.rows])
+        a, b = pr.pairs(np.flatnonzero(m > 0), np.flatnonzero(m == 0), seed=pr.SEED + c.cell)
+        want = [s + t for s, t in zip(want, pr.pair_sums(z[a] - z[b], w))]
+    assert all(np.allclose(s, t) for s, t in zip(got, want))
+    s = np.round(x[:, 0], 1)
+    strengths = spark.createDataFrame([(int(m), i, float(v)) for i, (m, v) in enumerate(zip(mark, s))], "mark int, id bigint, strength double")
+    assert pr.best_cut(strengths, rare, n - rare) == pytest.approx(pr.cut_at(s, pr.best_quantile(s, mark)))
+
+
+def test_fit_uses_more_rows_than_any_sample(spark):
+    """9,000 labelled rows, of which no 2,000 a label hold the whole loss."""
+    seen = []
+    docs = spark.range(9000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('### ', 20) ELSE concat('Plain words of text ', id, '.') END AS text")
+    labels = spark.range(9000).selectExpr("id AS doc_id", "CAST(id % 3 > 0 AS INT) AS quality")
+    fit = pr.fit
+    try:
+        pr.fit = lambda rows, *_: seen.append(rows.count() if hasattr(rows, "count") else len(rows)) or fit(rows, *_)
+        pr.learn(docs, labels, "doc_id", "text", "quality")
+    finally:
+        pr.fit = fit
+    assert seen == [9000]
