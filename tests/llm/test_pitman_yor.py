@@ -1,13 +1,16 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from factlake.llm import common
 from factlake.llm import pitman_yor as py
 from factlake.llm.common import fold
 from factlake.llm.queries import op1_pitman_yor
+from factlake.session import fresh_path
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -121,3 +124,45 @@ def test_order_of_words_counts(spark):
         total = 10 ** py.log10_pairs(model, n, py.pair_keys(np.full(len(found), key), keys), np.full(len(found), r.n), t, p)
         back = np.mean([(py.THETA + model.pair_discount * t[i, 0]) * u / (py.THETA + r.n) for i, u in enumerate(unknown, 1)])
         assert total.sum() + back == pytest.approx(1, abs=1e-6)
+
+
+def test_disk_stays_small(spark, monkeypatch):
+    """All tables that the query ever writes, those removed again included, stay below eight times its input."""
+    written = []
+    for module in (py, common):
+        monkeypatch.setattr(module, "fresh_path", lambda spark, name: written.append(fresh_path(spark, name)) or written[-1])
+    monkeypatch.setattr(py, "discard", lambda spark, path: None)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert py.score(docs, "doc_id", "text", fold("doc_id", 7) == 2).count() == docs.count()
+    size = sum(f.stat().st_size for path in written for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
+    given = sum(f.stat().st_size for f in [Path(f"{SMALL}/documents.parquet"), *Path(SMALL).glob("documents.parquet/*.parquet")] if f.is_file())
+    print(size / given)
+    assert 0 < size < 8 * given
+
+
+def test_score_is_the_models(spark, monkeypatch):
+    """Scores by blocks and chunks against the probabilities of all pairs in one place."""
+    monkeypatch.setattr(py, "BLOCK_TOKENS", 700)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in np.minimum(rng.zipf(1.3, 40), 200)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    held = {i for i in range(150) if i % 5 == 0}
+    got = {r.doc_id: r for r in py.score(df, "doc_id", "text", py.F.col("doc_id") % 5 == 0).collect()}
+    docs = df.filter("doc_id % 5 <> 0")
+    model, state = py.learn_pairs(py.count_words(docs, "text"), py.count_pairs(docs, "text", -(-150 * 41 // 700)))
+    rows = {bytes(r.word): r for r in state.collect()}
+    counts = Counter()
+    for i, text in enumerate(texts):
+        if i not in held:
+            counts.update(zip(["", *text.split()], [*text.split(), ""], strict=True))
+    states = range(py.BURN_IN, py.BURN_IN + py.SAMPLES + 1)
+    unknown = [0.0, *(py._unknown(model, s) for s in model.samples)]
+    for i, text in enumerate(texts):
+        total = 0.0
+        for u, w in zip(["", *text.split()], [*text.split(), ""], strict=True):
+            a, b = rows.get(u.encode()), rows.get(w.encode())
+            key = py.pair_keys(py._keys([u.encode()]), py._keys([w.encode()]))
+            t = np.array([[a[f"t{s}"] if a else 0.0] for s in states])
+            p = np.array([[b[f"p{s}"] if b else x] for s, x in zip(states, unknown, strict=True)])
+            total += py.log10_pairs(model, np.array([counts[u, w]]), key, np.array([a.n if a else 0]), t, p)[0]
+        assert got[i].score == pytest.approx(total, rel=1e-9)
