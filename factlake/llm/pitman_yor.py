@@ -670,7 +670,9 @@ class State:
     total: float
 
     def p(self, row: dict) -> np.ndarray:
-        customers, tables, spelled = unpack(row["customers"]), unpack(row["tables"]), unpack(row["spelled"], np.float64)
+        return self.share(unpack(row["customers"]), unpack(row["tables"]), unpack(row["spelled"], np.float64))
+
+    def share(self, customers: np.ndarray, tables: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         return ((customers - self.discount * tables) + self.back * spelled) / self.total
 
     def scale(self) -> State:
@@ -835,7 +837,10 @@ def _pair_answers(pairs: DataFrame, states: list[State], discount: float) -> Dat
 
 
 def _word_answers(chunks: DataFrame, parts: int, placed: DataFrame, states: list[State]) -> DataFrame:
-    """To each chunk the counts of its words by part, and for each sample their tables as restaurants and their probabilities."""
+    """To each chunk the counts of its words by part, and for each sample their tables as restaurants, customers and tables as dishes.
+
+    The chunk spells its words itself, as their probabilities are eight times as long.
+    """
     scales = [s.scale() for s in states]
     schema = "part int, chunk bigint, asked binary"
 
@@ -847,13 +852,17 @@ def _word_answers(chunks: DataFrame, parts: int, placed: DataFrame, states: list
                 yield {"part": name, "chunk": row["chunk"], "asked": pack_words(words[lo:hi])}
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
-        words, n, t, p = _columns(table, scales)
+        rows = {row["sweep"]: row for row in table.to_pylist()}
+        words, numbers = [], np.zeros((1 + 3 * len(scales), 0), dtype=np.int64)
+        if None in rows:
+            words = unpack_words(rows[None]["words"])
+            numbers = np.array([unpack(rows[None]["n"]), *(unpack(rows[s.sweep][c]) for c in ("t", "customers", "tables") for s in scales)])
         # The last place stands for words that training has not seen.
-        n, t, p = (np.concatenate([x, np.zeros((*x.shape[:-1], 1), dtype=x.dtype)], axis=-1) for x in (n, t, p))
+        numbers = np.append(numbers, np.zeros((len(numbers), 1), dtype=np.int64), axis=1)
         place, out = dict(zip(words, range(len(words)), strict=True)), []
         for row in asked.to_pylist():
             at = np.array([place.get(w, len(words)) for w in unpack_words(row["asked"])], dtype=np.int64)
-            out.append({"chunk": row["chunk"], "of_pairs": False, "place": row["part"], "a": pack(n[at]), "b": pack(t[:, at].ravel()), "c": pack(p[:, at].ravel())})
+            out.append({"chunk": row["chunk"], "of_pairs": False, "place": row["part"], "a": pack(numbers[0, at]), "b": pack(numbers[1:, at].ravel())})
         return pa.Table.from_pylist(out, schema=_fields(ANSWER))
 
     asked = chunks.select("chunk", "words").mapInArrow(lambda batches: _batches(ask(batches), schema), schema)
@@ -887,7 +896,7 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
             discard(spark, path)
     finally:
         spark.conf.set(setting, before)
-    shared = spark.sparkContext.broadcast(model)
+    shared, scales = spark.sparkContext.broadcast(model), [s.scale() for s in states]
 
     def add_up(table: pa.Table, answers: pa.Table) -> pa.Table:
         model = shared.value
@@ -896,8 +905,15 @@ def score(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
         of_words, of_pairs = ([r for r in rows if r["of_pairs"] is kind] for kind in (False, True))
         words, stream, sizes, pairs = _stream(row)
         counts = np.concatenate([unpack(r["a"]) for r in of_words])
-        tables = np.concatenate([unpack(r["b"]).reshape(samples, -1) for r in of_words], axis=1)
-        p = np.concatenate([unpack(r["c"], np.float64).reshape(samples, -1) for r in of_words], axis=1)
+        tables, p, first = np.zeros((samples, len(words)), dtype=np.int64), np.zeros((samples, len(words))), 0
+        for r in of_words:
+            t, customers, drawn = unpack(r["b"]).reshape(3, samples, -1)
+            last = first + t.shape[1]
+            word, cells = letters(words[first:last])
+            tables[:, first:last] = t
+            for i, (state, sample) in enumerate(zip(scales, model.samples, strict=True)):
+                p[i, first:last] = state.share(customers[i], drawn[i], _spelled(sample, word, cells, last - first))
+            first = last
         p[:, counts == 0] = np.array([[_unknown(model, s)] for s in model.samples])
         base = np.log10((counts + 1) / (model.n + model.v + 1))
         pairs, pair = np.unique(pairs, return_inverse=True)
